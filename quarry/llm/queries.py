@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, packing, quality, secrets
+from quarry.llm import byte_bpe, packing, quality, secrets, simhash
 from quarry.llm.common import documents, scratch
 from quarry.llm.sharding import assign_shards
 from quarry.llm.token_files import read_token_files, write_token_files
@@ -46,6 +46,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(secrets.scan_documents(documents(spark, sf_dir)))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
