@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, packing, quality, secrets, simhash
+from quarry.llm import byte_bpe, langid, packing, pii, quality, secrets, simhash
 from quarry.llm.common import documents, scratch
 from quarry.llm.sharding import assign_shards
 from quarry.llm.token_files import read_token_files, write_token_files
@@ -51,6 +51,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The key of the registered query. A production run gives its own, from a secret store.
+PII_KEY = b"public key of the registered query"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = pii.pseudonymise(documents(spark, sf_dir), PII_KEY)
+    return masked.select("doc_id", "text", F.size("pii_spans").alias("n_pii"), pii.spans_text(F.col("pii_spans")).alias("spans"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.fit(docs))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
