@@ -63,7 +63,7 @@ class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes. keep: most words, and most pieces, held (about 150
     bytes each)."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 900_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:

@@ -7,9 +7,9 @@ SEGMENT_IDS ids. A document longer than that makes a longer segment. Layout, big
 
 The columns (has-id flags, document ids, ids per document, ids) are PFOR columns with a u64 length before each.
 A PFOR column has its values in blocks of 128: each block's minimum is subtracted, and the rest is packed at the
-width that PERCENTILE of the block's values need. A value that needs more bits is an exception: its block, place
-and full difference stand in an exception list. An index holds each block's minimum, width and start in the
-payload, so that a block can be read alone.
+width that PERCENTILE of the block's values need. A value that needs more bits is an exception: its low bits are
+packed, its place in the block and its high bits stand in an exception list. An index holds each block's minimum,
+width, start in the payload and count of exceptions, so that a block can be read alone.
 
 Spark's text writer writes the files (its commit protocol keeps the result whole when a task is repeated; the
 line feed is its row end) and its binaryFile source reads them, so the folder can be in any store that Spark reaches.
@@ -32,7 +32,36 @@ BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 19
 _HEAD = struct.Struct(">4sIIIQ")
-_CHUNK = 512  # blocks packed at once
+_COLUMN = struct.Struct(">QQB")
+_CHUNK = 1024  # blocks packed at once
+
+
+def _weave(diff: np.ndarray, w: int) -> np.ndarray:
+    """Bytes of rows of BLOCK values of w bits each; eight values take w bytes."""
+    v = diff.reshape(-1, 8)
+    words = np.zeros((len(v), -(-w // 8)), np.uint64)
+    for j in range(8):
+        q, r = divmod(j * w, 64)
+        words[:, q] |= v[:, j] << np.uint64(r)
+        if r + w > 64:
+            words[:, q + 1] |= v[:, j] >> np.uint64(64 - r)
+    return words.astype("<u8", copy=False).view(np.uint8)[:, :w].reshape(len(diff), -1)
+
+
+def _unweave(packed: np.ndarray, w: int) -> np.ndarray:
+    rows, n = packed.reshape(-1, w), -(-w // 8)
+    words = np.zeros((len(rows), 8 * n), np.uint8)
+    words[:, :w] = rows
+    words = words.view("<u8")
+    v = np.empty((len(rows), 8), np.uint64)
+    mask = np.uint64(2**w - 1)
+    for j in range(8):
+        q, r = divmod(j * w, 64)
+        x = words[:, q] >> np.uint64(r)
+        if r + w > 64:
+            x |= words[:, q + 1] << np.uint64(64 - r)
+        v[:, j] = x & mask
+    return v.reshape(len(packed), BLOCK)
 
 
 def pfor_pack(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
@@ -41,15 +70,17 @@ def pfor_pack(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     n = len(values)
     nb = -(-n // BLOCK)
     if not n:
-        return struct.pack(">QI", 0, 0)
+        return _COLUMN.pack(0, 0, 0)
     grid = np.concatenate((values, np.full(nb * BLOCK - n, values[-1], np.int64))).reshape(nb, BLOCK)
     low = grid.min(axis=1)
     diff = grid.view(np.uint64) - low.view(np.uint64)[:, None]
     at = min(BLOCK - 1, max(0, int(np.ceil(percentile * BLOCK)) - 1))
     width = _bits(np.partition(diff, at, axis=1)[:, at])
-    mask = np.where(width == 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(width, 63).astype(np.uint64)) - np.uint64(1))
-    where = np.flatnonzero((diff > mask[:, None]).ravel())
-    where = where[where < n]
+    mask = np.where(width == 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(width, 63).astype(np.uint64)) - np.uint64(1))[:, None]
+    out = diff > mask
+    high = (diff >> np.minimum(width, 63).astype(np.uint64)[:, None])[out]
+    size = next(k for k in (1, 2, 4, 8) if not len(high) or int(high.max()) < 1 << 8 * k)
+    diff &= mask
     start = np.zeros(nb + 1, np.int64)
     np.cumsum(width.astype(np.int64) * (BLOCK // 8), out=start[1:])
     payload = np.zeros(start[-1], np.uint8)
@@ -57,9 +88,8 @@ def pfor_pack(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
         rows = np.flatnonzero(width == w) if w else []
         for i in range(0, len(rows), _CHUNK):
             r = rows[i : i + _CHUNK]
-            bits = np.unpackbits(np.ascontiguousarray(diff[r]).astype("<u8" if w > 32 else "<u4").view(np.uint8).reshape(len(r), BLOCK, -1), axis=2, bitorder="little")[:, :, :w]
-            payload[start[r][:, None] + np.arange(int(w) * BLOCK // 8)] = np.packbits(bits.reshape(len(r), -1), axis=1, bitorder="little")
-    return b"".join((struct.pack(">QI", n, len(where)), low.astype(">i8").tobytes(), width.astype(np.uint8).tobytes(), start.astype(">u8").tobytes(), where.astype(">u8").tobytes(), diff.ravel()[where].astype(">u8").tobytes(), payload.tobytes()))
+            payload[start[r][:, None] + np.arange(int(w) * BLOCK // 8)] = _weave(diff[r], int(w))
+    return b"".join((_COLUMN.pack(n, len(high), size), low.astype(">i8").tobytes(), width.tobytes(), start.astype(">u8").tobytes(), out.sum(axis=1).astype(np.uint8).tobytes(), np.nonzero(out)[1].astype(np.uint8).tobytes(), high.astype(f">u{size}").tobytes(), payload.tobytes()))
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -75,31 +105,28 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 def pfor_unpack(data: bytes, blocks: tuple[int, int] | None = None) -> np.ndarray:
     """The values, or those of blocks [first, end) alone."""
-    n, exceptions = struct.unpack_from(">QI", data)
-    nb, at = -(-n // BLOCK), 12
+    n, exceptions, size = _COLUMN.unpack_from(data)
+    nb, at = -(-n // BLOCK), _COLUMN.size
     if not n:
         return np.zeros(0, np.int64)
     low = np.frombuffer(data, ">i8", nb, at).astype(np.int64)
     width = np.frombuffer(data, np.uint8, nb, at := at + 8 * nb)
     start = np.frombuffer(data, ">u8", nb + 1, at := at + nb).astype(np.int64)
-    where = np.frombuffer(data, ">u8", exceptions, at := at + 8 * (nb + 1)).astype(np.int64)
-    full = np.frombuffer(data, ">u8", exceptions, at := at + 8 * exceptions).astype(np.uint64)
-    payload = np.frombuffer(data, np.uint8, start[-1], at + 8 * exceptions)
+    each = np.frombuffer(data, np.uint8, nb, at := at + 8 * (nb + 1))
+    place = np.frombuffer(data, np.uint8, exceptions, at := at + nb)
+    high = np.frombuffer(data, f">u{size or 1}", exceptions, at := at + exceptions)
+    payload = np.frombuffer(data, np.uint8, start[-1], at + exceptions * (size or 1))
     a, b = blocks or (0, nb)
     diff = np.zeros((b - a, BLOCK), np.uint64)
     for w in np.unique(width[a:b]):
         rows = np.flatnonzero(width[a:b] == w) if w else []
         for i in range(0, len(rows), _CHUNK):
             r = rows[i : i + _CHUNK]
-            packed = payload[start[a + r][:, None] + np.arange(int(w) * BLOCK // 8)]
-            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(r), BLOCK, int(w))
-            room = 64 if w > 32 else 32
-            wide = np.zeros((len(r), BLOCK, room), np.uint8)
-            wide[:, :, :w] = bits
-            diff[r] = np.packbits(wide, axis=2, bitorder="little").view("<u8" if room == 64 else "<u4")[:, :, 0]
-    flat, own = diff.ravel(), (where >= a * BLOCK) & (where < b * BLOCK)
-    flat[where[own] - a * BLOCK] = full[own]
-    return (flat + np.repeat(low[a:b].view(np.uint64), BLOCK)).view(np.int64)[: min(n, b * BLOCK) - a * BLOCK]
+            diff[r] = _unweave(payload[start[a + r][:, None] + np.arange(int(w) * BLOCK // 8)], int(w))
+    block = np.repeat(np.arange(nb), each)
+    own = (block >= a) & (block < b)
+    diff[block[own] - a, place[own]] |= high[own].astype(np.uint64) << width[block[own]].astype(np.uint64)
+    return (diff + low[a:b].view(np.uint64)[:, None]).view(np.int64).ravel()[: min(n, b * BLOCK) - a * BLOCK]
 
 
 def pack_segment(partition: int, segment: int, doc_ids: list[int | None], ids: list[bytes]) -> bytes:
