@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, langid, packing, pii, quality, secrets, simhash
+from quarry.llm import bm25, byte_bpe, langid, packing, pii, quality, secrets, simhash
 from quarry.llm.common import documents, scratch
 from quarry.llm.sharding import assign_shards
 from quarry.llm.token_files import read_token_files, write_token_files
@@ -51,6 +51,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: the whole texts of the documents whose id is divisible by 100."""
+    return bm25.search(documents(spark, sf_dir), F.col("doc_id") % 100 == 0, 10)
+
+
 #: The key of the registered query. A production run gives its own, from a secret store.
 PII_KEY = b"public key of the registered query"
 
