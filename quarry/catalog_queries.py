@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from quarry.catalog import ORACLES, QUERIES, search
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Adaptive hybrid retrieval for a batch of queries."""
+    return search.adaptive_search(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
