@@ -7,10 +7,9 @@ best chunk of each paper first; the ideal order has all relevant papers; precisi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions import lexicon as L
 from quarry.operators.retrieval import best_per_group, rrf
 
 
@@ -66,7 +65,8 @@ def chunk_metrics(results: DataFrame, qrels: DataFrame, by: tuple[str, ...] = ()
 def paper_metrics(results: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """mrr, ndcg, p5, hit for each query, at paper level."""
     best = best_per_group(results.select("query_id", "chunk_id", "paper_id", "rank"))
-    j = judge(best, qrels.withColumn("relevant_chunks", F.array().cast("array<string>"))).withColumn("rel", F.when(F.col("rank") <= k, F.col("rel")).otherwise(0))
+    none = F.array().cast(f"array<{dict(results.dtypes)['chunk_id']}>")
+    j = judge(best, qrels.withColumn("relevant_chunks", none)).withColumn("rel", F.when(F.col("rank") <= k, F.col("rel")).otherwise(0))
     agg = j.groupBy("query_id").agg(
         F.coalesce(1.0 / F.min(F.when(F.col("rel") == 1, F.col("rank"))), F.lit(0.0)).alias("mrr"),
         F.sum(F.when(F.col("rel") == 1, _gain(F.col("rank"))).otherwise(0.0)).alias("_dcg"),
@@ -141,10 +141,3 @@ def ordered_modes(rows: DataFrame, order: list[str], mode: str = "mode") -> Data
     """Rows in a fixed order of modes; unknown ones last."""
     at = F.array_position(F.array(*map(F.lit, order)), F.col(mode))
     return rows.orderBy(F.when(at > 0, at).otherwise(len(order) + 1), mode)
-
-
-def strata(results: DataFrame, per: str = "query_id") -> DataFrame:
-    return results.withColumn("rank", F.row_number().over(Window.partitionBy(per).orderBy("rank")))
-
-
-STATUS_ORDER = L.STATUSES
