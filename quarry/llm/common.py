@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised kernel takes at once; a longer text is taken alone.
 SLICE_BYTES = 1 << 20
@@ -43,6 +44,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def carried(own: list[str]) -> list[Column]:
+    """Columns under names of their own, so that none clashes with an operator's inputs. Arrow gives them back by place."""
+    return [F.col(f"`{c}`").alias(f"_carried{i}") for i, c in enumerate(own)]
+
+
+def fields(df: DataFrame, own: list[str]) -> str:
+    types = dict(df.dtypes)
+    return ", ".join(f"`{c}` {types[c]}" for c in own)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without a copy where Arrow allows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import sums
+from quarry.llm.common import carried, fields, sums
 
 NGRAMS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -117,14 +117,14 @@ def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "
     languages by name wins. Null and repeated keys are kept; a column of docs with the name of a result gives way to it."""
     results = ["held_out", "lang_pred", "score"]
     own = [c for c in docs.columns if c not in results] if carry else []
-    fields = ", ".join([f"`{n}` {t}" for n, t in docs.select(*own).dtypes] if carry else ["doc_id long"])
-    shown = [F.col(c) for c in own] if carry else [F.col(key).cast("long").alias("doc_id")]
-    rows = docs.select(F.col(text).alias("_text"), held_out(F.col(key)).alias("_held"), *shown)
+    names = own if carry else ["doc_id"]
+    shown = carried(own) if carry else [F.col(key).cast("long").alias("doc_id")]
+    rows = docs.select(F.col(text).alias("_input"), held_out(F.col(key)).alias("_held"), *shown)
     logp, prior, languages = model.logp, model.prior, model.languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = [], []
+            guesses, scores = [], []
             for _, texts in _batches(batch.column(0)):
                 if languages:
                     total = np.tile(prior, (len(texts), 1))
@@ -134,9 +134,10 @@ def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "
                     sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 for i, t in enumerate(texts):
                     known = bool(languages) and any(map(str.isalpha, t))
-                    names.append(languages[best[i]] if known else UNKNOWN)
+                    guesses.append(languages[best[i]] if known else UNKNOWN)
                     scores.append(float(sure[i]) if known else 0.0)
-            columns = [*batch.columns[2:], batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[2:], *results])
+            columns = [*batch.columns[2:], batch.column(1), pa.array(guesses, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, *results])
 
-    return rows.mapInArrow(run, f"{fields}, held_out boolean, lang_pred string, score double")
+    head = fields(docs, own) if carry else "doc_id long"
+    return rows.mapInArrow(run, ", ".join([head] * bool(head) + ["held_out boolean", "lang_pred string", "score double"]))

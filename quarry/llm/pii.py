@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import carried, fields
+
 ROUNDS = 8
 
 
@@ -85,7 +87,9 @@ _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9
 _IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 _DATE = r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9]|[./-][0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-_PHONE = r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
+_LOCAL = r"[0-9]{3,4}[ .-][0-9]{3,4}"
+#: With a country code or an area in brackets, or bare groups that no other digits adjoin.
+_PHONE = rf"(?<![A-Za-z0-9+])(?:\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{2,4}}\)[ .-]?|[0-9]{{2,4}}[ .-])|\([0-9]{{2,4}}\)[ .-]?){_LOCAL}(?![0-9])|(?<![A-Za-z0-9+])(?<![0-9][ .-])[0-9]{{2,4}}[ .-]{_LOCAL}(?![ .-]?[0-9])"
 _CARD = r"(?<![A-Za-z0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
 _NUMBERS = (("iban", _IBAN), ("card", _CARD), ("ip", _IP), ("ssn", _SSN))
 _ALL = re.compile("|".join(f"(?P<{n}>{p})" for n, p in (("mail", _MAIL), *_NUMBERS)), re.ASCII)
@@ -242,7 +246,6 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFram
     end exclusive). A null text stays null and has no spans. Every other column is passed on as it is; one named pii_spans gives way. Whole
     texts, one narrow pass."""
     own = [c for c in docs.columns if c not in (text, "pii_spans")]
-    fields = ", ".join(f"`{n}` {t}" for n, t in docs.select(*own).dtypes)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,10 +257,11 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFram
                 new, found = (None, []) if t is None else masker.mask(t)
                 texts.append(new)
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(spans, span), *batch.columns[1:]], ["_text", "pii_spans", *batch.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:], pa.array(spans, span)], [text, *own, "pii_spans"])
 
-    done = docs.select(F.col(text).alias("_text"), *own).mapInArrow(run, ", ".join(x for x in ("_text string, pii_spans array<struct<kind:string,start:bigint,end:bigint>>", fields) if x))
-    return done.select(*[F.col("_text").alias(text) if c == text else F.col(c) for c in docs.columns if c != "pii_spans"], "pii_spans")
+    schema = [f"`{text}` string", *([fields(docs, own)] if own else []), "pii_spans array<struct<kind:string,start:bigint,end:bigint>>"]
+    done = docs.select(F.col(text).alias("_input"), *carried(own)).mapInArrow(run, ", ".join(schema))
+    return done.select(*[f"`{c}`" for c in docs.columns if c != "pii_spans"], "pii_spans")
 
 
 def spans_text(spans: Column) -> Column:
