@@ -94,7 +94,7 @@ def topic_bonus(spark, sf_dir):
 _SCORED = f"""WITH {_P}, t AS (SELECT *, {_topic_sql("lower(title || ' ' || abstract)")} AS topic, (DATE '2024-01-01' - d) / 30.0 AS m FROM p),
 n AS (SELECT *, count(*) OVER (PARTITION BY topic) / count(*) OVER () AS share FROM t),
 sc AS (SELECT *, 0.4 * least(1.0, ln(1 + coalesce(c, 0) / CASE WHEN d IS NULL THEN 12.0 WHEN m <= 0 THEN 1.0 ELSE m END) / 5.0)
-  + 0.3 * coalesce(exp(-m / 6.0), 0.5) + 0.2 * coalesce(greatest(0.0, least(1.0, sim)), 0.5)
+  + 0.3 * coalesce(exp(-m / 6.0), 0.5) + 0.2 * CASE WHEN sim IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, sim)) END
   + 0.1 * CASE WHEN share < 0.125 THEN 2 * (0.125 - share) ELSE 0 END * 0.5 AS score FROM n)"""
 
 

@@ -26,7 +26,7 @@ def recency_score(date: Column, today: Column) -> Column:
 
 
 def semantic_score(similarity: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), similarity)), F.lit(0.5))
+    return F.when(similarity.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), similarity)))
 
 
 def topic(text: Column, topics: dict[str, tuple[str, ...]] | None = None) -> Column:

@@ -29,7 +29,7 @@ def vector_difficulty(query: Column, abstract: Column, fallback: Column) -> Colu
 def section_excerpt(sections: Column, name: str, most: int = 500) -> Column:
     """The first section whose title holds `name`: paragraphs joined while they fit; the one that doesn't is cut at a word if more than 50
     characters are left for it."""
-    chosen = F.element_at(F.filter(sections, lambda s: F.contains(F.lower(s["title"]), F.lit(name.lower()))), 1)
+    chosen = F.try_element_at(F.filter(sections, lambda s: F.contains(F.lower(s["title"]), F.lit(name.lower()))), F.lit(1))
     start = F.struct(F.lit("").alias("text"), F.lit(False).alias("full"))
 
     def add(acc: Column, p: Column) -> Column:

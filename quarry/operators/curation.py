@@ -95,7 +95,9 @@ def merge_citations(papers: DataFrame, counts: DataFrame, key: str = "paper_id")
 
 def date_windows(spark: SparkSession, start: datetime.date, end: datetime.date, days: int = 14) -> DataFrame:
     """(window_start, window_end), both inclusive, the last one cut at the end."""
-    one = spark.range(1).select(F.lit(start).cast("date").alias("s"), F.lit(end).cast("date").alias("e")).filter("s <= e")
+    if start > end:
+        return spark.createDataFrame([], "window_start date, window_end date")
+    one = spark.range(1).select(F.lit(start).cast("date").alias("s"), F.lit(end).cast("date").alias("e"))
     starts = one.select("e", F.explode(F.expr(f"sequence(s, e, interval {int(days)} days)")).alias("window_start"))
     return starts.select("window_start", F.least(F.date_add("window_start", days - 1), F.col("e")).alias("window_end"))
 
