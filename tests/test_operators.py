@@ -447,3 +447,25 @@ def test_collect_funnel(spark):
     labels = spark.createDataFrame([("3", False)], "paper_id string, suitable boolean")
     got = engine.collect(p, spark.createDataFrame([("zebra",)], "keyword string"), labels)
     assert rows(got["kept"], "paper_id") == [("1",)] and rows(got["unsuitable"], "paper_id") == [("3",)]
+
+
+def test_enrichment_plugins(spark):
+    from quarry.plans import enrich
+
+    class Json:
+        def generate(self, prompt):
+            if "boom" in prompt:
+                raise RuntimeError("no reply")
+            return '{"keywords": "a,b", "summary": "s", "contribution_type": "method"}'
+
+    t = spark.createDataFrame([("x" * 60,), ("short",), ("boom " * 20,)], "content string")
+    got = enrich.enrich_chunks(t, Json()).collect()
+    assert [r.enrichment and r.enrichment.keywords for r in got] == [["a", "b"], None, None]
+    e = spark.createDataFrame([("p", f"p_eq_{i}", f"x_{i}", None, None) for i in (1, 2)], "paper_id string, equation_id string, latex string, context_before string, context_after string")
+    assert rows(enrich.describe_equations(e, enrich.EchoGenerator(), 1), "equation_id", "text_description") == [("p_eq_1", "x_1"), ("p_eq_2", None)]
+    p = spark.createDataFrame([("boom",)], "prompt string")
+    assert enrich.answer(p, Json(), enrich.EchoGenerator()).first().answer == "boom"
+    v = spark.createDataFrame([([1.0],), (None,)], "embedding array<double>")
+    assert enrich.embedding_stats(v, 2.0).first().asDict() == {"total": 2, "embedded": 1, "failed": 1, "per_second": 0.5}
+    papers = spark.createDataFrame([("boom", "x"), ("t", "DECISION: yes")], "title string, abstract string")
+    assert [r.is_relevant for r in enrich.verify_relevance(papers, enrich.EchoGenerator()).collect()] == [False, True]
