@@ -101,12 +101,23 @@ def dense_search_expr(query_vector: Column, rows: DataFrame, k: int = 20, *, thr
 # ---- sparse
 
 
+def word_counts(tokens: Column) -> Column:
+    """(token, n) for each distinct token of an array, by token: the array is sorted and its runs are measured, within the row."""
+    run = F.array_sort(tokens)
+    before = F.concat(F.array(F.lit(None).cast("string")), run)  # one longer: the last place ends the last run
+    edges = F.zip_with(F.concat(run, F.array(F.lit(None).cast("string"))), before, lambda x, y: F.when(~x.eqNullSafe(y), F.struct(x.alias("token"))))
+    at = F.filter(F.transform(edges, lambda e, i: F.when(e.isNotNull(), F.struct(e["token"].alias("token"), i.alias("at")))), lambda e: e.isNotNull())
+    pairs = F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), lambda x, y: F.struct(x["token"].alias("token"), (y["at"] - x["at"]).alias("n")))
+    return F.filter(pairs, lambda p: p["token"].isNotNull() & p["n"].isNotNull())
+
+
 def term_frequencies(rows: DataFrame, *, key: str = "chunk_id", text: str = "text", top: int = 128, pattern: str = r"[^\p{L}]+") -> DataFrame:
-    """Long sparse vectors (key, token, weight): counts of lower-cased words, the `top` of each row by count, then token."""
-    tokens = rows.select(key, F.explode(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), pattern), lambda t: t != "")).alias("token"))
-    counts = tokens.groupBy(key, "token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    order = Window.partitionBy(key).orderBy(F.desc("weight"), "token")
-    return counts.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top).drop("_r")
+    """Long sparse vectors (key, token, weight): counts of lower-cased words, the `top` of each row by count, then token. Made
+    within each row, without an exchange."""
+    tokens = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), pattern), lambda t: t != "")
+    counted = F.transform(word_counts(tokens), lambda p: F.struct((-p["n"]).alias("n"), p["token"].alias("token")))
+    best = F.slice(F.array_sort(counted), 1, top)
+    return rows.select(key, F.explode(best).alias("p")).select(key, "p.token", (-F.col("p.n")).cast("double").alias("weight"))
 
 
 def sparse_vectors(rows: DataFrame, weights: str = "weights", k: int = 128, key: str = "chunk_id") -> DataFrame:
