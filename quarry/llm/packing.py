@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from quarry.llm.encoding import encoder
 
 WINDOW = 4096  # waiting pieces that a task packs together
+WORDS_KEPT = 300_000  # per worker
 
 
 def fill(demand: np.ndarray, room: np.ndarray) -> list[list[int]]:
@@ -132,7 +133,7 @@ def pack_documents(docs: DataFrame, path: str, *, end_id: int, max_tokens: int =
     end = struct.pack("<I", end_id)
 
     def rows(batch):
-        encode = encoder(path).encode
+        encode = encoder(path, WORDS_KEPT).encode
         for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             yield doc_id, encode(t.as_py()) + end, None
 
@@ -147,7 +148,7 @@ def pack_examples(examples: DataFrame, path: str, *, end_id: int, max_tokens: in
     end = struct.pack("<I", end_id)
 
     def rows(batch):
-        encode = encoder(path).encode
+        encode = encoder(path, WORDS_KEPT).encode
         for conv_id, turns in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             ids, marks = [], []
             for turn in turns.as_py() or []:

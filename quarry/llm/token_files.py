@@ -31,6 +31,7 @@ from quarry.llm.encoding import encoder
 BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 19
+WORDS_KEPT = 900_000  # per worker
 _HEAD = struct.Struct(">4sIIIQ")
 _COLUMN = struct.Struct(">QQB")
 _CHUNK = 1024  # blocks packed at once
@@ -156,7 +157,7 @@ def _segments(path: str, end_id: int):
         from pyspark import TaskContext
 
         partition, segment, doc_ids, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
-        encode = encoder(path).encode
+        encode = encoder(path, WORDS_KEPT).encode
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 x = encode(text.as_py()) + end
