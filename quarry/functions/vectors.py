@@ -61,7 +61,7 @@ def sparse_from_json(text: Column) -> Column:
 
 def sparse_nnz(weights: Column) -> Column:
     """Entries of a sparse map; none for null."""
-    return F.coalesce(F.map_entries(weights).cast("string").isNotNull().cast("int") * F.size(weights), F.lit(0))
+    return F.when(weights.isNull(), 0).otherwise(F.size(weights))
 
 
 def shorten(vector: Column, dims: int) -> Column:

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -34,3 +41,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives Python workers this package where they couldn't import it: a driver that runs elsewhere and has the folder neither as its
+    working directory nor on PYTHONPATH. Spark hands the archive to every executor, also to ones that join later."""
+    root, app = Path(__file__).resolve().parents[1], spark.sparkContext.applicationId
+    known = [Path(p or ".").resolve() for p in (os.environ.get("PYTHONPATH") or "").split(os.pathsep) if p] + [Path.cwd()]
+    if app in _SHIPPED or root in known:
+        return
+    folder = tempfile.mkdtemp(prefix="quarry-")
+    atexit.register(shutil.rmtree, folder, True)  # the driver serves the archive as long as it runs
+    archive = Path(folder) / "quarry-package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in [*sorted((root / "quarry").rglob("*.py")), *sorted(root.glob("corpus_pipeline.py"))]:
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
