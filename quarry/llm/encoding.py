@@ -9,8 +9,10 @@ strings of special tokens are ordinary text.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
+import struct
 
 import numpy as np
 
@@ -38,9 +40,15 @@ class _Pieces(dict):
 
     def __init__(self, model, keep: int):
         self.tokenize, self.letters, self.keep = model.tokenize, _byte_letters(), keep
+        self.space = self.letters[32]
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+        if piece.isascii() and "\n" not in piece:  # of plain ASCII, space and line feed alone have other letters
+            shown = piece.replace(" ", self.space)
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tokenize(shown)]
+        ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) < self.keep:
             self[piece] = ids
         return ids
@@ -102,4 +110,5 @@ def encoder(path: str, keep: int) -> Encoder:
     """The worker's encoder of a vocabulary file; it outlives a task."""
     if (path, keep) not in _ENCODERS:
         _ENCODERS[path, keep] = Encoder(path, keep)
+        gc.freeze()  # a worker collects garbage after each task, and would walk through all words held
     return _ENCODERS[path, keep]

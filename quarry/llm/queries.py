@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from quarry.llm.token_files import read_token_files, write_token_files
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "token-files")
     write_token_files(documents(spark, sf_dir), out, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
-    return read_token_files(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_files(spark, out, derive=(("ids_crc32", "long", zlib.crc32),))
 
 
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

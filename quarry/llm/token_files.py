@@ -19,7 +19,7 @@ A manifest (parquet) holds each segment's counts and the ids before it.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from quarry.llm.encoding import encoder
 
 BLOCK = 128
 PERCENTILE = 0.9
-SEGMENT_IDS = 1 << 19
+SEGMENT_IDS = 1 << 20
 WORDS_KEPT = 900_000  # per worker
 _HEAD = struct.Struct(">4sIIIQ")
 _COLUMN = struct.Struct(">QQB")
@@ -141,10 +141,10 @@ def unpack_segment(data: bytes) -> tuple[int, int, list[int | None], np.ndarray,
     magic, partition, segment, _, _ = _HEAD.unpack_from(data)
     if magic != b"PFOR":
         raise ValueError("not a token file")
-    at, columns = _HEAD.size, []
+    at, columns, view = _HEAD.size, [], memoryview(data)
     for _ in range(4):
         (size,) = struct.unpack_from(">Q", data, at)
-        columns.append(pfor_unpack(data[at + 8 : at + 8 + size]))
+        columns.append(pfor_unpack(view[at + 8 : at + 8 + size]))
         at += 8 + size
     has, doc_ids, counts, ids = columns
     return partition, segment, [int(d) if h else None for h, d in zip(has, doc_ids, strict=True)], counts, ids
@@ -201,21 +201,33 @@ def _files(spark: SparkSession, out_dir: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{out_dir}/data").filter("length > 24")
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["partition", "segment", "doc_id", "ahead", "n_tokens", "ids"]
-    for batch in batches:
-        for content in batch.column(0):
-            partition, segment, doc_ids, counts, ids = unpack_segment(content.as_py())
-            ends = np.cumsum(counts)
-            raw, n = ids.astype("<u4").tobytes(), len(doc_ids)
-            offsets = pa.py_buffer(np.concatenate(([0], ends * 4)).astype(np.int32).tobytes())
-            arrays = [pa.array(np.full(n, partition, np.int64)), pa.array(np.full(n, segment, np.int64)), pa.array(doc_ids, pa.int64()), pa.array(ends - counts), pa.array(counts), pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(raw)])]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+def _documents(derive: tuple[tuple[str, str, Callable[[memoryview], int]], ...]):
+    names = ["partition", "segment", "doc_id", "ahead", "n_tokens", *([n for n, _, _ in derive] or ["ids"])]
 
-
-def read_token_files(spark: SparkSession, out_dir: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                partition, segment, doc_ids, counts, ids = unpack_segment(content.as_buffer())
+                ends = np.cumsum(counts)
+                raw, n = ids.astype("<u4").tobytes(), len(doc_ids)
+                arrays = [pa.array(np.full(n, partition, np.int64)), pa.array(np.full(n, segment, np.int64)), pa.array(doc_ids, pa.int64()), pa.array(ends - counts), pa.array(counts)]
+                if derive:
+                    view, bounds = memoryview(raw), [0, *(ends * 4).tolist()]
+                    for _, _, f in derive:
+                        arrays.append(pa.array([f(view[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]))
+                else:
+                    offsets = pa.py_buffer(np.concatenate(([0], ends * 4)).astype(np.int32).tobytes())
+                    arrays.append(pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(raw)]))
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return run
+
+
+def read_token_files(spark: SparkSession, out_dir: str, derive: tuple[tuple[str, str, Callable[[memoryview], int]], ...] = ()) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit), from the
-    files. The manifest has a row for each segment; Spark broadcasts it only under its own size threshold."""
-    docs = _files(spark, out_dir).select("content").mapInArrow(_documents, "partition long, segment long, doc_id long, ahead long, n_tokens long, ids binary")
+    files. derive: (name, type, function of a document's ids) for columns made where the ids are read, in place of the ids. The manifest has
+    a row for each segment; Spark broadcasts it only under its own size threshold."""
+    made = ", ".join(f"{n} {t}" for n, t, _ in derive) or "ids binary"
+    docs = _files(spark, out_dir).select("content").mapInArrow(_documents(derive), f"partition long, segment long, doc_id long, ahead long, n_tokens long, {made}")
     manifest = spark.read.parquet(f"{out_dir}/manifest").select("partition", "segment", F.col("start").alias("base"))
-    return docs.join(manifest, ["partition", "segment"]).select("doc_id", (F.col("base") + F.col("ahead")).alias("start"), "n_tokens", "ids")
+    return docs.join(manifest, ["partition", "segment"]).select("doc_id", (F.col("base") + F.col("ahead")).alias("start"), "n_tokens", *([n for n, _, _ in derive] or ["ids"]))
