@@ -21,7 +21,7 @@ NGRAMS = (1, 2, 3)
 BUCKETS = 1 << 16
 SMOOTH = 0.5
 UNKNOWN = "und"
-MAX_LANGUAGES = 512  # the matrix has at most BUCKETS * MAX_LANGUAGES entries
+MAX_LANGUAGES = 64  # the matrix has at most BUCKETS * MAX_LANGUAGES entries
 _CHARS = 1 << 19  # code points taken at once
 
 
@@ -96,11 +96,10 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
             buckets = np.concatenate(([-1], full))
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(buckets)), pa.array(buckets), pa.array(np.concatenate(([docs_[name]], x[full])))], ["lang", "bucket", "n"])
 
-    summed = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = summed.limit(BUCKETS * MAX_LANGUAGES + 1).toPandas()
-    if len(found) > BUCKETS * MAX_LANGUAGES:
+    languages = tuple(sorted(r[0] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()))
+    if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = tuple(sorted(found["lang"].unique()))
+    found = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     at = found["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(int)
     bucket, n = found["bucket"].to_numpy(int), found["n"].to_numpy(float)
     counts, rows_of = np.zeros((BUCKETS, len(languages))), np.zeros(len(languages))
@@ -120,9 +119,10 @@ def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "
     names = own if carry else ["doc_id"]
     shown = carried(own) if carry else [F.col(key).cast("long").alias("doc_id")]
     rows = docs.select(F.col(text).alias("_input"), held_out(F.col(key)).alias("_held"), *shown)
-    logp, prior, languages = model.logp, model.prior, model.languages
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * MAX_LANGUAGES numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logp, prior, languages = sent.value.logp, sent.value.prior, sent.value.languages
         for batch in batches:
             guesses, scores = [], []
             for _, texts in _batches(batch.column(0)):
