@@ -10,6 +10,8 @@ agrees with the old one again over as many bytes as the longest token has. The e
 from __future__ import annotations
 
 import base64
+import gc
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +23,21 @@ from pyspark.sql import functions as F
 from quarry.llm.encoding import _ADJACENT, _MATCHES, _PLAIN
 
 
+HEAD = 9  # bytes of a prefix that is short
+
+
 class Vocabulary:
-    """Tokens by rank; single bytes must be among them. Merge parts of a token are found when first asked for."""
+    """Tokens by rank; single bytes must be among them."""
 
-    def __init__(self, ranks: dict[bytes, int], keep_pairs: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], keep_pairs: int = 200_000, keep_heads: int = 150_000):
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks))
         self.parts: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.keep_pairs = keep_pairs
+        self.made = {t: r for t, r in ranks.items() if self.split(r) is not None}  # tokens that merges can make
+        self.pairs: dict[int, bool] = {}  # by left token << 32 | right token
+        self.heads: dict[bytes, int] = {}  # last tokens of short prefixes, which many strings share
+        self.keep_pairs, self.keep_heads = keep_pairs, keep_heads
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -54,11 +61,11 @@ class Vocabulary:
 
     def adjacent(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b, merged together, are the tokens a and b."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is None:
             known = self._border(a, b)
             if len(self.pairs) < self.keep_pairs:
-                self.pairs[a, b] = known
+                self.pairs[a << 32 | b] = known
         return known
 
     def _border(self, a: int, b: int) -> bool:
@@ -84,35 +91,48 @@ class PrefixTable:
         self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
-    def _next(self, i: int) -> int:
+    def _fill(self, first: int, edge: int = 0, old: list[int] | None = None) -> int:
+        """Adds the entries of all prefixes from `first` on, the longest candidate first. With `old` entries of the prefixes beyond
+        `edge`, it stops where as many in a row agree as the longest token has bytes. Returns the last prefix whose entry was made."""
         v, data, last = self.vocabulary, self.data, self.last
-        get = v.ranks.get
-        for a in range(max(0, i - v.longest), i):
-            token = get(data[a:i])
-            if token is not None and v.split(token) is not None and (a == 0 or v.adjacent(last[a], token)):
-                return token
-        raise ValueError("a byte has no token")
+        token_of, pairs, longest, heads = v.made.get, v.pairs, v.longest, v.heads
+        same = 0
+        for i in range(first, len(data) + 1):
+            token = heads.get(data[:i]) if i <= HEAD else None
+            if token is None:
+                for a in range(i - longest if i > longest else 0, i):
+                    token = token_of(data[a:i])
+                    if token is not None:
+                        if not a:
+                            break
+                        good = pairs.get(last[a] << 32 | token)
+                        if good or good is None and v.adjacent(last[a], token):
+                            break
+                else:
+                    raise ValueError("a byte has no token")
+                if i <= HEAD and len(heads) < v.keep_heads:
+                    heads[data[:i]] = token
+            last.append(token)
+            if old is not None and i > edge:
+                same = same + 1 if token == old[i - edge - 1] else 0
+                if same >= longest:
+                    return i
+        return len(data)
 
     def append(self, data: bytes) -> None:
         """Exact: what is in the table stays as it is."""
         done, self.data = len(self.data), self.data + data
-        for i in range(done + 1, len(self.data) + 1):
-            self.last.append(self._next(i))
+        self._fill(done + 1)
 
     def replace(self, start: int, end: int, data: bytes) -> int:
         """Puts `data` in place of bytes [start, end). Returns how many entries were computed anew."""
         old = self.last[end + 1 :]
         self.data = self.data[:start] + data + self.data[end:]
         self.last = self.last[: start + 1]
-        edge, same = start + len(data), 0
-        for i in range(start + 1, len(self.data) + 1):
-            self.last.append(self._next(i))
-            if i > edge:
-                same = same + 1 if self.last[i] == old[i - edge - 1] else 0
-                if same >= self.vocabulary.longest:
-                    self.last += old[i - edge :]
-                    return i - start
-        return len(self.data) - start
+        edge = start + len(data)
+        done = self._fill(start + 1, edge, old)
+        self.last += old[done - edge :]
+        return done - start
 
     def ids(self) -> list[int]:
         out, i, tokens = [], len(self.data), self.vocabulary.tokens
@@ -129,7 +149,8 @@ class _Matches(dict):
     def __missing__(self, match: str) -> bytes:
         data = match.encode()
         whole = self.vocabulary.ranks.get(data)
-        ids = np.array([whole] if whole is not None else PrefixTable(self.vocabulary, data).ids(), "<u4").tobytes()
+        ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).ids()
+        ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) < self.keep:
             self[match] = ids
         return ids
@@ -148,13 +169,13 @@ class _Words(dict):
 
 class Codec:
     """Texts to ids and back; a match that is a token is that token, any other goes through a prefix table. Ids of frequent words and
-    matches are held per worker (`keep` of each, about 150 bytes apiece)."""
+    matches are held per worker (about 200 bytes apiece); matches matter more, as they cost more."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, keep: int = 350_000):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, keep_words: int = 200_000, keep_matches: int = 400_000):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
-        matches = _Matches(vocabulary, keep)
+        matches = _Matches(vocabulary, keep_matches)
         self.match = matches.__getitem__
-        self.first, self.later = _Words(matches, "", keep), _Words(matches, " ", keep)
+        self.first, self.later = _Words(matches, "", keep_words // 4), _Words(matches, " ", keep_words)
         self.plain = pattern == _SPLIT
 
     def _line(self, line: str) -> bytes:
@@ -182,6 +203,7 @@ def codec(path: str, pattern: str) -> Codec:
     """The worker's codec of a rank file; it outlives a task."""
     if (path, pattern) not in _CODECS:
         _CODECS[path, pattern] = Codec(Vocabulary.load(path), pattern)
+        gc.freeze()  # a worker collects garbage after each task, and would walk through all words held
     return _CODECS[path, pattern]
 
 
