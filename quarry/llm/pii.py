@@ -95,13 +95,21 @@ _NUMBERS = (("iban", _IBAN), ("card", _CARD), ("ip", _IP), ("ssn", _SSN))
 _ALL = re.compile("|".join(f"(?P<{n}>{p})" for n, p in (("mail", _MAIL), *_NUMBERS)), re.ASCII)
 _NO_MAIL = re.compile("|".join(f"(?P<{n}>{p})" for n, p in _NUMBERS), re.ASCII)
 _DIGIT = re.compile("[0-9]")
+_GROUP, _CHAIN, _MARK = re.compile("[0-9]+"), re.compile("[0-9]+(?:-[0-9]+)*"), re.compile("[ -]")
+_IPS = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 _DATES, _PHONES = re.compile(_DATE, re.ASCII), re.compile(_PHONE, re.ASCII)
+_CARD_FORMS = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))}  # digits of a card's usual groups
+_IBAN_SIZES = dict(re.findall("([A-Z]{2})([0-9]{2})", """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18
+    FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19
+    MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29
+    VA22 VG24 XK20 YE30"""))
 KINDS = ("mail", "iban", "card", "ip", "ssn", "date", "phone")
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
 class Masker:
-    """Finds and replaces personal data; `undo` gives the originals back."""
+    """Finds and replaces personal data; `undo` gives the originals back. A pseudonym may be valid together with digits beside it where the
+    original was not: restore() takes the spans of mask() instead of a search, and is exact there too."""
 
     def __init__(self, key: bytes, undo: bool = False):
         p = Permutation(key)
@@ -212,16 +220,71 @@ class Masker:
         new = str(self.permute(f"phone {digits[:keep]} {len(free)}", 10 ** len(free), int(free))).zfill(len(free))
         return _put(s, digits[:keep] + new)
 
+    def _iban_sized(self, text: str, start: int, end: int) -> tuple[int, str] | None:
+        """(end, pseudonym) of the IBAN at `start` that has its country's length."""
+        size = _IBAN_SIZES.get(text[start : start + 2])
+        return self._iban_within(text, start, end + 1, int(size)) if size else None
+
+    def _iban_within(self, text: str, start: int, end: int, size: int | None = None) -> tuple[int, str] | None:
+        """The same for the longest valid IBAN that ends at a border before `end`, or the one of `size` characters."""
+        for b in range(end - 1, start + 14, -1):
+            if text[b - 1] != " " and not text[b : b + 1].isalnum() and (not size or b - start - text.count(" ", start, b) == size):
+                new = self._iban(text[start:b])
+                if new is not None:
+                    return b, new
+        return None
+
+    def _cards_at(self, text: str, start: int, end: int) -> Iterator[tuple[int, bool]]:
+        """Ends up to `end` of valid card numbers that begin at `start`, and whether their groups are usual ones; those first, then the longest."""
+        at, sizes, ends = start, [], []
+        while m := _GROUP.match(text, at):
+            sizes.append(m.end() - at)
+            if m.end() > end or sum(sizes) > 19:
+                break
+            if sum(sizes) >= 13 and not text[m.end() : m.end() + 1].isalpha():
+                ends.append((tuple(sizes) in _CARD_FORMS, m.end()))
+            at = m.end() + 1
+            if text[m.end() : at] not in (" ", "-"):
+                break
+        for usual, b in sorted(ends, reverse=True):
+            flat = re.sub("[ -]", "", text[start:b])
+            if str(_luhn(flat[:-1])) == flat[-1] and not _DATES.search(text, start, b):
+                yield b, usual
+
+    def _card_within(self, text: str, start: int, end: int) -> tuple[int, str] | None:
+        """(end, pseudonym) of a card number that begins at `start` and ends at a border up to `end`. One of unusual groups gives way to one of
+        usual groups that begins within it; one with a calendar date in it isn't taken."""
+        for b, usual in self._cards_at(text, start, end):
+            later = (m.end() for m in _MARK.finditer(text, start, b)) if not usual else ()
+            if any(u for a in later if text[a - 1] == " " for _, u in self._cards_at(text, a, len(text))):
+                return None
+            return b, self._card(text[start:b])
+        return None
+
     def mask(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of what they replaced, in code points of the text given, in order."""
         found: list[tuple[int, int, str, str]] = []
         mail = "@" in text
         if not mail and not _DIGIT.search(text):
             return text, []
-        for m in (_ALL if mail else _NO_MAIL).finditer(text):
-            new = getattr(self, f"_{m.lastgroup}")(m[0])
+        pattern, at = _ALL if mail else _NO_MAIL, 0
+        while m := pattern.search(text, at):
+            kind, start, end = m.lastgroup, m.start(), m.end()
+            new = self._iban_sized(text, start, end) if kind == "iban" else None
+            if new is None:
+                new = end, getattr(self, f"_{kind}")(m[0])
+            if new[1] is None and kind in ("iban", "card"):
+                new = (self._iban_within if kind == "iban" else self._card_within)(text, start, end) or new
+            if new[1] is None and kind == "card":  # after a space the search begins anew by itself, after a hyphen it doesn't
+                for g in _GROUP.finditer(text, start + 1, _CHAIN.match(text, start).end()):
+                    if text[g.start() - 1] == "-" and (later := self._card_within(text, g.start(), len(text))):
+                        start, new = g.start(), later
+                        break
+            # What fails its check takes nothing with it: the search goes on behind its start.
+            end, new = new
             if new is not None:
-                found.append((m.start(), m.end(), m.lastgroup, new))
+                found.append((start, end, kind, new))
+            at = end if new is not None or kind == "mail" else start + 1
         for kind, pattern in (("date", _DATES), ("phone", _PHONES)):
             taken = sorted(found)
             k = 0
@@ -241,6 +304,18 @@ class Masker:
         return "".join([*out, text[at:]]), [(kind, a, b) for a, b, kind, _ in found]
 
 
+def restore(text: str, spans: list[tuple[str, int, int]], key: bytes) -> str:
+    """The original of a text that Masker(key).mask gave with these spans."""
+    back, out, at, last = Masker(key, undo=True), [], 0, 0
+    for kind, a, b in spans:
+        out.append(text[at : at + a - last])
+        at += a - last
+        end = _IPS.match(text, at).end() if kind == "ip" else at + b - a  # all others keep their length
+        out.append(getattr(back, f"_{kind}")(text[at:end]))
+        at, last = end, b
+    return "".join([*out, text[at:]])
+
+
 def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFrame:
     """All columns of docs with pseudonyms in the text, and pii_spans (kind, start, end of the values in the original text, code points,
     end exclusive). A null text stays null and has no spans. Every other column is passed on as it is; one named pii_spans gives way. Whole

@@ -493,6 +493,28 @@ def test_invalid_values_stay(text):
     assert pii.Masker(b"key").mask(text) == (text, [])
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("4111 1111 1111 1111 123", [("card", 0, 19)]),
+        ("4111111111111111 12/25", [("card", 0, 16)]),
+        ("x 12 4111111111111111 y", [("card", 5, 21)]),
+        ("12-4111-1111-1111-1111 y", [("card", 3, 22)]),
+        ("4111111111111111 56.187.231.175", [("card", 0, 16), ("ip", 17, 31)]),
+        ("BE68 5390 0754 7034 BIC", [("iban", 0, 19)]),
+        ("BE68539007547034 EUR", [("iban", 0, 16)]),
+        ("AB13 BE68 5390 0754 7034 KREDBEBB", [("iban", 5, 24)]),
+    ],
+)
+def test_values_beside_other_characters(text, want):
+    new, spans = pii.Masker(b"key").mask(text)
+    assert spans == want and pii.restore(new, spans, b"key") == text
+    at = 0
+    for _, a, b in want:
+        assert text[at:a] in new and text[a:b] not in new
+        at = b
+
+
 def test_pseudonymise(docs, rows, empty):
     clash = docs.withColumn("pii_spans", F.lit(3)).withColumn("_x", F.lit("z"))
     got = pii.pseudonymise(clash, b"key")
