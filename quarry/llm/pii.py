@@ -88,14 +88,15 @@ _IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 _DATE = r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9]|[./-][0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _LOCAL = r"[0-9]{3,4}[ .-][0-9]{3,4}"
-#: With a country code or an area in brackets, or bare groups that no other digits adjoin.
-_PHONE = rf"(?<![A-Za-z0-9+])(?:\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{2,4}}\)[ .-]?|[0-9]{{2,4}}[ .-])|\([0-9]{{2,4}}\)[ .-]?){_LOCAL}(?![0-9])|(?<![A-Za-z0-9+])(?<![0-9][ .-])[0-9]{{2,4}}[ .-]{_LOCAL}(?![ .-]?[0-9])"
+#: With a country code or an area in brackets, or bare groups that no other digits adjoin, or a country code and digits in any grouping.
+_PHONE = rf"(?<![A-Za-z0-9+])(?:\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{2,4}}\)[ .-]?|[0-9]{{2,4}}[ .-])|\([0-9]{{2,4}}\)[ .-]?){_LOCAL}(?![0-9])|(?<![A-Za-z0-9+])(?<![0-9][ .-])[0-9]{{2,4}}[ .-]{_LOCAL}(?![ .-]?[0-9])|(?<![A-Za-z0-9+])\+[0-9](?:\)?[ ./-]?\(?[0-9]){{6,14}}(?![0-9])"
 _CARD = r"(?<![A-Za-z0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
 _NUMBERS = (("iban", _IBAN), ("card", _CARD), ("ip", _IP), ("ssn", _SSN))
 _ALL = re.compile("|".join(f"(?P<{n}>{p})" for n, p in (("mail", _MAIL), *_NUMBERS)), re.ASCII)
 _NO_MAIL = re.compile("|".join(f"(?P<{n}>{p})" for n, p in _NUMBERS), re.ASCII)
 _DIGIT = re.compile("[0-9]")
 _GROUP, _CHAIN, _MARK = re.compile("[0-9]+"), re.compile("[0-9]+(?:-[0-9]+)*"), re.compile("[ -]")
+_COUNTRY = re.compile(r"\+([17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})")  # country codes differ in length
 _IPS = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 _DATES, _PHONES = re.compile(_DATE, re.ASCII), re.compile(_PHONE, re.ASCII)
 _CARD_FORMS = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))}  # digits of a card's usual groups
@@ -214,7 +215,7 @@ class Masker:
         if not 7 <= len(digits) <= 15:
             return None
         # The country code stays; all other digits are permuted together.
-        code = re.match(r"\+([0-9]{1,3})", s)
+        code = re.match(r"\+([0-9]{1,3})(?![0-9])", s) or _COUNTRY.match(s)
         keep = len(code[1]) if code else 0
         free = digits[keep:]
         new = str(self.permute(f"phone {digits[:keep]} {len(free)}", 10 ** len(free), int(free))).zfill(len(free))

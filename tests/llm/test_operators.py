@@ -515,6 +515,21 @@ def test_values_beside_other_characters(text, want):
         at = b
 
 
+@pytest.mark.parametrize(
+    ("value", "code"),
+    [("+14155552671", "+1"), ("+33 1 23 45 67 89", "+33 "), ("+49 30 123456", "+49 "), ("+353861234567", "+353"), ("+44 (0)20 7946 0958", "+44 ("), ("+49 30/1234567", "+49 ")],
+)
+def test_phone_numbers_in_any_grouping(value, code):
+    new, spans = pii.Masker(b"key").mask(f"call {value}, or not")
+    assert spans == [("phone", 5, 5 + len(value))] and new[5:].startswith(code) and value not in new
+    assert pii.Masker(b"key", undo=True).mask(new)[0] == f"call {value}, or not"
+
+
+@pytest.mark.parametrize("text", ["+12345", "a+14155552671", "1+2 = 3", "+1234567890123456"])
+def test_what_is_no_phone_number_stays(text):
+    assert pii.Masker(b"key").mask(text) == (text, [])
+
+
 def test_pseudonymise(docs, rows, empty):
     clash = docs.withColumn("pii_spans", F.lit(3)).withColumn("_x", F.lit("z"))
     got = pii.pseudonymise(clash, b"key")
