@@ -325,6 +325,32 @@ def test_nested_layers(outer, inner):
     assert found and all(7 <= a and b <= 7 + len(hidden) for a, _, b in found)
 
 
+@pytest.mark.parametrize("layer", ["base64", "gzip", "zlib"])
+@pytest.mark.parametrize("width", [16, 19, 64, 76])
+@pytest.mark.parametrize("around", ["before\n{}\nafter", "-----BEGIN CERTIFICATE-----\n{}\n-----END CERTIFICATE-----", "x: {}"])
+@pytest.mark.parametrize("line", ["\n", "\r\n", "\n  > ", "\\n"])
+def test_wrapped_runs(layer, width, around, line):
+    rng = random.Random(width)
+    noise = " ".join("".join(rng.choices("ghijklmnop", k=7)) for _ in range(12))
+    run = LAYERS[layer](f"{noise} password = hunter2hunter2hunter2hunter2hunter2hunter2hunter2x and {noise}")
+    run = line.join(run[i : i + width] for i in range(0, len(run), width))
+    text = around.format(run)
+    found = [(a, b) for a, k, b, d in secrets.find(text) if d and k == 0]
+    start = text.index(run)
+    assert any(start <= a and b <= start + len(run) and (layer != "base64" or b - a > 64) for a, b in found)
+
+
+@pytest.mark.parametrize("odd", ["\xa0", "\u200b", "\xad", "\0"])
+def test_layers_with_unprintable_characters(odd):
+    hidden = LAYERS["base64"](f"one{odd} password = hunter2hunter2x")
+    assert [k for _, k, _, d in secrets.find(hidden) if d] == [0]
+
+
+def test_lines_of_their_own_are_still_read_each():
+    lines = [LAYERS["base64"](f"token = {c * 16}") for c in "gh"]
+    assert len({(a, b) for a, k, b, d in secrets.find("\n".join(lines)) if d and k == 0}) >= 2
+
+
 def test_cycles_and_plain_text_end():
     assert secrets.find("%2525252525 100%25 %zz \\u00zz") == []
     assert secrets.find("") == []
