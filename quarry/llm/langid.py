@@ -22,6 +22,7 @@ BUCKETS = 1 << 16
 SMOOTH = 0.5
 UNKNOWN = "und"
 MAX_LANGUAGES = 64  # the matrix has at most BUCKETS * MAX_LANGUAGES entries
+SAMPLE = 4000  # rows that set the least likeness
 _CHARS = 1 << 19  # code points taken at once
 
 
@@ -30,6 +31,7 @@ class Model:
     languages: tuple[str, ...]
     logp: np.ndarray  # BUCKETS x languages
     prior: np.ndarray
+    rows: int = 0  # that trained
 
 
 def held_out(key: Column) -> Column:
@@ -71,10 +73,14 @@ def _ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield h, np.concatenate(([0], np.cumsum(sizes - n + 1)))
 
 
+def _trains(key: str, text: str, lang: str) -> Column:
+    return F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key))
+
+
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learns from the texts and languages of all rows that aren't held out and have both. The driver gets one row of sums for each bucket and
     language, BUCKETS * MAX_LANGUAGES at most; more languages are refused."""
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key))).select(F.col(lang).cast("string").alias("lang"), F.col(text))
+    rows = docs.filter(_trains(key, text, lang)).select(F.col(lang).cast("string").alias("lang"), F.col(text))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -107,14 +113,15 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
     rows_of[at[head]] = n[head]
     counts[bucket[~head], at[~head]] = n[~head]
     logp = np.log(counts + SMOOTH) - np.log(counts.sum(axis=0) + SMOOTH * BUCKETS)
-    return Model(languages, logp, np.log(np.maximum(rows_of, 1)) - np.log(max(rows_of.sum(), 1)))
+    return Model(languages, logp, np.log(np.maximum(rows_of, 1)) - np.log(max(rows_of.sum(), 1)), int(rows_of.sum()))
 
 
-def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
-    """held_out, lang_pred and score (posterior probability of lang_pred) of every whole text; with `carry` after all columns of docs, else
+def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", carry: bool = False, likeness: bool = False) -> DataFrame:
+    """held_out, lang_pred and score (posterior probability of lang_pred) of every whole text, with `likeness` also the mean log probability of
+    an n-gram in lang_pred, which unlike the posterior doesn't grow surer with the length (null for `und`); with `carry` after all columns of docs, else
     after doc_id. A null text, one without a letter, and any text where nothing was learned get `und` and score 0. The first of equal
     languages by name wins. Null and repeated keys are kept; a column of docs with the name of a result gives way to it."""
-    results = ["held_out", "lang_pred", "score"]
+    results = ["held_out", "lang_pred", "score"] + ["likeness"] * likeness
     own = [c for c in docs.columns if c not in results] if carry else []
     names = own if carry else ["doc_id"]
     shown = carried(own) if carry else [F.col(key).cast("long").alias("doc_id")]
@@ -124,20 +131,32 @@ def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logp, prior, languages = sent.value.logp, sent.value.prior, sent.value.languages
         for batch in batches:
-            guesses, scores = [], []
+            guesses, scores, means = [], [], []
             for _, texts in _batches(batch.column(0)):
                 if languages:
-                    total = np.tile(prior, (len(texts), 1))
+                    total, n = np.tile(prior, (len(texts), 1)), np.zeros(len(texts))
                     for h, at in _ngrams(texts):
+                        n += np.diff(at)
                         total += np.stack([sums(logp[:, k][h], at, np.float64) for k in range(len(languages))], axis=1)
                     best = total.argmax(axis=1)
+                    mean = (total.max(axis=1) - prior[best]) / n
                     sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 for i, t in enumerate(texts):
                     known = bool(languages) and any(map(str.isalpha, t))
                     guesses.append(languages[best[i]] if known else UNKNOWN)
                     scores.append(float(sure[i]) if known else 0.0)
-            columns = [*batch.columns[2:], batch.column(1), pa.array(guesses, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, *results])
+                    means.append(float(mean[i]) if known else None)
+            columns = [*batch.columns[2:], batch.column(1), pa.array(guesses, pa.string()), pa.array(scores, pa.float64()), pa.array(means, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns[: len(names) + len(results)], [*names, *results])
 
     head = fields(docs, own) if carry else "doc_id long"
-    return rows.mapInArrow(run, ", ".join([head] * bool(head) + ["held_out boolean", "lang_pred string", "score double"]))
+    return rows.mapInArrow(run, ", ".join([head] * bool(head) + ["held_out boolean", "lang_pred string", "score double"] + ["likeness double"] * likeness))
+
+
+def least_likeness(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> float:
+    """The likeness that a text in a learned language has at least: as far below the lowest hundredth of the rows that trained as that is below
+    their median. From about SAMPLE of them, by a hash; one narrow pass, the driver gets quantiles alone."""
+    part = F.pmod(F.xxhash64(key, text), F.lit(max(1, model.rows // SAMPLE))) == 0
+    seen = predict(docs.filter(_trains(key, text, lang) & part), model, key=key, text=text, likeness=True)
+    low, middle = seen.select(F.percentile("likeness", F.array(F.lit(0.01), F.lit(0.5))).alias("q")).first().q or (0.0, 0.0)
+    return low - (middle - low)

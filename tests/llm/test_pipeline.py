@@ -1,5 +1,6 @@
 """The pipeline's stages against plain versions, and run() against its stages."""
 
+import random
 import zlib
 
 import corpus_pipeline
@@ -41,6 +42,17 @@ def test_language_stage_keeps_what_has_a_language(stages):
     assert len(stages[2]) >= 0.98 * len(stages[1]) and all(any(map(str.isalpha, r.text)) for r in stages[2])
 
 
+def test_language_stage_drops_other_languages_and_gibberish(stages, spark, sf):
+    rng = random.Random(3)
+    odd = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(rng.randint(20, 200))) for _ in range(30)]
+    odd += ["Москва является столицей России и крупнейшим городом страны, в котором живут миллионы людей. " * 3, "中华人民共和国是一个位于东亚的国家,首都北京。 " * 9]
+    odd += ["Polska jest krajem położonym w Europie Środkowej, nad Morzem Bałtyckim, w dorzeczu Wisły i Odry, a jej stolicą jest Warszawa. " * 2]
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    mixed = spark.createDataFrame([*stages[1], *((10**6 + i, t, None, "odd", len(t)) for i, t in enumerate(odd))], schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, mixed, sf).collect()}
+    assert not any(i >= 10**6 for i in kept) and len(kept) >= 0.98 * len(stages[1])
+
+
 def test_duplicate_stage_keeps_one_of_each_class(stages):
     fp = {r.doc_id: plain_fingerprint(r.text) for r in stages[2]}
     linked = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2]
