@@ -1,6 +1,7 @@
 """Each operator against a plain version, on awkward rows, and on empty tables."""
 
 import base64
+import bz2
 import gzip
 import math
 import random
@@ -346,6 +347,26 @@ def test_layers_with_unprintable_characters(odd):
     assert [k for _, k, _, d in secrets.find(hidden) if d] == [0]
 
 
+def hidden_kinds(data):
+    return [k for _, k, _, d in secrets.find(f"x {base64.b64encode(data).decode()} y") if d]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress])
+def test_compressed_runs_without_caps(pack, monkeypatch):
+    secret = b"password = hunter2hunter2x"
+    assert hidden_kinds(pack(b"nothing here ") + pack(secret)) == [0]  # members
+    deep = secret
+    for _ in range(20):
+        deep = pack(deep)
+    assert hidden_kinds(deep) == [0]
+    monkeypatch.setattr(secrets, "UNPACKED", 1 << 12)
+    monkeypatch.setattr(secrets, "_WINDOW", 1000)
+    monkeypatch.setattr(secrets, "_OVERLAP", 200)
+    for at in (0, 980, 1190, 5000, 69000):
+        assert hidden_kinds(pack((b"so it is " * 8000)[:at] + b" " + secret + b" and so on" * 2000)) == [0]
+        assert hidden_kinds(pack((b"so it is " * 8000)[:at] + b" " + base64.b64encode(secret) + b" and so on" * 2000)) == [0]
+
+
 def test_lines_of_their_own_are_still_read_each():
     lines = [LAYERS["base64"](f"token = {c * 16}") for c in "gh"]
     assert len({(a, b) for a, k, b, d in secrets.find("\n".join(lines)) if d and k == 0}) >= 2
