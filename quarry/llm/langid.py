@@ -21,7 +21,7 @@ NGRAMS = (1, 2, 3)
 BUCKETS = 1 << 16
 SMOOTH = 0.5
 UNKNOWN = "und"
-MAX_LANGUAGES = 64  # the matrix has at most BUCKETS * MAX_LANGUAGES entries
+LANGUAGES = 64  # counted in one pass, so that no task holds more than BUCKETS * LANGUAGES counts
 SAMPLE = 4000  # rows that set the least likeness
 _CHARS = 1 << 19  # code points taken at once
 
@@ -78,8 +78,8 @@ def _trains(key: str, text: str, lang: str) -> Column:
 
 
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learns from the texts and languages of all rows that aren't held out and have both. The driver gets one row of sums for each bucket and
-    language, BUCKETS * MAX_LANGUAGES at most; more languages are refused."""
+    """Learns from the texts and languages of all rows that aren't held out and have both. A pass over the documents counts LANGUAGES languages, and the
+    driver gets one row of sums for each bucket and language of it. The model has BUCKETS numbers for each language, however many there are."""
     rows = docs.filter(_trains(key, text, lang)).select(F.col(lang).cast("string").alias("lang"), F.col(text))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,17 +102,19 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
             buckets = np.concatenate(([-1], full))
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(buckets)), pa.array(buckets), pa.array(np.concatenate(([docs_[name]], x[full])))], ["lang", "bucket", "n"])
 
-    languages = tuple(sorted(r[0] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    found = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    at = found["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(int)
-    bucket, n = found["bucket"].to_numpy(int), found["n"].to_numpy(float)
-    counts, rows_of = np.zeros((BUCKETS, len(languages))), np.zeros(len(languages))
-    head = bucket < 0
-    rows_of[at[head]] = n[head]
-    counts[bucket[~head], at[~head]] = n[~head]
-    logp = np.log(counts + SMOOTH) - np.log(counts.sum(axis=0) + SMOOTH * BUCKETS)
+    languages = tuple(sorted(r[0] for r in rows.select("lang").distinct().collect()))
+    logp, rows_of = np.zeros((BUCKETS, len(languages))), np.zeros(len(languages))
+    for first in range(0, len(languages), LANGUAGES):
+        block = languages[first : first + LANGUAGES]
+        own = rows.filter(F.col("lang").isin(*block)) if len(languages) > LANGUAGES else rows
+        found = own.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+        at = found["lang"].map({x: i for i, x in enumerate(block)}).to_numpy(int)
+        bucket, n = found["bucket"].to_numpy(int), found["n"].to_numpy(float)
+        counts = np.zeros((BUCKETS, len(block)))
+        head = bucket < 0
+        rows_of[first + at[head]] = n[head]
+        counts[bucket[~head], at[~head]] = n[~head]
+        logp[:, first : first + len(block)] = np.log(counts + SMOOTH) - np.log(counts.sum(axis=0) + SMOOTH * BUCKETS)
     return Model(languages, logp, np.log(np.maximum(rows_of, 1)) - np.log(max(rows_of.sum(), 1)), int(rows_of.sum()))
 
 
@@ -126,7 +128,7 @@ def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "
     names = own if carry else ["doc_id"]
     shown = carried(own) if carry else [F.col(key).cast("long").alias("doc_id")]
     rows = docs.select(F.col(text).alias("_input"), held_out(F.col(key)).alias("_held"), *shown)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * MAX_LANGUAGES numbers at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logp, prior, languages = sent.value.logp, sent.value.prior, sent.value.languages

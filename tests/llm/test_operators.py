@@ -640,6 +640,13 @@ def test_language_id_ignores_labels_of_what_it_judges(spark, docs):
     assert a == sorted((r.doc_id or -1, r.lang_pred, r.score) for r in langid.predict(hidden, model).collect())
 
 
+def test_many_languages(spark):
+    texts = [(f"l{k:02}", " ".join("".join(chr(0x4E00 + 40 * k + (7 * i + j) % 40) for j in range(5)) for i in range(20))) for k in range(70)]
+    table = spark.createDataFrame([(i, t, g) for i, (g, t) in enumerate(3 * texts)], "doc_id long, text string, lang string")
+    got = langid.predict(table, langid.fit(table), carry=True).filter("not held_out").collect()
+    assert len({r.lang for r in got}) > 64 and all(r.lang_pred == r.lang for r in got)
+
+
 def test_language_id_empty(empty, docs):
     assert langid.predict(empty, langid.fit(empty)).count() == 0
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
