@@ -99,7 +99,8 @@ sc AS (SELECT *, 0.4 * least(1.0, ln(1 + coalesce(c, 0) / CASE WHEN d IS NULL TH
 
 
 def _scored(spark, sf_dir):
-    return scoring.score_papers(papers(spark, sf_dir), F.lit(TODAY).cast("date")).withColumn("final_score", F.round("final_score", 9))
+    keep = ["paper_id", "citation_count"]
+    return scoring.score_papers(papers(spark, sf_dir), F.lit(TODAY).cast("date"), keep=keep).withColumn("final_score", F.round("final_score", 9))
 
 
 @query(_SCORED + " SELECT paper_id, topic, round(round(score, 9), 6) AS final_score, row_number() OVER (ORDER BY round(score, 9) DESC, paper_id) AS rank FROM sc")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import lexicon as L
 from quarry.functions.text import count_terms
+from quarry.session import cut_lineage
 
 
 def months_since(date: Column, today: Column) -> Column:
@@ -33,9 +34,9 @@ def topic(text: Column, topics: dict[str, tuple[str, ...]] | None = None) -> Col
     """The topic with the most terms in the lower-cased text, the first of equals; `other` without any."""
     topics = topics or L.TOPICS
     t = F.lower(F.coalesce(text, F.lit("")))
-    ranked = F.array(*[F.struct(count_terms(t, terms).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, terms) in enumerate(topics.items())])
-    best = F.array_max(ranked)
-    return F.when(best["n"] > 0, best["name"]).otherwise(L.OTHER_TOPIC)
+    ranked = [F.struct(count_terms(t, terms).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, terms) in enumerate(topics.items())]
+    none = F.struct(F.lit(0).alias("n"), F.lit(1).alias("o"), F.lit(L.OTHER_TOPIC).alias("name"))  # before all topics without a term
+    return F.array_max(F.array(none, *ranked))["name"]
 
 
 def topic_bonus(share: Column, n_topics: int = 8) -> Column:
@@ -44,12 +45,14 @@ def topic_bonus(share: Column, n_topics: int = 8) -> Column:
     return F.when(share < even, 1.0 + 2.0 * (even - share)).otherwise(F.lit(1.0))
 
 
-def score_papers(papers: DataFrame, today: Column, *, text: Column | None = None, keep_raw: bool = True) -> DataFrame:
-    """Adds topic, the four components, final_score and rank. Columns used: paper_id, title, abstract, published_date,
-    citation_count, semantic_similarity. Topic shares come from one small aggregate that joins back, so the table itself
-    isn't dealt by topic; the rank is over the whole table."""
+def score_papers(papers: DataFrame, today: Column, *, text: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Adds topic, the four components and final_score to the columns `keep` (all by default). Columns used: title, abstract,
+    published_date, citation_count, semantic_similarity. Topics are found once, in a checkpoint: name in `keep` what is needed,
+    so that no text is written. Their shares are one row for each topic, which joins back, so the table itself isn't dealt by topic."""
     text = F.concat_ws(" ", "title", "abstract") if text is None else text
-    base = papers.withColumn("topic", topic(text))
+    used = ["published_date", "citation_count", "semantic_similarity"]
+    kept = papers.columns if keep is None else keep
+    base = cut_lineage(papers.select(topic(text).alias("topic"), *dict.fromkeys([*kept, *used])))
     counts = base.groupBy("topic").agg(F.count(F.lit(1)).alias("_n"))
     total = Window.partitionBy()
     shares = counts.withColumn("_share", F.col("_n") / F.sum("_n").over(total)).drop("_n")  # a row for each topic
@@ -60,9 +63,9 @@ def score_papers(papers: DataFrame, today: Column, *, text: Column | None = None
         "semantic": semantic_score(F.col("semantic_similarity")),
         "stratified": (topic_bonus(F.col("_share")) - 1.0) * 0.5,
     }
-    scored = base.join(shares, "topic").withColumns({f"{k}_score": v for k, v in parts.items()})
+    scored = base.join(F.broadcast(shares), "topic").withColumns({f"{k}_score": v for k, v in parts.items()})
     final = reduce(lambda a, b: a + b, [F.col(f"{k}_score") * w for k, w in L.SCORE_WEIGHTS.items()])
-    return scored.withColumn("final_score", final).drop("_share")
+    return scored.withColumn("final_score", final).drop("_share", *[c for c in used if c not in kept])
 
 
 def with_rank(scored: DataFrame, score: str = "final_score", key: str = "paper_id", name: str = "rank") -> DataFrame:
@@ -72,11 +75,13 @@ def with_rank(scored: DataFrame, score: str = "final_score", key: str = "paper_i
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Row numbers from 1 in the given order: rows are range partitioned, each partition numbers its own, and the counts of
-    the partitions before are added (a row for each partition)."""
+    """Row numbers from 1 in the given order. Rows are range partitioned and sorted once, into a checkpoint: the bounds come from a
+    sample, and a second exchange would draw another one. A row's place within its partition is part of
+    its monotonic id; the counts of the partitions before are added (a row for each partition)."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-    local = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return local.join(F.broadcast(before), "_p").withColumn(name, (F.col("_b") + F.col("_i")).cast("long")).drop("_p", "_i", "_b")
+    placed = cut_lineage(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)  # as monotonically_increasing_id is documented
+    sizes = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
+    return placed.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_b") + within + 1).drop("_p", "_at", "_b")

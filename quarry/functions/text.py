@@ -34,10 +34,13 @@ def word_count(text: Column) -> Column:
 
 
 def contains_any(text: Column, terms: Iterable[str], word_boundary: bool = False) -> Column:
-    """Whether a lower-case text holds one of the terms: as a substring, or between word boundaries. One alternation,
-    matched in one pass."""
-    quoted = "|".join("\\Q" + t.lower() + "\\E" for t in terms)
-    return text.rlike(rf"\b(?:{quoted})\b" if word_boundary else f"(?:{quoted})")
+    """Whether a lower-case text holds one of the terms: as a substring (byte searches, up to the first that is found), or between word
+    boundaries (one alternation). A term that holds another one is left out."""
+    lower = sorted({t.lower() for t in terms}, key=lambda t: (len(t), t))
+    if word_boundary:
+        return text.rlike(r"\b(?:" + "|".join("\\Q" + t + "\\E" for t in lower) + r")\b")
+    least = [t for i, t in enumerate(lower) if not any(s in t for s in lower[:i])]
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in least], F.lit(False))
 
 
 def count_terms(text: Column, terms: Iterable[str]) -> Column:
@@ -89,7 +92,9 @@ def clean_markup(text: Column) -> Column:
     alone = [(rf"\\{c}", "") for c in L.DROP_ALONE]
     keep = [(rf"\\{c}\{{([^}}]*)\}}", "$1") for c in L.KEEP_CONTENT]
     nested = [(r"\\[a-zA-Z]+(?:\[[^\]]*\])?\{([^{}]*)\}", "$1")] * 3
-    t = _sub(F.coalesce(text, F.lit("")), *drop, *alone, *keep, *nested, (r"\\[a-zA-Z]+(?:\[[^\]]*\])?(?=\s|$|[^a-zA-Z{])", ""))
+    t = F.coalesce(text, F.lit(""))
+    last = (r"\\[a-zA-Z]+(?:\[[^\]]*\])?(?=\s|$|[^a-zA-Z{])", "")
+    t = F.when(F.contains(t, F.lit("\\")), _sub(t, *drop, *alone, *keep, *nested, last)).otherwise(t)  # all of them ask for a backslash
     t = _swap(t, L.SPECIAL_CHARS)
     t = _sub(t, (r"``([^']+)''", '"$1"'), (r"`([^']+)'", "'$1'"), (r"\$([^$]+)\$", "$1"), (r"\\\(([^)]+)\\\)", "$1"), (r"\{\s*\}", ""), (r"[{}]", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"(?m)^\s+", ""))
     return strip(t)

@@ -141,10 +141,11 @@ def min_guarantee_select(scored: DataFrame, top_k: int, minimum: int, *, score:
     order = [F.desc_nulls_last(score), F.asc(key)]
     best = scored.withColumn("_t", F.row_number().over(Window.partitionBy(topic).orderBy(*order))).filter(F.col("_t") <= max(top_k, minimum))
     marked = best.withColumn("guaranteed", F.col("_t") <= minimum)
-    sure = marked.filter("guaranteed")
-    n = max(top_k, sure.count())
-    chosen = marked.orderBy(F.desc("guaranteed"), *order).limit(n)
-    return chosen.withColumn("final_rank", F.row_number().over(Window.orderBy(*order))).drop("_t")  # n rows
+    # What is left has at most max(top_k, minimum) rows for each topic, so windows over all of it are small.
+    room = F.greatest(F.lit(top_k), F.count_if("guaranteed").over(Window.partitionBy()))
+    place = F.row_number().over(Window.orderBy(F.desc("guaranteed"), *order))
+    chosen = marked.select("*", place.alias("_place"), room.alias("_room")).filter("_place <= _room")
+    return chosen.withColumn("final_rank", F.row_number().over(Window.orderBy(*order))).drop("_t", "_place", "_room")
 
 
 def validate_selection(selected: DataFrame, minimum: int, topic: str = "topic") -> DataFrame:

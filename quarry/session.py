@@ -43,6 +43,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset, as in tests on one
+    machine, a temporary folder is made and set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="quarry-")
+        atexit.register(shutil.rmtree, found, True)
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder: computed once, and later reads survive the loss of any executor."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 _SHIPPED: set[str] = set()
 
 
