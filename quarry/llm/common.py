@@ -8,8 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a vectorised kernel takes at once; a longer text is taken alone.
 SLICE_BYTES = 1 << 20
@@ -34,8 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. It is deleted when the driver's JVM ends, or before that by discard()."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch path that nothing reads any more."""
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -44,14 +57,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def carried(own: list[str]) -> list[Column]:
-    """Columns under names of their own, so that none clashes with an operator's inputs. Arrow gives them back by place."""
-    return [F.col(f"`{c}`").alias(f"_carried{i}") for i, c in enumerate(own)]
+def plain(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """docs with columns c0, c1, ... by place, and what `names` are called there. So no name of a caller's column, in whatever case
+    and with whatever signs, can clash with a name that an operator uses. A name that several columns have but for their case is the one
+    that is written exactly so."""
+    found = []
+    for name in names:
+        same = [i for i, c in enumerate(docs.columns) if c == name] or [i for i, c in enumerate(docs.columns) if c.lower() == name.lower()]
+        if len(same) != 1:
+            raise ValueError(f"{len(same)} columns are called {name!r}")
+        found.append(f"c{same[0]}")
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), found
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def kept_columns(docs: DataFrame, results: list[str]) -> list[int]:
+    """Places of the columns of docs that a result doesn't take the name of; Spark tells no names apart by case."""
+    taken = {r.lower() for r in results}
+    return [i for i, c in enumerate(docs.columns) if c.lower() not in taken]
 
 
 def fields(df: DataFrame, own: list[str]) -> str:
     types = dict(df.dtypes)
-    return ", ".join(f"`{c}` {types[c]}" for c in own)
+    return ", ".join(f"{quoted(c)} {types[c]}" for c in own)
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,35 +126,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Powers:
-    """Powers of an odd base modulo 2^64 and their inverses, grown on demand."""
-
-    BASE = 0x9E3779B97F4A7C15
+#: Two primes below 2^31 and a base for each, of no special form.
+_PRIMES = ((2147483647, 1288490189), (2147483629, 1622650073))
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in _PRIMES]
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(n, 1 << 16)
-            for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 1 << 64))):
-                x = np.full(size, base, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.cumprod(x, dtype=np.uint64))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = Powers()
+def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base modulo its prime, and their inverses, grown on demand by doubling."""
+    if n > len(_POWERS[which][0]):
+        p, base = _PRIMES[which]
+        grown = []
+        for x, b in zip(_POWERS[which], (base, pow(base, -1, p)), strict=True):
+            while len(x) < max(n, 1 << 16):
+                x = np.concatenate((x, x * np.uint64(pow(b, len(x), p)) % np.uint64(p)))
+            grown.append(x)
+        _POWERS[which] = (grown[0], grown[1])
+    return _POWERS[which][0][:n], _POWERS[which][1][:n]
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of raw[start:end], equal for equal bytes wherever they stand. One pass over the bytes."""
+    """64-bit hashes of raw[start:end], equal for equal bytes wherever they stand: polynomials of the bytes modulo two primes. One pass
+    over the bytes for each. Different spans of n bytes agree with odds of about (n / 2^31)^2; where that matters, compare them."""
     n = len(raw)
-    up, down = _POWERS.to(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h ^ mix((ends - starts).astype(np.uint64)))
+    out = np.zeros(len(starts), np.uint64)
+    for which, (p, _) in enumerate(_PRIMES):
+        prime = np.uint64(p)
+        up, down = _powers(which, n + 1)
+        terms = (raw.astype(np.uint64) + np.uint64(1)) * up[:n]  # below 2^40
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(terms if n < 1 << 23 else terms % prime, out=total[1:])
+        out = (out << np.uint64(31)) ^ ((total[ends] - total[starts]) % prime * down[starts] % prime)
+    return mix(out ^ mix((ends - starts).astype(np.uint64)))
+
+
+def same_spans(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether raw[a:a+size] equals raw[b:b+size], for each."""
+    out = np.ones(len(size), bool)
+    for i, j in slices(np.concatenate(([0], np.cumsum(size)))):
+        n = size[i:j]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        unlike = raw[np.repeat(a[i:j], n) + within] != raw[np.repeat(b[i:j], n) + within]
+        out[i:j] = sums(unlike, np.concatenate(([0], np.cumsum(n)))) == 0
+    return out
 
 
 #: ASCII white space as the word patterns take it: space and \x09 to \x0D.

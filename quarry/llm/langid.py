@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import carried, fields, sums
+from quarry.llm.common import fields, kept_columns, plain, sums
 
 NGRAMS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -80,6 +80,7 @@ def _trains(key: str, text: str, lang: str) -> Column:
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learns from the texts and languages of all rows that aren't held out and have both. A pass over the documents counts LANGUAGES languages, and the
     driver gets one row of sums for each bucket and language of it. The model has BUCKETS numbers for each language, however many there are."""
+    docs, (key, text, lang) = plain(docs, key, text, lang)
     rows = docs.filter(_trains(key, text, lang)).select(F.col(lang).cast("string").alias("lang"), F.col(text))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,12 +123,14 @@ def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "
     """held_out, lang_pred and score (posterior probability of lang_pred) of every whole text, with `likeness` also the mean log probability of
     an n-gram in lang_pred, which unlike the posterior doesn't grow surer with the length (null for `und`); with `carry` after all columns of docs, else
     after doc_id. A null text, one without a letter, and any text where nothing was learned get `und` and score 0. The first of equal
-    languages by name wins. Null and repeated keys are kept; a column of docs with the name of a result gives way to it."""
+    languages by name wins. Null and repeated keys are kept, an empty table gives no rows; a column of docs with the name of a result, in any
+    case, gives way to it."""
     results = ["held_out", "lang_pred", "score"] + ["likeness"] * likeness
-    own = [c for c in docs.columns if c not in results] if carry else []
+    shown = docs.columns
+    own = [f"c{i}" for i in kept_columns(docs, results)] if carry else []
+    docs, (key, text) = plain(docs, key, text)
     names = own if carry else ["doc_id"]
-    shown = carried(own) if carry else [F.col(key).cast("long").alias("doc_id")]
-    rows = docs.select(F.col(text).alias("_input"), held_out(F.col(key)).alias("_held"), *shown)
+    rows = docs.select(F.col(text).alias("_input"), held_out(F.col(key)).alias("_held"), *(own if carry else [F.col(key).cast("long").alias("doc_id")]))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,12 +155,14 @@ def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays(columns[: len(names) + len(results)], [*names, *results])
 
     head = fields(docs, own) if carry else "doc_id long"
-    return rows.mapInArrow(run, ", ".join([head] * bool(head) + ["held_out boolean", "lang_pred string", "score double"] + ["likeness double"] * likeness))
+    done = rows.mapInArrow(run, ", ".join([head] * bool(head) + ["held_out boolean", "lang_pred string", "score double"] + ["likeness double"] * likeness))
+    return done.toDF(*[shown[int(c[1:])] for c in own], *results) if carry else done
 
 
 def least_likeness(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> float:
     """The likeness that a text in a learned language has at least: as far below the lowest hundredth of the rows that trained as that is below
     their median. From about SAMPLE of them, by a hash; one narrow pass, the driver gets quantiles alone."""
+    docs, (key, text, lang) = plain(docs, key, text, lang)
     part = F.pmod(F.xxhash64(key, text), F.lit(max(1, model.rows // SAMPLE))) == 0
     seen = predict(docs.filter(_trains(key, text, lang) & part), model, key=key, text=text, likeness=True)
     low, middle = seen.select(F.percentile("likeness", F.array(F.lit(0.01), F.lit(0.5))).alias("q")).first().q or (0.0, 0.0)

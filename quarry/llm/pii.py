@@ -4,7 +4,8 @@ Validated values are found in a text: payment card numbers (Luhn), IBANs (modulo
 numbers, phone numbers and mail addresses. The free part of each is a number below the count of values of its format; a
 Feistel network keyed with the secret and the format permutes those numbers, so that a pseudonym has the same format, equal
 values get equal pseudonyms in every document, different ones different ones, and who has the key can undo it. Check
-digits are computed anew, so a pseudonym is valid again. Separators, lengths, letter case and a mail address's top-level domain stay.
+digits are computed anew, so a pseudonym is valid again. Separators, lengths, letter case, a mail address's top-level domain, an IPv4
+address's reserved range and a phone number's country code stay; a date has one pseudonym in all notations.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import carried, fields
+from quarry.llm.common import fields, kept_columns, plain
 
 ROUNDS = 8
 
@@ -76,13 +77,40 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+_OCTETS = {1: range(10), 2: range(10, 100), 3: range(100, 256)}
+_ANY = range(256)
+#: Address ranges that aren't public, as the values that each octet has in them.
+_RESERVED = (
+    ((10,), _ANY, _ANY, _ANY), ((127,), _ANY, _ANY, _ANY), ((0,), _ANY, _ANY, _ANY), ((172,), range(16, 32), _ANY, _ANY), ((192,), (168,), _ANY, _ANY),
+    ((169,), (254,), _ANY, _ANY), ((100,), range(64, 128), _ANY, _ANY), (range(224, 256), _ANY, _ANY, _ANY),
+)
+
+
+def _reserved(octets: tuple[int, ...]) -> tuple[int, tuple | None]:
+    """The number of the range that an address lies in, and the range; -1 and None for a public one."""
+    for i, r in enumerate(_RESERVED):
+        if octets[0] in r[0] and octets[1] in r[1]:
+            return i, r
+    return -1, None
+
+
 def _put(pattern: str, chars: str) -> str:
     """`chars` in place of the letters and digits of `pattern`, in order."""
     it = iter(chars)
     return "".join(next(it) if c.isalnum() else c for c in pattern)
 
 
-_MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])"
+#: Alphabets whose letters stay in them, as first and last character. Combining marks belong to a word and stay as they are.
+_ALPHABETS = [range(ord(a), ord(b) + 1) for a, b in ("09", "az", "AZ", "\xdf\xf6", "\xf8\xff", "\xc0\xd6", "\xd8\xde", "\u0100\u017f", "αω", "ΑΡ", "ΣΩ", "ая", "АЯ")]
+_LETTERS = "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in _ALPHABETS) + "\u0300-\u036f"
+_MAIL = rf"(?<![{_LETTERS}._%+-])[{_LETTERS}._%+-]+@[{_LETTERS}-]+(?:\.[{_LETTERS}-]+)*\.[A-Za-z]{{2,}}(?![{_LETTERS}-])"
+
+
+def _alphabet(c: str) -> range | None:
+    return next((r for r in _ALPHABETS if ord(c) in r), None)
+
+
+
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 _DATE = r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9]|[./-][0-9])"
@@ -120,23 +148,20 @@ class Masker:
         local, _, domain = s.partition("@")
         host, dot, top = domain.rpartition(".")
         free = local + "@" + host
-        # Mixed radix: ten values for a digit, 26 for a letter. The mail's form is its label, so permutations differ by form.
+        # Mixed radix: a digit or letter is a place in its alphabet. The mail's form is its label, so permutations differ by form.
+        kinds = [_alphabet(c) for c in free]
         bound = x = 0
-        for c in free:
-            if c.isalnum():
-                base, value = (10, int(c)) if c.isdigit() else (26, ord(c.lower()) - 97)
-                bound, x = (bound or 1) * base, x * base + value
+        for c, kind in zip(free, kinds, strict=True):
+            if kind:
+                bound, x = (bound or 1) * len(kind), x * len(kind) + kind.index(ord(c))
         if not bound:
             return None
-        form = re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", free)))
+        form = "".join(chr(kind[0]) if kind else c for c, kind in zip(free, kinds, strict=True))
         x, out = self.permute(f"mail {form} {top.lower()}", bound, x), []
-        for c in reversed(free):
-            if c.isdigit():
-                x, d = divmod(x, 10)
-                c = str(d)
-            elif c.isalpha():
-                x, d = divmod(x, 26)
-                c = chr(d + (65 if c.isupper() else 97))
+        for c, kind in zip(reversed(free), reversed(kinds), strict=True):
+            if kind:
+                x, d = divmod(x, len(kind))
+                c = chr(kind[d])
             out.append(c)
         return "".join(reversed(out)) + dot + top
 
@@ -168,11 +193,23 @@ class Masker:
         parts = s.split(".")
         if any(int(p) > 255 or p != str(int(p)) for p in parts):
             return None
-        x = 0
-        for p in parts:
-            x = x << 8 | int(p)
-        x = self.permute("ip", 1 << 32, x)
-        return ".".join(str(x >> k & 255) for k in (24, 16, 8, 0))
+        # Each octet keeps its length, and a reserved range its fixed octets; a public address stays out of those ranges.
+        fixed, ranges = _reserved(tuple(map(int, parts)))
+        sets = [_OCTETS[len(p)] for p in parts]
+        if ranges:  # the part of an octet's values that the range leaves free
+            sets = [[v for v in own if v in free] for own, free in zip(sets, ranges, strict=True)]
+        bound = x = 0
+        for own, p in zip(sets, parts, strict=True):
+            bound, x = (bound or 1) * len(own), x * len(own) + own.index(int(p))
+        label = f"ip {fixed} {' '.join(str(len(p)) for p in parts)}"
+        while True:
+            x, out = self.permute(label, bound, x), []
+            rest = x
+            for own in reversed(sets):
+                rest, v = divmod(rest, len(own))
+                out.append(own[v])
+            if _reserved(tuple(reversed(out)))[0] == fixed:
+                return ".".join(map(str, reversed(out)))
 
     def _ssn(self, s: str) -> str | None:
         area, group, serial = map(int, s.split("-"))
@@ -196,16 +233,17 @@ class Masker:
                 continue
             if not _FIRST_DAY <= day <= _LAST_DAY:
                 return None
-            # Where both orders are dates, the permutation stays within days that read so too, and the others within theirs.
-            return self._day(day, order, mark, both=order != "ymd" and int(m) <= 12 and int(d) <= 12)
+            # Days up to the 12th, which may read as months too, and later ones are permuted among themselves: so the pseudonym is
+            # read in the same order again, and one date has one pseudonym in every notation.
+            return self._day(day, order, mark, early=int(d) <= 12)
         return None
 
-    def _day(self, day: int, order: str, mark: str, both: bool) -> str:
-        label, bound = f"date {order} {both}", _LAST_DAY - _FIRST_DAY + 1
+    def _day(self, day: int, order: str, mark: str, early: bool) -> str:
+        label, bound = f"date {early}", _LAST_DAY - _FIRST_DAY + 1
         while True:
             day = _FIRST_DAY + self.permute(label, bound, day - _FIRST_DAY)
             x = datetime.date.fromordinal(day)
-            if order == "ymd" or (x.day <= 12) == both:
+            if (x.day <= 12) == early:
                 break
         parts = {"y": f"{x.year:04d}", "m": f"{x.month:02d}", "d": f"{x.day:02d}"}
         return mark.join(parts[k] for k in order)
@@ -214,11 +252,11 @@ class Masker:
         digits = re.sub("[^0-9]", "", s)
         if not 7 <= len(digits) <= 15:
             return None
-        # The country code stays; all other digits are permuted together.
+        # The country code stays; all other digits are permuted together, alike with and without a code.
         code = re.match(r"\+([0-9]{1,3})(?![0-9])", s) or _COUNTRY.match(s)
         keep = len(code[1]) if code else 0
         free = digits[keep:]
-        new = str(self.permute(f"phone {digits[:keep]} {len(free)}", 10 ** len(free), int(free))).zfill(len(free))
+        new = str(self.permute(f"phone {len(free)}", 10 ** len(free), int(free))).zfill(len(free))
         return _put(s, digits[:keep] + new)
 
     def _iban_sized(self, text: str, start: int, end: int) -> tuple[int, str] | None:
@@ -319,9 +357,12 @@ def restore(text: str, spans: list[tuple[str, int, int]], key: bytes) -> str:
 
 def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFrame:
     """All columns of docs with pseudonyms in the text, and pii_spans (kind, start, end of the values in the original text, code points,
-    end exclusive). A null text stays null and has no spans. Every other column is passed on as it is; one named pii_spans gives way. Whole
-    texts, one narrow pass."""
-    own = [c for c in docs.columns if c not in (text, "pii_spans")]
+    end exclusive). A null text stays null and has no spans, an empty one stays empty; an empty table gives no rows, repeated rows stay. Every
+    other column is passed on as it is; one named pii_spans, in any case, gives way. Whole texts, one narrow pass."""
+    shown = docs.columns
+    stay = kept_columns(docs, ["pii_spans"])
+    docs, (text,) = plain(docs, text)
+    own = [f"c{i}" for i in stay if f"c{i}" != text]
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,9 +376,9 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFram
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:], pa.array(spans, span)], [text, *own, "pii_spans"])
 
-    schema = [f"`{text}` string", *([fields(docs, own)] if own else []), "pii_spans array<struct<kind:string,start:bigint,end:bigint>>"]
-    done = docs.select(F.col(text).alias("_input"), *carried(own)).mapInArrow(run, ", ".join(schema))
-    return done.select(*[f"`{c}`" for c in docs.columns if c != "pii_spans"], "pii_spans")
+    schema = [f"{text} string", *([fields(docs, own)] if own else []), "pii_spans array<struct<kind:string,start:bigint,end:bigint>>"]
+    done = docs.select(text, *own).mapInArrow(run, ", ".join(schema)).select(*[f"c{i}" for i in stay], "pii_spans")
+    return done.toDF(*[shown[i] for i in stay], "pii_spans")
 
 
 def spans_text(spans: Column) -> Column:

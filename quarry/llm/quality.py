@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, carried, fields, mix, slices, span_hashes, sums, text_bytes, word_spans
+from quarry.llm.common import SPACE, fields, kept_columns, mix, plain, same_spans, slices, span_hashes, sums, text_bytes, word_spans
 
 NGRAMS = (1, 2)
 BUCKETS = 1 << 16
@@ -83,9 +83,7 @@ def base_counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     b = np.where(np.concatenate((row[1:] == row[:-1], [False])), b - 1, b)
     full = ink[b] > ink[a]
     a, b, row = a[full], b[full], row[full]
-    same = mix(span_hashes(raw, a, b) ^ mix(row.astype(np.uint64) + np.uint64(1)))
-    _, first = np.unique(same, return_index=True)
-    dup_lines = np.bincount(row, minlength=n) - np.bincount(row[first], minlength=n)
+    dup_lines = np.bincount(row, minlength=n) - np.bincount(row[_firsts(raw, a, b, row)], minlength=n)
     # Windows of words, by the hashes of their words in order.
     repeats = np.zeros(n, np.int64)
     count = len(starts) - REPEAT_WINDOW + 1
@@ -96,12 +94,16 @@ def base_counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
             w = w * np.uint64(0xD6E8FEB86659FD93) + h[j : j + count]
         inside = np.flatnonzero(rows[:count] == rows[REPEAT_WINDOW - 1 :])
         key = mix(w[inside] ^ mix(rows[inside].astype(np.uint64) + np.uint64(1)))
-        order = np.argsort(key)
+        order = np.argsort(key, kind="stable")
         k = key[order]
+        same = k[1:] == k[:-1]
+        x, y = inside[order[1:][same]], inside[order[:-1][same]]
         twin = np.zeros(len(k), bool)
-        twin[1:] = k[1:] == k[:-1]
-        twin[:-1] |= twin[1:]
+        twin[1:] = same
+        twin[:-1] |= same
         at = inside[order[twin]]
+        if not _equal_windows(raw, starts, ends, rows, x, y):  # a clash of hashes: the words themselves decide
+            at = _repeated(raw, starts, ends, rows, inside)
         cover = np.zeros(len(starts) + 1, np.int64)
         np.add.at(cover, at, 1)
         np.add.at(cover, at + REPEAT_WINDOW, -1)
@@ -115,6 +117,46 @@ def base_counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def _firsts(raw: np.ndarray, a: np.ndarray, b: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Places of the spans that equal no earlier one of their row: by hashes, and all with equal hashes are compared."""
+    key = mix(span_hashes(raw, a, b) ^ mix(row.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(key, kind="stable")
+    head = np.ones(len(key), bool)
+    head[1:] = key[order[1:]] != key[order[:-1]]
+    first = order[head]
+    of = first[np.cumsum(head) - 1]  # the first span of each one's group
+    later, of = order[~head], of[~head]
+    size = b - a
+    like = (row[later] == row[of]) & (size[later] == size[of])
+    if like.all() and same_spans(raw, a[later], a[of], size[later]).all():
+        return first
+    text, seen = raw.tobytes(), {}
+    for i, (r, x, y) in enumerate(zip(row.tolist(), a.tolist(), b.tolist(), strict=True)):
+        seen.setdefault((r, text[x:y]), i)
+    return np.fromiter(seen.values(), np.int64)
+
+
+def _equal_windows(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the windows that begin with words x and y have the same words in the same rows."""
+    if not (rows[x] == rows[y]).all():
+        return False
+    # Windows overlap: each pair of words at the same place is compared once.
+    pairs = np.unique(np.concatenate([(x + j) << 32 | (y + j) for j in range(REPEAT_WINDOW)])) if len(x) else np.zeros(0, np.int64)
+    i, j = pairs >> 32, pairs & 0xFFFFFFFF
+    size = ends - starts
+    return bool((size[i] == size[j]).all() and same_spans(raw, starts[i], starts[j], size[i]).all())
+
+
+def _repeated(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    text, known = raw.tobytes(), {}
+    ids = [known.setdefault(text[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    keys = [(r, *ids[i : i + REPEAT_WINDOW]) for i, r in zip(inside.tolist(), rows[inside].tolist(), strict=True)]
+    count: dict[tuple, int] = {}
+    for k in keys:
+        count[k] = count.get(k, 0) + 1
+    return inside[[count[k] > 1 for k in keys]]
+
+
 def labelled_sample(labels: DataFrame, most: int = SAMPLE) -> tuple[list[int], list[int]]:
     """Ids of at most `most` good and `most` bad rows: quality 1 and not toxic, quality 0. Of all labels those with the smallest hash of
     their id, so the choice depends on no order. Null ids and labels are left out."""
@@ -128,6 +170,7 @@ def labelled_sample(labels: DataFrame, most: int = SAMPLE) -> tuple[list[int], l
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, keep: float = KEEP, key: str = "doc_id", text: str = "text") -> Model:
     """Two passes over the documents: counts over all of them, then the scores of the labelled sample. The driver gets
     BUCKETS rows of sums and at most 2 * `sample` scores. Without good rows every ratio is 0 and everything is kept."""
+    docs, (key, text) = plain(docs, key, text)
     good, bad = labelled_sample(labels, sample)
     trusted = np.array(sorted(good), np.int64)
 
@@ -193,13 +236,15 @@ _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def judge(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """Base counts, base_failed, score and kept of every whole text; with `carry` after all columns of docs, else after
-    doc_id. A null or empty text has no words and fails; null and repeated keys are kept; a column of docs that has the name of a
-    result gives way to it. One narrow pass."""
+    doc_id. A null or empty text has no words and fails; null and repeated keys are kept, an empty table gives no rows; a column of docs
+    that has the name of a result, in any case, gives way to it. One narrow pass."""
     ratio, threshold = model.ratio, model.threshold
     results = [*_BASE, "base_failed", "score", "kept"]
-    own = [c for c in docs.columns if c not in results] if carry else []
+    shown = docs.columns
+    own = [f"c{i}" for i in kept_columns(docs, results)] if carry else []
+    docs, (key, text) = plain(docs, key, text)
     names = own if carry else ["doc_id"]
-    rows = docs.select(F.col(text).alias("_input"), *(carried(own) if carry else [F.col(key).cast("long").alias("doc_id")]))
+    rows = docs.select(F.col(text).alias("_input"), *(own if carry else [F.col(key).cast("long").alias("doc_id")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,4 +263,5 @@ def judge(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays(columns, [*names, *results])
 
     head = fields(docs, own) if carry else "doc_id long"
-    return rows.mapInArrow(run, ", ".join([head] * bool(head) + [f"{n} long" for n in _BASE] + ["base_failed boolean", "score double", "kept boolean"]))
+    done = rows.mapInArrow(run, ", ".join([head] * bool(head) + [f"{n} long" for n in _BASE] + ["base_failed boolean", "score double", "kept boolean"]))
+    return done.toDF(*[shown[int(c[1:])] for c in own], *results) if carry else done

@@ -5,7 +5,7 @@ start. Two linked fingerprints agree in at least two of their four 16-bit blocks
 of blocks, to the group that has the same 32 bits there. The fingerprints of a group are a binary trie; it is joined
 with itself from the root, pairs of nodes together: each step goes down one bit, a pair whose bits differ there spends one
 of the budget of differing bits, and a pair over the budget is dropped with everything below it. All groups of a task's rows go down
-together, one numpy pass for each bit. A group's links are folded into a forest at once, so a task sends at most one edge for each
+together, one numpy pass for each bit. A group too large for a task is dealt again by more bits. A group's links are folded into a forest at once, so a task sends at most one edge for each
 fingerprint, however dense the group; no link between classes is lost. The edges' components are found by stars.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut_lineage
+from quarry.llm.common import cut_lineage, plain
 from quarry.llm.components import connected_components
 
 SHINGLE = 3
@@ -27,6 +27,7 @@ BUDGET = 2
 _PART = 1 << 16  # shingles whose bits are counted at once
 _PAIRS = 1 << 19  # node pairs that go down together
 _ROWS = 1 << 18  # rows of whole groups that are joined together
+MOST = 1 << 18  # fingerprints of one group that a task holds
 
 
 def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
@@ -114,34 +115,51 @@ def _fold(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             root[:] = up
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, fingerprint) sorted by both; edges of each group's forest."""
+def _edges(most: int):
+    """Rows (group, fingerprint) sorted by both; edges of each group's forest, `group` null. A group of more than `most` fingerprints goes out
+    as it came, with its number, so no task holds more than that (all of it where `most` is 0)."""
 
     def join(group: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         bounds = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]))
         root = trie_links(fp, bounds)
         tied = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[tied].view(np.int64)), pa.array(fp[root[tied]].view(np.int64))], ["a", "b"])
+        return _turned(pa.nulls(len(tied), pa.int64()), fp[tied], fp[root[tied]])
 
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
-    for batch in batches:
-        # Spark orders signed numbers; within a group the sign bit is the first to go down, so it is turned here and there.
-        kept.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)))
-        held += batch.num_rows
-        if held >= _ROWS:
-            group, fp = (np.concatenate(x) for x in zip(*kept, strict=True))
-            last = int(np.searchsorted(group, group[-1]))  # the last group may go on
-            if last:
-                yield _turned(join(group[:last], fp[:last]))
-            kept, held = [(group[last:], fp[last:])], len(group) - last
-    if held:
-        yield _turned(join(*(np.concatenate(x) for x in zip(*kept, strict=True))))
-
-
-def _turned(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sign = np.int64(-(1 << 63))
-    return pa.RecordBatch.from_arrays([pa.array(c.to_numpy() ^ sign) for c in batch.columns], batch.schema.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        held, large = 0, None
+        for batch in batches:
+            # Spark orders signed numbers; within a group the sign bit is the first to go down, so it is turned here and there.
+            group, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+            if large is not None:
+                end = int(np.searchsorted(group, large, "right")) if len(group) and group[0] == large else 0
+                if end:
+                    yield _turned(pa.array(group[:end]), fp[:end], fp[:end])
+                    group, fp = group[end:], fp[end:]
+                if not len(group):
+                    continue
+                large = None
+            kept.append((group, fp))
+            held += len(group)
+            if held >= _ROWS:
+                group, fp = (np.concatenate(x) for x in zip(*kept, strict=True))
+                last = int(np.searchsorted(group, group[-1]))  # the last group may go on
+                if last:
+                    yield join(group[:last], fp[:last])
+                kept, held = [(group[last:], fp[last:])], len(group) - last
+                if most and held > most:
+                    large = group[-1]
+                    yield _turned(pa.array(group[last:]), fp[last:], fp[last:])
+                    kept, held = [], 0
+        if held:
+            yield join(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+
+    return run
+
+
+def _turned(group: pa.Array, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    sign = np.uint64(1 << 63)
+    return pa.RecordBatch.from_arrays([group, *(pa.array((x ^ sign).view(np.int64)) for x in (a, b))], ["group", "a", "b"])
 
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,18 +170,32 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
             fp = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
+    docs, (key, text) = plain(docs, key, text)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """Edges a, b between different fingerprints that tie all that are linked; `classes` has a row for each fingerprint (fp)."""
+def links(classes: DataFrame, most: int = MOST) -> DataFrame:
+    """Edges a, b between different fingerprints that tie all that are linked; `classes` has a row for each fingerprint (fp). A group of more than
+    `most` is dealt again, by three parts of the bits that its fingerprints may differ in: linked ones have one of the parts in common,
+    and what then remains free are 22 bits at most, so no group grows with the table."""
     blocks = [F.shiftright("fp", 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
     pairs = [(i, j) for i in range(4) for j in range(i)]
     groups = F.array(*(F.lit(n << 32).bitwiseOR(F.shiftleft(blocks[i], 16)).bitwiseOR(blocks[j]) for n, (i, j) in enumerate(pairs)))
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = classes.select(F.explode(groups).alias("group"), "fp").repartition(n, "group").sortWithinPartitions("group", "fp")
-    return placed.mapInArrow(_edges, "a long, b long")
+    found = cut_lineage(placed.mapInArrow(_edges(most), "group long, a long, b long"))
+    # Of a large group the two free blocks, as 32 bits, and the three parts of those.
+    free = F.lit(None)
+    for number, own in enumerate(pairs):
+        x, y = (i for i in range(4) if i not in own)
+        free = F.when(F.shiftright("group", 32) == number, F.shiftleft(blocks[x], 16).bitwiseOR(blocks[y])).otherwise(free)
+    parts = [F.shiftright("free", at).bitwiseAND((1 << bits) - 1) for at, bits in ((21, 11), (10, 11), (0, 10))]
+    again = found.filter("group IS NOT NULL").select("group", F.col("a").alias("fp")).withColumn("free", free)
+    # group has 35 bits, a part 11 and its number 2
+    dealt = again.select(F.explode(F.array(*(F.shiftleft("group", 13).bitwiseOR(F.lit(k << 11)).bitwiseOR(p) for k, p in enumerate(parts)))).alias("group"), "fp")
+    small = dealt.repartition(n, "group").sortWithinPartitions("group", "fp").mapInArrow(_edges(0), "group long, a long, b long")
+    return found.filter("group IS NULL").select("a", "b").unionByName(small.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,11 +213,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs for one row of each near-duplicate class: the smallest key's (of equal keys that of the least text
-    hash; a null key only if there is no other)."""
+    hash; a null key only if there is no other; of repeated rows one). No column is added, so no name clashes. A null text has no words; an
+    empty table gives no rows."""
+    shown = docs.columns
+    docs, (key, text) = plain(docs, key, text)
     found = near_duplicates(docs, key=key, text=text)
-    order = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("text_hash").alias("h"), F.col("doc_id").alias("d"))
-    first = found.groupBy("component").agg(F.min(order).alias("f"))
-    none = -(1 << 63)
-    stay = first.select(F.coalesce("f.d", F.lit(none)).alias("_k"), F.col("f.h").alias("_h")).distinct()
-    rows = docs.withColumn("_k", F.coalesce(F.col(key).cast("long"), F.lit(none))).withColumn("_h", F.xxhash64(text))
-    return rows.join(stay, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).drop("_k", "_h")
+    # A null key is told from every other by a flag, so no value stands for it.
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("text_hash").alias("h"))
+    stay = found.groupBy("component").agg(F.min(own).alias("f")).select("f.none", "f.k", "f.h").distinct()
+    rows = docs.withColumns({"none": F.col(key).isNull(), "k": F.coalesce(F.col(key).cast("long"), F.lit(0)), "h": F.xxhash64(text)})
+    return rows.join(stay, ["none", "k", "h"], "left_semi").dropDuplicates(["none", "k", "h"]).drop("none", "k", "h").toDF(*shown)
