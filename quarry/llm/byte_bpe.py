@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import plain
 from quarry.llm.encoding import _ADJACENT, _MATCHES, _PLAIN
 
 
@@ -224,15 +225,18 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, key: str = "do
                     columns.append(pa.array(map(c.decode, ids), pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
+    docs, (key, text) = plain(docs, key, text)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """doc_id and the bytes that `ids` stand for; null ids count as none."""
+    """doc_id and the bytes that `ids` stand for; null ids count as none. Null and repeated keys are kept, other columns are ignored, an empty
+    table gives no rows; an id that isn't in the vocabulary ends the job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.decode(x.as_py() or b"") for x in batch.column(1)], pa.binary())], ["doc_id", "decoded"])
 
+    encoded, (key, ids) = plain(encoded, key, ids)
     return encoded.select(F.col(key).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, "doc_id long, decoded binary")

@@ -33,11 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. It is deleted when the driver's JVM ends, or before that by discard()."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    fs, where = _file_system(spark, path)
+    """A new path in the shared folder, in a folder of the application that is deleted when the driver's JVM ends; discard() deletes
+    a path before that."""
+    own = f"{shared_dir(spark).rstrip('/')}/quarry-{spark.sparkContext.applicationId}"
+    fs, where = _file_system(spark, own)
+    fs.mkdirs(where)
     fs.deleteOnExit(where)
-    return path
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def discard(spark: SparkSession, path: str) -> None:

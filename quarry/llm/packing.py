@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import plain
 from quarry.llm.encoding import encoder
 
 WINDOW = 4096  # waiting pieces that a task packs together
@@ -137,6 +138,7 @@ def pack_documents(docs: DataFrame, path: str, *, end_id: int, max_tokens: int =
         for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             yield doc_id, encode(t.as_py()) + end, None
 
+    docs, (key, text) = plain(docs, key, text)
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return chosen.mapInArrow(_packer(rows, max_tokens, max_segments, max_tokens), _SCHEMA)
 
@@ -144,7 +146,8 @@ def pack_documents(docs: DataFrame, path: str, *, end_id: int, max_tokens: int =
 def pack_examples(examples: DataFrame, path: str, *, end_id: int, max_tokens: int = 2048, max_segments: int = 16, max_loss: int = 1536, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Instruction data: columns conv_id and turns (array of structs role, text, in order). Each turn is encoded and closed with
     `end_id`; the ids of turns of `loss_roles` bear loss. Same columns as pack_documents, doc_id holding conv_id.
-    Null turns, roles and texts count as empty ones that bear no loss."""
+    Null turns, roles and texts count as empty ones that bear no loss; an example without turns gives no row. Other columns are ignored,
+    null and repeated ids are kept, an empty table gives no rows."""
     end = struct.pack("<I", end_id)
 
     def rows(batch):
@@ -158,5 +161,6 @@ def pack_examples(examples: DataFrame, path: str, *, end_id: int, max_tokens: in
             if ids:
                 yield conv_id, b"".join(ids), np.concatenate(marks)
 
-    chosen = examples.select(F.col("conv_id").cast("long"), F.col("turns"))
+    examples, (key, turns) = plain(examples, "conv_id", "turns")
+    chosen = examples.select(F.col(key).cast("long"), F.col(turns))
     return chosen.mapInArrow(_packer(rows, max_tokens, max_segments, max_loss), _SCHEMA)

@@ -82,7 +82,7 @@ _ANY = range(256)
 #: Address ranges that aren't public, as the values that each octet has in them.
 _RESERVED = (
     ((10,), _ANY, _ANY, _ANY), ((127,), _ANY, _ANY, _ANY), ((0,), _ANY, _ANY, _ANY), ((172,), range(16, 32), _ANY, _ANY), ((192,), (168,), _ANY, _ANY),
-    ((169,), (254,), _ANY, _ANY), ((100,), range(64, 128), _ANY, _ANY), (range(224, 256), _ANY, _ANY, _ANY),
+    ((169,), (254,), _ANY, _ANY), ((100,), range(64, 128), _ANY, _ANY), (range(224, 240), _ANY, _ANY, _ANY), (range(240, 256), _ANY, _ANY, _ANY),
 )
 
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import plain
 from quarry.llm.encoding import encoder
 
 BLOCK = 128
@@ -184,6 +185,7 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, *, end_id: int =
     columns are ignored. An empty table makes no segment. One range exchange of the texts; ids are never shuffled."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs, (key, text) = plain(docs, key, text)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
     packed = ordered.mapInArrow(_segments(path, end_id), "value binary")
