@@ -1,7 +1,7 @@
 """Token-id files of patched frame-of-reference blocks.
 
-A file is one segment: whole documents in ascending order of id, closed at the first document that reaches
-SEGMENT_IDS ids. A document longer than that makes a longer segment. Layout, big-endian:
+A file is a run of at most FILE_SEGMENTS segments (about 64 MB). A segment has whole documents in ascending order of id and is closed at the first
+document that reaches SEGMENT_IDS ids. A document longer than that makes a longer segment. Layout of a segment, big-endian:
 
     "PFOR" | partition u32 | segment u32 | documents u32 | ids u64 | four columns | line feed
 
@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import plain
@@ -32,6 +33,7 @@ from quarry.llm.encoding import encoder
 BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 20
+FILE_SEGMENTS = 32  # a reader holds a whole file, so larger executors can take more
 WORDS_KEPT = 900_000  # per worker
 _HEAD = struct.Struct(">4sIIIQ")
 _COLUMN = struct.Struct(">QQB")
@@ -137,6 +139,20 @@ def pack_segment(partition: int, segment: int, doc_ids: list[int | None], ids: l
     return _HEAD.pack(b"PFOR", partition, segment, len(ids), int(counts.sum())) + b"".join(struct.pack(">Q", len(c)) + c for c in columns)
 
 
+def segments_of(data: bytes) -> Iterator[tuple[int, int, int, int, memoryview]]:
+    """(partition, segment, documents, ids, bytes) of the segments of a file; only headers and lengths are read."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        magic, partition, segment, documents, ids = _HEAD.unpack_from(view, at)
+        if magic != b"PFOR":
+            raise ValueError("not a token file")
+        end = at + _HEAD.size
+        for _ in range(4):
+            end += 8 + struct.unpack_from(">Q", view, end)[0]
+        yield partition, segment, documents, ids, view[at:end]
+        at = end + 1  # the line feed
+
+
 def unpack_segment(data: bytes) -> tuple[int, int, list[int | None], np.ndarray, np.ndarray]:
     """(partition, segment, document ids, ids per document, ids)."""
     magic, partition, segment, _, _ = _HEAD.unpack_from(data)
@@ -174,23 +190,26 @@ def _segments(path: str, end_id: int):
     return pack
 
 
-def _header(first: int, size: int) -> Column:
-    """An unsigned number of the header, read without Python."""
-    return F.conv(F.hex(F.substring("content", first + 1, size)), 16, 10).cast("long")
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for content in batch.column(0):
+            rows = [h[:4] for h in segments_of(content.as_buffer())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["partition", "segment", "n_docs", "n_ids"])
 
 
 def write_token_files(docs: DataFrame, out_dir: str, path: str, *, end_id: int = 0, key: str = "doc_id", text: str = "text") -> None:
     """Encodes every whole text and writes `out_dir`/data (the files, in ascending order of the key) and
     `out_dir`/manifest. Equal keys are ordered by text, null keys come first, null texts count as empty, and other
-    columns are ignored. An empty table makes no segment. One range exchange of the texts; ids are never shuffled."""
+    columns are ignored. An empty table makes no segment. One range exchange of the texts (by the start of the text too, so that rows with
+    one key, or none, don't all go to one task); ids are never shuffled."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs, (key, text) = plain(docs, key, text)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
+    ordered = rows.repartitionByRange(n, F.col("key"), F.substring("text", 1, 32)).sortWithinPartitions("key", "text")
     packed = ordered.mapInArrow(_segments(path, end_id), "value binary")
-    packed.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(f"{out_dir}/data")
-    heads = _files(spark, out_dir).select(_header(4, 4).alias("partition"), _header(8, 4).alias("segment"), _header(12, 4).alias("n_docs"), _header(16, 8).alias("n_ids"))
+    packed.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", FILE_SEGMENTS).text(f"{out_dir}/data")
+    heads = _files(spark, out_dir).select("content").mapInArrow(_heads, "partition long, segment long, n_docs long, n_ids long")
     # Totals of partitions first, so that the one running sum over all is over as many rows as tasks wrote.
     before = Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("partition").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
@@ -208,8 +227,8 @@ def _documents(derive: tuple[tuple[str, str, Callable[[memoryview], int]], ...])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                partition, segment, doc_ids, counts, ids = unpack_segment(content.as_buffer())
+            for *_, data in chain.from_iterable(segments_of(content.as_buffer()) for content in batch.column(0)):
+                partition, segment, doc_ids, counts, ids = unpack_segment(data)
                 ends = np.cumsum(counts)
                 raw, n = ids.astype("<u4").tobytes(), len(doc_ids)
                 arrays = [pa.array(np.full(n, partition, np.int64)), pa.array(np.full(n, segment, np.int64)), pa.array(doc_ids, pa.int64()), pa.array(ends - counts), pa.array(counts)]
