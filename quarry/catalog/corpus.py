@@ -11,6 +11,7 @@ from quarry.catalog import query
 from quarry.functions import lexicon as L
 from quarry.functions import scoring, text
 from quarry.operators import benchmark, chunking, curation, parsing, rag
+from quarry.operators.terms import with_matches
 from quarry.plans.plugins import HashEmbedder, embed_column
 from quarry.session import table
 from quarry.sources.tables import keyword_stats
@@ -238,7 +239,7 @@ SELECT item_id, doc_id, CASE WHEN len(q) = 0 THEN 'medium' WHEN style = 'keyword
 def difficulty_overlap(spark, sf_dir):
     styles = F.array(*map(F.lit, benchmark.STYLES))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
-    pairs = papers(spark, sf_dir).join(b, F.contains("abstract", F.col("q")))
+    pairs = with_matches(papers(spark, sf_dir), b.select("q"), F.col("abstract")).withColumn("q", F.explode("matched")).join(b, "q")
     made = benchmark.overlap_difficulty(F.col("q"), styles[F.col("item_id") % 4], F.col("title"), F.col("abstract"))
     return pairs.select("item_id", F.col("paper_id").alias("doc_id"), made.alias("difficulty"))
 
@@ -263,12 +264,19 @@ def html_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", parsing.html_title(F.col("html")).alias("title"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</(p|div|li|h[1-6]|tr)>|<br\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS t FROM b)
+SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g')) AS text FROM c""")
 def html_texts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", parsing.html_text(F.col("html")).alias("text"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, lang, string_split(text, chr(10)) AS p, '\title{' || lang || '}\begin{abstract}' || left(text, 300) || '\end{abstract}\section{Introduction}' || split_part(text, chr(10), 1) AS head FROM documents),
+e AS (SELECT *, CASE WHEN len(p) = 1 THEN head || '\section{References}none' ELSE head END AS first, CASE WHEN len(p) = 1 THEN first ELSE p[-1] || '\section{References}none' END AS last FROM l),
+k AS (SELECT *, len(regexp_extract_all(first, '\\[a-zA-Z]+')) / len(regexp_extract_all(first, '\S+')) <= 0.3 AS first_stays, len(regexp_extract_all(last, '\\[a-zA-Z]+')) / len(regexp_extract_all(last, '\S+')) <= 0.3 AS last_stays FROM e)
+SELECT CAST(doc_id AS VARCHAR) AS paper_id, lang AS title, CAST(NULL AS VARCHAR) AS error, CAST(first_stays AS INTEGER) + CAST(last_stays AS INTEGER) AS n_sections,
+CAST(CASE WHEN first_stays THEN len(list_filter(CASE WHEN last_stays THEN p ELSE p[:-2] END, lambda x: length(trim(regexp_replace(regexp_replace(x, '\$([^$]+)\$', '\1', 'g'), '[ \t]+', ' ', 'g'))) >= 20)) ELSE 0 END AS INTEGER) AS n_paragraphs FROM k""")
 def parse_latex_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     source = F.concat(F.lit(r"\title{"), F.col("lang"), F.lit("}\\begin{abstract}"), F.substring("text", 1, 300), F.lit("\\end{abstract}\\section{Introduction}"), F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit(r"\section{References}none"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.catalog import query
 from quarry.operators import benchmark, evaluation, report, storage
+from quarry.operators.terms import with_matches
 from quarry.session import table
 from quarry.streaming import limits
 
@@ -119,7 +120,7 @@ def latest_per_key(spark, sf_dir):
 def qrels(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
-    hits = d.join(b, F.contains("text", F.col("q"))).groupBy("item_id").agg(F.array_sort(F.collect_list("doc_id")).alias("relevant_papers"))
+    hits = with_matches(d, b.select("q"), F.col("text")).select("doc_id", F.explode("matched").alias("q")).join(b, "q").groupBy("item_id").agg(F.array_sort(F.collect_list("doc_id")).alias("relevant_papers"))
     return b.join(hits, "item_id", "left").select(F.col("item_id").alias("query_id"), F.coalesce("relevant_papers", F.array().cast("array<bigint>")).alias("relevant_papers"), F.array().cast("array<bigint>").alias("relevant_chunks"))
 
 
@@ -183,7 +184,21 @@ def style_difficulty_cube(spark, sf_dir):
     return report.style_difficulty_cube(rows).withColumn("avg_mrr", F.round("avg_mrr", 6))
 
 
-@query()
+def _grid_sql() -> str:
+    from quarry.catalog.search import _COS, _TF
+
+    return f"""{_COS}, {_TF.removeprefix('WITH ')},
+de AS (SELECT query_id, chunk_id, paper_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 20),
+sk AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sp QUALIFY rank <= 20),
+g AS (SELECT DISTINCT round(a / t, 4) AS wd, round(b / t, 4) AS ws FROM (SELECT a, b, a + b + c AS t FROM range(0, 11) x(a), range(0, 11) y(b), range(0, 11) z(c)) WHERE t BETWEEN 9 AND 11),
+q AS (SELECT DISTINCT query_id, query_id // 100 % 10 AS paper FROM de), own AS (SELECT chunk_id, paper_id FROM de UNION SELECT chunk_id, chunk_id % 10 FROM sk),
+f AS (SELECT query_id, chunk_id, de.rank AS dr, sk.rank AS sr FROM de FULL JOIN sk USING (query_id, chunk_id)),
+r AS (SELECT wd, ws, query_id, paper, chunk_id, row_number() OVER (PARTITION BY wd, ws, query_id ORDER BY coalesce(wd / (60 + dr), 0) + coalesce(ws / (60 + sr), 0) DESC, coalesce(dr, 1000000 + sr), chunk_id) AS rank FROM f JOIN q USING (query_id) CROSS JOIN g QUALIFY rank <= 10),
+h AS (SELECT wd, ws, query_id, 1 / min(rank) AS rr FROM r JOIN own ON own.chunk_id = r.chunk_id AND own.paper_id = r.paper GROUP BY ALL), m AS (SELECT wd, ws, sum(rr) AS t FROM h GROUP BY ALL)
+SELECT g.wd AS dense_weight, g.ws AS sparse_weight, round(coalesce(t, 0) / (SELECT count(*) FROM q), 6) AS mrr FROM g LEFT JOIN m USING (wd, ws)"""
+
+
+@query(_grid_sql())
 def weight_grid(spark, sf_dir):
     from quarry.catalog.search import _ranked, postings, term_queries
     from quarry.operators import retrieval
@@ -266,7 +281,10 @@ def events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w(user_id, i, event_id, last, before, ok) AS (SELECT user_id, i, event_id, t, CAST(NULL AS DOUBLE), true FROM e WHERE i = 1 UNION ALL
+  SELECT e.user_id, e.i, e.event_id, CASE WHEN before IS NULL OR before <= t - 86400 THEN t ELSE last END, CASE WHEN before IS NULL OR before <= t - 86400 THEN last ELSE before END, before IS NULL OR before <= t - 86400 FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+SELECT event_id, ok AS accepted FROM w""")
 def rate_limit_log(spark, sf_dir):
     return limits.rate_limit_batch(events(spark, sf_dir).select("event_id", "user_id", "ts"), 2, 86400.0, key="user_id", tie="event_id").select("event_id", "accepted")
 

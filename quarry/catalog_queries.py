@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.catalog import ORACLES, QUERIES, corpus, records, search  # noqa: F401
+from quarry.catalog import ORACLES, QUERIES, corpus, hybrid, markup, records, search, storage  # noqa: F401
 
 
 def flagship(spark, sf_dir):

@@ -213,3 +213,34 @@ NOISY_ENVIRONMENTS = (
 )
 # States of a paper.
 STATUSES = ("pending", "collected", "parsed", "embedded", "failed")
+
+# Rules that both the column functions (quarry.functions.text) and the parsers (quarry.operators.parsing) apply, in order: pattern, and what takes
+# its place ($1 is the first group). Fixed values.
+_BRACED = r"\{[^}]*\}"
+COMMANDS = (
+    *((rf"\\{c}" + (r"(?:\[[^\]]*\])?" if c == "includegraphics" else "") + _BRACED, "") for c in DROP_WITH_CONTENT),
+    *((rf"\\{c}", "") for c in DROP_ALONE),
+    *((rf"\\{c}\{{([^}}]*)\}}", "$1") for c in KEEP_CONTENT),
+    *((r"\\[a-zA-Z]+(?:\[[^\]]*\])?\{([^{}]*)\}", "$1") for _ in range(3)),  # nested up to three deep
+    (r"\\[a-zA-Z]+(?:\[[^\]]*\])?(?=\s|$|[^a-zA-Z{])", ""),
+)
+SIGNS = (
+    (r"``([^']+)''", '"$1"'), (r"`([^']+)'", "'$1'"), (r"\$([^$]+)\$", "$1"), (r"\\\(([^)]+)\\\)", "$1"), (r"\{\s*\}", ""), (r"[{}]", ""),
+    (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"(?m)^\s+", ""),
+)
+EQUATION_MARKS = ((r"\\(?:begin|end)\{(?:equation|align|gather|multline)\*?\}", ""), (r"\\label\{[^}]*\}", ""), (r"\s+", " "))
+HEADING_MARKS = ((r"^[\d.]+\s*", ""), (r"[.:;,]+$", ""))
+TITLE_COMMENT = ((r"(?<!\\)%[^\n]*\n?", ""), (r"\s+", " "))
+TITLE_ENDS = ((r"^[:\-–—\s]+", ""), (r"[:\-–—\s]+$", ""))
+
+# The built-in evaluation set: question, relevant papers, category.
+EVALUATION = (
+    ("What is RLHF and how does reinforcement learning from human feedback improve language models?", ("2501.01031v3", "2501.01336v1"), "alignment"),
+    ("How does retrieval augmented generation (RAG) improve LLM responses?", ("2501.00879v3", "2501.01031v3"), "rag"),
+    ("What techniques are used for multi-tool reasoning in LLMs?", ("2501.01290v1", "2501.00830v2"), "reasoning"),
+    ("How do multimodal large language models process both text and images?", ("2501.00750v2", "2501.01645v3"), "multimodal"),
+    ("How are LLM agents used for autonomous problem solving?", ("2501.01205v1", "2501.00750v2"), "agents"),
+    ("What benchmarks are used to evaluate LLM capabilities?", ("2501.01243v3", "2501.01290v1"), "evaluation"),
+    ("How do attention mechanisms work in transformer models?", ("2501.00759v3", "2501.01073v2"), "architecture"),
+    ("What methods improve trustworthiness and robustness of RAG systems?", ("2501.00879v3", "2501.00888v1"), "rag"),
+)

@@ -87,32 +87,22 @@ def shorten(text: Column, most: int, mark: str = "...") -> Column:
 
 def clean_markup(text: Column) -> Column:
     """Running text of LaTeX: commands go, with or without what they hold; quotes, dashes and white space are made even."""
-    held = r"(?:\[[^\]]*\])?\{[^}]*\}"
-    drop = [(rf"\\{c}{held if c == 'includegraphics' else r'\{[^}]*\}'}", "") for c in L.DROP_WITH_CONTENT]
-    alone = [(rf"\\{c}", "") for c in L.DROP_ALONE]
-    keep = [(rf"\\{c}\{{([^}}]*)\}}", "$1") for c in L.KEEP_CONTENT]
-    nested = [(r"\\[a-zA-Z]+(?:\[[^\]]*\])?\{([^{}]*)\}", "$1")] * 3
     t = F.coalesce(text, F.lit(""))
-    last = (r"\\[a-zA-Z]+(?:\[[^\]]*\])?(?=\s|$|[^a-zA-Z{])", "")
-    t = F.when(F.contains(t, F.lit("\\")), _sub(t, *drop, *alone, *keep, *nested, last)).otherwise(t)  # all of them ask for a backslash
-    t = _swap(t, L.SPECIAL_CHARS)
-    t = _sub(t, (r"``([^']+)''", '"$1"'), (r"`([^']+)'", "'$1'"), (r"\$([^$]+)\$", "$1"), (r"\\\(([^)]+)\\\)", "$1"), (r"\{\s*\}", ""), (r"[{}]", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"(?m)^\s+", ""))
-    return strip(t)
+    t = F.when(F.contains(t, F.lit("\\")), _sub(t, *L.COMMANDS)).otherwise(t)  # all of them ask for a backslash
+    return strip(_sub(_swap(t, L.SPECIAL_CHARS), *L.SIGNS))
 
 
 def clean_section_title(title: Column) -> Column:
-    return strip(_sub(clean_markup(title), (r"^[\d.]+\s*", ""), (r"[.:;,]+$", "")))
+    return strip(_sub(clean_markup(title), *L.HEADING_MARKS))
 
 
 def clean_paper_title(title: Column) -> Column:
-    t = _sub(F.coalesce(title, F.lit("")), (r"(?<!\\)%[^\n]*\n?", ""), (r"\s+", " "))
-    t = _sub(clean_markup(t), (r"^[:\-–—\s]+", ""), (r"[:\-–—\s]+$", ""))
+    t = _sub(clean_markup(_sub(F.coalesce(title, F.lit("")), *L.TITLE_COMMENT)), *L.TITLE_ENDS)
     return strip(_swap(t, (("\\", ""), ("  ", " "))))
 
 
 def clean_equation(latex: Column) -> Column:
-    env = r"(equation|align|gather|multline)\*?"
-    return strip(_sub(F.coalesce(latex, F.lit("")), (rf"\\begin\{{{env}\}}", ""), (rf"\\end\{{{env}\}}", ""), (r"\\label\{[^}]*\}", ""), (r"\s+", " ")))
+    return strip(_sub(F.coalesce(latex, F.lit("")), *L.EQUATION_MARKS))
 
 
 def plain_content(latex: Column) -> Column:

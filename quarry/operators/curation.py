@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import lexicon as L
-from quarry.functions.scoring import global_row_number
 from quarry.functions.text import contains_any, strip, strip_version, words
+from quarry.operators.terms import with_matches
 
 
 def paper_text(title: str = "title", abstract: str = "abstract") -> Column:
@@ -46,17 +46,15 @@ def recall(papers: DataFrame, keywords=L.POSITIVE, start: Column | None = None,
 
 
 def keyword_matches(rows: DataFrame, keywords: DataFrame, text: Column, key: str = "paper_id") -> tuple[DataFrame, DataFrame]:
-    """(filtered, passed): rows that hold any of the stored keywords (column keyword) as a substring, with the sorted matches, and the
-    others. A keyword store is a small table; it goes into one array literal per task by a one-row join."""
-    store = keywords.select(F.lower("keyword").alias("k")).distinct().agg(F.array_sort(F.collect_set("k")).alias("_store"))
-    found = rows.join(F.broadcast(store), F.lit(True)).withColumn("matched", F.filter("_store", lambda k: F.contains(F.lower(text), k))).drop("_store")
+    """(filtered, passed): rows whose lower-cased text holds any of the stored keywords (column keyword) as a substring, with the sorted
+    matches, and the others. One automaton for all keywords of a block (terms.with_matches)."""
+    found = with_matches(rows, keywords.select(F.lower("keyword")), F.lower(text))
     return found.filter(F.size("matched") > 0), found.filter(F.size("matched") == 0).drop("matched")
 
 
 def verify_edges(edges: DataFrame, labels: DataFrame, most: int = 500, key: str = "paper_id", on_missing: bool = True) -> DataFrame:
     """The first `most` edge cases (a limit of the operator, by key) joined to relevance labels; a missing label counts as `on_missing`."""
-    numbered = global_row_number(edges, [F.asc(key)], "_i").filter(F.col("_i") <= most).drop("_i")
-    return numbered.join(labels.select(key, "is_relevant"), key, "left").withColumn("is_relevant", F.coalesce("is_relevant", F.lit(on_missing)))
+    return edges.orderBy(key).limit(most).join(labels.select(key, "is_relevant"), key, "left").withColumn("is_relevant", F.coalesce("is_relevant", F.lit(on_missing)))
 
 
 def label_split(rows: DataFrame, labels: DataFrame, key: str = "paper_id", flag: str = "suitable", keep_missing: bool = True) -> tuple[DataFrame, DataFrame]:

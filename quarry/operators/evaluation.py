@@ -7,9 +7,10 @@ best chunk of each paper first; the ideal order has all relevant papers; precisi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import lexicon as L
 from quarry.operators.retrieval import best_per_group, rrf
 
 
@@ -88,6 +89,12 @@ def aggregate(metrics: DataFrame) -> DataFrame:
     return out.withColumn("level", level).drop("_g")
 
 
+def built_in_queries(spark: SparkSession) -> DataFrame:
+    """query_id, query, relevant_papers, category of the built-in evaluation set."""
+    rows = [(i, q, list(papers), category) for i, (q, papers, category) in enumerate(L.EVALUATION)]
+    return spark.createDataFrame(rows, "query_id long, query string, relevant_papers array<string>, category string")
+
+
 def filter_unavailable(queries: DataFrame, available: DataFrame, paper: str = "paper_id") -> tuple[DataFrame, DataFrame]:
     """(kept, dropped): a query stays if any of its relevant papers is available; its lists lose the others, with order and repeats kept.
     Dropped queries get missing_papers. Membership is an equi join on exploded lists, so neither side is collected."""

@@ -7,7 +7,8 @@ queries in numpy and keeps the best k of each query, so the exchange carries at
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,13 @@ from pyspark.sql import functions as F
 
 from quarry.functions import lexicon as L
 from quarry.functions.text import words
-from quarry.functions.vectors import cosine, maxsim, sparse_top
+from quarry.functions.vectors import cosine, sparse_top
+from quarry.session import scratch
 
 #: Most queries that one pass broadcasts; a larger set is searched in several passes.
 QUERY_BLOCK = 4096
+_CELLS = 1 << 21  # scores that a task holds at once
+_MAXSIM_ROWS = 256  # rows whose token vectors are multiplied at once
 
 
 def top_k(scored: DataFrame, k: Column | int, *, by: str = "score", key: str = "chunk_id", per: str = "query_id") -> DataFrame:
@@ -28,62 +32,89 @@ def top_k(scored: DataFrame, k: Column | int, *, by: str = "score", key: str = "
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+class _Best:
+    """The k best keys of each query over the batches of a task; ties to the smaller key. Scores below `low` don't count."""
+
+    def __init__(self, n: int, k: int, low: float = -np.inf):
+        self.k, self.low, self.held = k, low, [[] for _ in range(n)]
+
+    def add(self, q: int, scores: np.ndarray, keys: np.ndarray) -> None:
+        held, low = self.held[q], self.low
+        if len(held) >= self.k:
+            low = max(low, held[-1][0])
+        at = np.flatnonzero(scores >= low)
+        if len(at) > self.k:
+            at = at[scores[at] >= np.partition(scores[at], len(at) - self.k)[len(at) - self.k]]
+        if len(at):
+            held += zip(scores[at].tolist(), keys[at], strict=True)
+            held.sort(key=lambda p: (-p[0], p[1]))
+            del held[self.k :]
+
+    def batch(self, ids: list, id_type: str, key_type: str) -> pa.RecordBatch:
+        rows = [(i, c, s) for i, held in zip(ids, self.held, strict=True) for s, c in held]
+        cols = list(zip(*rows, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], _arrow(id_type)), pa.array(cols[1], _arrow(key_type)), pa.array(cols[2], pa.float64())], ["query_id", "chunk_id", "score"])
+
+
+def _in_blocks(rows: DataFrame, queries: Iterator, block: int, k: int, search: Callable[[list], DataFrame]) -> DataFrame:
+    """Top k of `search` over blocks of queries. The driver holds one block at a time (and looks at the next one): a single block is a lazy plan, the
+    results of several are written to the shared folder one after the other."""
+    first, second = list(islice(queries, block)), list(islice(queries, block))
+    if not second:
+        return top_k(search(first), k)
+    path = scratch(rows.sparkSession, "search")
+    for part in chain((first, second), iter(lambda: list(islice(queries, block)), [])):
+        top_k(search(part), k).write.mode("append").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Starts and sizes of a list column's entries in its values; a null has size -1."""
+    offsets = np.asarray(column.offsets)
+    sizes = np.diff(offsets)
+    sizes[np.asarray(column.is_null())] = -1
+    return offsets[:-1], sizes, column.values
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
 def dense_search(queries: DataFrame, rows: DataFrame, k: int = 20, *, threshold: float | None = None, vector: str = "embedding", key: str = "chunk_id", query_vector: str = "vector", block: int = QUERY_BLOCK) -> DataFrame:
     """Cosine top k for each query (query_id, vector), exactly. threshold keeps scores strictly above it; rows with a null vector or
     another length than the query are left out; zero vectors score 0. The driver gets one block of query vectors at a time."""
     if k < 1:
         raise ValueError("k must be positive")
-    ids = [(r[0], r[1]) for r in queries.select("query_id", F.col(query_vector).cast("array<double>")).orderBy("query_id").toLocalIterator() if r[1] is not None]
-    spark, out = rows.sparkSession, None
-    id_type = dict(queries.dtypes)["query_id"]
-    key_type = dict(rows.dtypes)[key]
-    for a in range(0, max(len(ids), 1), block):
-        part = _dense_block(rows, ids[a : a + block], k, threshold, vector, key, id_type, key_type)
-        out = part if out is None else out.unionByName(part)
-    return top_k(out, k) if out is not None else spark.createDataFrame([], f"query_id {id_type}, chunk_id {key_type}, score double, rank int")
-
-
-def _dense_block(rows: DataFrame, ids: list, k: int, threshold: float | None, vector: str, key: str, id_type: str, key_type: str) -> DataFrame:
-    by_size: dict[int, tuple[list, np.ndarray]] = {}
-    for size in {len(v) for _, v in ids}:
-        own = [(i, v) for i, v in ids if len(v) == size]
-        m = np.array([v for _, v in own], np.float64).reshape(len(own), size)
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        by_size[size] = ([i for i, _ in own], np.divide(m, n, out=np.zeros_like(m), where=n > 0))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[int, int], list] = {}
-        for batch in batches:
-            keys, vectors = np.array(batch.column(0).to_pylist(), object), batch.column(1)
-            sizes = np.diff(np.asarray(vectors.offsets))
-            sizes[np.asarray(vectors.is_null())] = -1
-            flat = np.asarray(vectors.values, np.float64)
-            starts = np.asarray(vectors.offsets)[:-1]
-            for size, (_, m) in by_size.items():
-                own = np.flatnonzero(sizes == size)
-                if not len(own):
-                    continue
-                x = flat[starts[own][:, None] + np.arange(size)]
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                scores = m @ np.divide(x, n, out=np.zeros_like(x), where=n > 0).T
-                for q in range(len(m)):
-                    s = scores[q]
-                    held = best.setdefault((size, q), [])
-                    low = -np.inf if threshold is None else np.nextafter(threshold, np.inf)
-                    if len(held) >= k:
-                        low = max(low, held[k - 1][0])
-                    at = np.flatnonzero(s >= low)
-                    if len(at) > k:
-                        edge = np.partition(s[at], len(at) - k)[len(at) - k]
-                        at = at[s[at] >= edge]
-                    held += zip(s[at].tolist(), keys[own[at]], strict=True)
-                    held.sort(key=lambda p: (-p[0], p[1]))
-                    del held[k:]
-        rows_ = [(by_size[size][0][q], c, s) for (size, q), held in best.items() for s, c in held]
-        cols = list(zip(*rows_, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], _arrow(id_type)), pa.array(cols[1], _arrow(key_type)), pa.array(cols[2], pa.float64())], ["query_id", "chunk_id", "score"])
-
-    return rows.select(F.col(key), F.col(vector)).mapInArrow(run, f"query_id {id_type}, chunk_id {key_type}, score double")
+    id_type, key_type = dict(queries.dtypes)["query_id"], dict(rows.dtypes)[key]
+    low = -np.inf if threshold is None else np.nextafter(threshold, np.inf)
+
+    def search(asked: list) -> DataFrame:
+        by_size: dict[int, list[int]] = {}
+        for i, (_, v) in enumerate(asked):
+            by_size.setdefault(len(v), []).append(i)
+        matrices = {size: (own, _unit(np.array([asked[i][1] for i in own], np.float64).reshape(len(own), size))) for size, own in by_size.items()}
+        sent = rows.sparkSession.sparkContext.broadcast(([i for i, _ in asked], matrices))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrices = sent.value
+            best = _Best(len(ids), k, low)
+            for batch in batches:
+                keys = np.array(batch.column(0).to_pylist(), object)
+                starts, sizes, values = _lists(batch.column(1))
+                flat = np.asarray(values, np.float64)
+                for size, (at, m) in matrices.items():
+                    own = np.flatnonzero(sizes == size)
+                    if len(own):
+                        scores = m @ _unit(flat[starts[own][:, None] + np.arange(size)]).T
+                        for q, s in zip(at, scores, strict=True):
+                            best.add(q, s, keys[own])
+            yield best.batch(ids, id_type, key_type)
+
+        return rows.select(F.col(key), F.col(vector)).mapInArrow(run, f"query_id {id_type}, chunk_id {key_type}, score double")
+
+    asked = queries.select("query_id", F.col(query_vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    return _in_blocks(rows, (tuple(r) for r in asked.toLocalIterator()), block, k, search)
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -114,30 +145,110 @@ def sparse_vectors(rows: DataFrame, weights: str = "weights", k: int = 128, key:
     return rows.select(key, F.explode(sparse_top(F.col(weights), k)).alias("p")).select(key, "p.token", "p.weight")
 
 
-def sparse_search(queries: DataFrame, postings: DataFrame, k: int = 20, *, key: str = "chunk_id", keep_zero: DataFrame | None = None) -> DataFrame:
-    """Dot-product top k: queries (query_id, token, weight) joined to postings (key, token, weight) on the token, products summed.
-    keep_zero: a table with every key, whose rows without a shared token score 0 instead of being left out (only as many
-    of them as a query still lacks)."""
-    q = queries.select("query_id", "token", F.col("weight").alias("_q"))
-    scored = postings.join(q, "token").groupBy("query_id", F.col(key).alias("chunk_id")).agg(F.sum(F.col("weight") * F.col("_q")).alias("score"))
-    best = top_k(scored, k)
+def sparse_search(queries: DataFrame, postings: DataFrame, k: int = 20, *, key: str = "chunk_id", keep_zero: DataFrame | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """Dot-product top k of queries (query_id, token, weight) over postings (key, token, weight), exactly. A row's postings come together (no exchange
+    where they are already dealt by key, as from term_frequencies); each task adds up products with a block of queries and sends the k
+    best rows of each, so no table of pairs is ever dealt, however frequent a token. Tokens are compared by 64-bit hash.
+    keep_zero: a table with every key, whose rows without a shared token score 0 instead of being left out."""
+    id_type, key_type = dict(queries.dtypes)["query_id"], dict(postings.dtypes)[key]
+    entry = F.struct(F.xxhash64("token").alias("h"), F.col("weight").cast("double").alias("w"))
+    packed = postings.filter("weight IS NOT NULL").groupBy(key).agg(F.collect_list(entry).alias("p"))
+
+    def search(asked: list) -> DataFrame:
+        ids = [i for i, _ in asked]
+        q = np.repeat(np.arange(len(ids)), [len(p) for _, p in asked])
+        h = np.array([x["h"] for _, p in asked for x in p], np.int64)
+        w = np.array([x["w"] for _, p in asked for x in p], np.float64)
+        order = np.argsort(h, kind="stable")
+        tokens, first = np.unique(h[order], return_index=True)
+        sent = postings.sparkSession.sparkContext.broadcast((ids, tokens, np.append(first, len(h)), q[order], w[order]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, tokens, first, q, w = sent.value
+            best = _Best(len(ids), k)
+            step = max(1, _CELLS // max(len(ids), 1))
+            for whole in batches if len(tokens) else ():
+                for a in range(0, whole.num_rows, step):
+                    batch = whole.slice(a, step)
+                    keys = np.array(batch.column(0).to_pylist(), object)
+                    flat = batch.column(1).flatten()
+                    row = np.repeat(np.arange(len(keys)), np.diff(np.asarray(batch.column(1).offsets)))
+                    hashes, weights = (np.asarray(flat.field(i)) for i in (0, 1))
+                    at = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
+                    hit = tokens[at] == hashes
+                    at, row, weights = at[hit], row[hit], weights[hit]
+                    n = first[at + 1] - first[at]
+                    entry = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    cell = q[entry] * len(keys) + np.repeat(row, n)
+                    scores = np.bincount(cell, w[entry] * np.repeat(weights, n), minlength=len(ids) * len(keys)).reshape(len(ids), -1)
+                    shared = np.bincount(cell, minlength=len(ids) * len(keys)).reshape(len(ids), -1) > 0
+                    for i in np.flatnonzero(shared.any(axis=1)).tolist():
+                        best.add(i, scores[i][shared[i]], keys[shared[i]])
+            yield best.batch(ids, id_type, key_type)
+
+        return packed.mapInArrow(run, f"query_id {id_type}, chunk_id {key_type}, score double")
+
+    own = queries.filter("weight IS NOT NULL").groupBy("query_id").agg(F.collect_list(entry).alias("p"))
+    best = _in_blocks(packed, (tuple(r) for r in own.toLocalIterator()), block, k, search)
     if keep_zero is None:
         return best
-    # The k smallest keys that a query has no score for are among its first (k + scored rows) keys; the k smallest keys
-    # that aren't scored suffice, found per query by an anti join of a small range of keys.
-    ids = queries.select("query_id").distinct()
+    # A query with k matches or more needs no row that scores 0, if no weight is negative. Of the others every match is in `best`, so the
+    # smallest keys that they lack are among the first 2k.
+    scored = best.select("query_id", "chunk_id", "score")
     matched = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-    lacking = ids.join(matched, "query_id", "left").filter(F.coalesce("_n", F.lit(0)) < k).select("query_id", F.coalesce("_n", F.lit(0)).alias("_n"))
-    first = keep_zero.select(F.col(key).alias("chunk_id")).distinct().orderBy("chunk_id").limit(2 * k)
-    zeros = lacking.join(F.broadcast(first), F.lit(True)).join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    lacking = queries.select("query_id").distinct().join(matched, "query_id", "left").filter(F.coalesce("_n", F.lit(0)) < k).select("query_id")
+    smallest = keep_zero.select(F.col(key).alias("chunk_id")).distinct().orderBy("chunk_id").limit(2 * k)
+    zeros = lacking.join(F.broadcast(smallest), F.lit(True)).join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     return top_k(scored.unionByName(zeros.select("query_id", "chunk_id", F.lit(0.0).alias("score"))), k)
 
 
-def maxsim_search(queries: DataFrame, rows: DataFrame, k: int = 10, *, tokens: str = "tokens", key: str = "chunk_id") -> DataFrame:
-    """Late interaction: each query (query_id, query_tokens) against every row's token vectors. The queries must be few:
-    Spark broadcasts them under its own size limit."""
-    scored = rows.filter(F.col(tokens).isNotNull() & (F.size(tokens) > 0)).join(queries, F.lit(True))
-    return top_k(scored.select("query_id", F.col(key).alias("chunk_id"), maxsim(F.col("query_tokens"), F.col(tokens)).alias("score")), k)
+def maxsim_search(queries: DataFrame, rows: DataFrame, k: int = 10, *, tokens: str = "tokens", key: str = "chunk_id", block: int = QUERY_BLOCK) -> DataFrame:
+    """Late interaction: each query (query_id, query_tokens) against every row's token vectors, as vectors.maxsim has it. Rows are never dealt: a
+    task multiplies its rows' token vectors with those of a block of queries and keeps the k best rows of each. Rows without tokens are left out."""
+    id_type, key_type = dict(queries.dtypes)["query_id"], dict(rows.dtypes)[key]
+
+    def search(asked: list) -> DataFrame:
+        sent = rows.sparkSession.sparkContext.broadcast([(i, [np.array(t, np.float64) for t in ts]) for i, ts in asked])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = [i for i, _ in sent.value]
+            # All token vectors of a length together, with the query that each belongs to.
+            by_size: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+            for q, (_, ts) in enumerate(sent.value):
+                for t in ts:
+                    own = by_size.setdefault(len(t), ([], []))
+                    own[0].append(q)
+                    own[1].append(t)
+            matrices = {size: (np.array(q), _unit(np.stack(m))) for size, (q, m) in by_size.items() if size}
+            best = _Best(len(ids), k)
+            for whole in batches:
+                for a in range(0, whole.num_rows, _MAXSIM_ROWS):
+                    batch = whole.slice(a, _MAXSIM_ROWS)
+                    keys = np.array(batch.column(0).to_pylist(), object)
+                    _, counts, _ = _lists(batch.column(1))
+                    inner = batch.column(1).flatten()
+                    starts, sizes, values = _lists(inner)
+                    flat, row = np.asarray(values, np.float64), np.repeat(np.arange(len(keys)), np.maximum(counts, 0))
+                    scores = np.zeros((len(ids), len(keys)))
+                    for size, (q, m) in matrices.items():
+                        own = np.flatnonzero(sizes == size)
+                        if not len(own):
+                            continue
+                        x = _unit(flat[starts[own][:, None] + np.arange(size)])
+                        heads = np.flatnonzero(np.concatenate(([True], row[own][1:] != row[own][:-1])))
+                        most = np.maximum(np.maximum.reduceat(m @ x.T, heads, axis=1), 0.0)
+                        part = np.zeros((len(ids), len(heads)))
+                        np.add.at(part, q, most)
+                        scores[:, row[own][heads]] += part
+                    there = np.flatnonzero(counts > 0)
+                    for i in range(len(ids)):
+                        best.add(i, scores[i, there], keys[there])
+            yield best.batch(ids, id_type, key_type)
+
+        return rows.select(F.col(key), F.col(tokens).cast("array<array<double>>")).mapInArrow(run, f"query_id {id_type}, chunk_id {key_type}, score double")
+
+    asked = queries.select("query_id", F.col("query_tokens").cast("array<array<double>>").alias("t")).filter("t IS NOT NULL")
+    return _in_blocks(rows, (tuple(r) for r in asked.toLocalIterator()), block, k, search)
 
 
 # ---- fusion

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions import lexicon as L
 from quarry.functions.classify import plan_queries, preset
 from quarry.operators import chunking, parsing, rag, retrieval
-from quarry.operators.storage import upsert
+from quarry.operators.storage import Snapshots, upsert
 from quarry.plans.plugins import Embedder, Expander, HashEmbedder, IdentityExpander, Scorer, embed_column, expand_column
 
 MODES = ("dense", "sparse", "hybrid", "adaptive", "fulltext")
@@ -24,7 +24,7 @@ class Engine:
 
     chunks: DataFrame
     vectors: DataFrame
-    postings: DataFrame
+    postings: DataFrame | None
     papers: DataFrame | None = None
     embedder: Embedder = field(default_factory=HashEmbedder)
     expander: Expander = field(default_factory=IdentityExpander)
@@ -54,9 +54,14 @@ class Engine:
         asked = expand_column(planned, self.expander, when=F.col("query_type") == "conceptual") if expand else planned.withColumn("expanded", F.col("query"))
         rows = self.vectors.filter(F.col("vector_name") == (vector_name or self.embedder.name))
         postings = self.postings
+        if postings is None and mode in ("hybrid", "adaptive"):
+            mode = "dense"  # an index without a sparse side still answers
+        elif postings is None and mode == "sparse":
+            raise ValueError("the index has no sparse side")
         if paper_id is not None:
             own = self.chunks.filter(F.col("paper_id") == paper_id).select("chunk_id")
-            rows, postings = rows.join(own, "chunk_id", "left_semi"), postings.join(own, "chunk_id", "left_semi")
+            rows = rows.join(own, "chunk_id", "left_semi")
+            postings = None if postings is None else postings.join(own, "chunk_id", "left_semi")
         vectors = embed_column(asked, self.embedder, "expanded", "vector").select("query_id", "vector")
         terms = retrieval.term_frequencies(asked.select("query_id", "expanded"), key="query_id", text="expanded")
         if mode == "dense":
@@ -79,6 +84,22 @@ class Engine:
         found = retrieval.best_per_group(self.search(queries, mode, 3 * k)).filter(F.col("rank") <= k)
         return rag.context(found, most_tokens)
 
+    def save(self, snapshots: Snapshots, name: str = "index") -> None:
+        """Keeps chunks, vectors and postings as snapshots."""
+        snapshots.write(f"{name}-chunks", self.chunks)
+        snapshots.write(f"{name}-vectors", self.vectors)
+        if self.postings is not None:
+            snapshots.write(f"{name}-postings", self.postings)
+
+    @classmethod
+    def load(cls, snapshots: Snapshots, name: str = "index", **more) -> Engine:
+        """An engine over saved tables: nothing is tokenised or embedded again but the queries. Without saved postings it has no sparse side."""
+        try:
+            postings = snapshots.read(f"{name}-postings")
+        except KeyError:
+            postings = None
+        return cls(snapshots.read(f"{name}-chunks"), snapshots.read(f"{name}-vectors"), postings, **more)
+
     def stats(self) -> DataFrame:
         return retrieval.index_stats(self.vectors)
 

@@ -83,6 +83,20 @@ class IdentityExpander:
         return query
 
 
+class CleaningExpander:
+    """Another expander's text as one line: without a label such as `Abstract:` and without quotes around it. An empty one gives the query back."""
+
+    _label = re.compile(r"(?i)^(?:abstract|passage|answer|hypothetical abstract)\s*:\s*")
+    _quotes = re.compile(r"^[\"']+|[\"']+$")
+
+    def __init__(self, inner: Expander):
+        self.inner = inner
+
+    def expand(self, query: str) -> str:
+        text = self._quotes.sub("", self._label.sub("", (self.inner.expand(query) or "").strip())).strip()
+        return text or query
+
+
 def embed_column(df: DataFrame, embedder: Embedder, text: str, out: str = "embedding", batch: int = 32) -> DataFrame:
     """Adds a vector column; a batch that fails gets null vectors, and its rows stay."""
 
@@ -115,6 +129,18 @@ def score_column(df: DataFrame, scorer: Scorer, query: str, text: str, out: str
     return df.withColumn(out, run(F.col(query), F.col(text)))
 
 
+def expand_cached(df: DataFrame, expander: Expander, cache: DataFrame | None = None, *, query: str = "query", kind: str = "query_type", only: str = "conceptual", out: str = "expanded") -> tuple[DataFrame, DataFrame]:
+    """(df with the expanded query, cache with the new entries). The cache is a table (cache_key, expanded), its keys are `type:query`; what it
+    has is not expanded again. Only queries of the type `only` are expanded."""
+    key = F.concat_ws(":", F.col(kind), F.col(query))
+    wanted = df.filter(F.col(kind) == only).select(key.alias("cache_key"), F.col(query).alias("asked")).distinct()
+    known = wanted.sparkSession.createDataFrame([], "cache_key string, expanded string") if cache is None else cache.select("cache_key", "expanded")
+    fresh = expand_column(wanted.join(known, "cache_key", "left_anti"), expander, "asked", out="expanded").select("cache_key", "expanded")
+    full = known.unionByName(fresh)
+    named = df.withColumn("cache_key", key).join(full.withColumnRenamed("expanded", "_e"), "cache_key", "left")
+    return named.withColumn(out, F.coalesce("_e", F.col(query))).drop("_e", "cache_key"), full
+
+
 def expand_column(df: DataFrame, expander: Expander, query: str = "query", when=None, out: str = "expanded") -> DataFrame:
     """Adds the expanded query where the condition holds, else the query. Each distinct query is expanded once; a failure leaves it as it is."""
 

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -56,6 +57,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, in a folder of the application that is deleted when the driver's JVM ends."""
+    own = f"{shared_dir(spark).rstrip('/')}/quarry-{spark.sparkContext.applicationId}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder: computed once, and later reads survive the loss of any executor."""
     shared_dir(df.sparkSession)
