@@ -133,8 +133,11 @@ def dense_search_expr(query_vector: Column, rows: DataFrame, k: int = 20, *, thr
 
 
 def term_frequencies(rows: DataFrame, *, key: str = "chunk_id", text: str = "text", top: int = 128, pattern: str = r"[^\p{L}]+") -> DataFrame:
-    """Long sparse vectors (key, token, weight): counts of lower-cased words, the `top` of each row by count, then token."""
-    tokens = rows.select(key, F.explode(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), pattern), lambda t: t != "")).alias("token"))
+    """Long sparse vectors (key, token, weight): counts of lower-cased words, the `top` of each row by count, then token. The texts are dealt by key
+    once; counts and the choice of tokens need no exchange after that."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")).repartition(n, key)
+    tokens = dealt.select(key, F.explode(F.filter(F.split("_text", pattern), lambda t: t != "")).alias("token"))
     counts = tokens.groupBy(key, "token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     order = Window.partitionBy(key).orderBy(F.desc("weight"), "token")
     return counts.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top).drop("_r")
