@@ -12,6 +12,7 @@ from quarry.functions.classify import plan_queries, preset
 from quarry.operators import chunking, parsing, rag, retrieval
 from quarry.operators.storage import Snapshots, upsert
 from quarry.plans.plugins import Embedder, Expander, HashEmbedder, IdentityExpander, Scorer, embed_column, expand_column
+from quarry.session import cut_lineage
 
 MODES = ("dense", "sparse", "hybrid", "adaptive", "fulltext")
 LEGACY = ("openai", "colbert", "pg_dense", "pg_sparse", "pg_hybrid")
@@ -52,6 +53,7 @@ class Engine:
         fetch = max(3 * k, 30) if rerank else k
         planned = plan_queries(queries)
         asked = expand_column(planned, self.expander, when=F.col("query_type") == "conceptual") if expand else planned.withColumn("expanded", F.col("query"))
+        asked = cut_lineage(asked)  # classified and expanded once: vectors, terms, weights and list sizes all read it
         rows = self.vectors.filter(F.col("vector_name") == (vector_name or self.embedder.name))
         postings = self.postings
         if postings is None and mode in ("hybrid", "adaptive"):
