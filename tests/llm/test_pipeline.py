@@ -83,4 +83,4 @@ def test_run(spark, sf, stages):
 
 def test_every_query_is_registered():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.queries())
-    assert names == list(range(1, 11)) and P.path("byte_bpe_50k.json")
+    assert names == list(range(1, 14)) and P.path("byte_bpe_50k.json")
