@@ -3,12 +3,13 @@
 Equal sets are one node from the start. A node's sketch has BANDS * ROWS bins: each shingle's hash names its bin and its value there, a bin keeps
 its least value, and an empty bin takes that of a bin drawn by a hash of its own number and the attempt (optimal densification), so bins stay
 independent. A band of ROWS bins is a bucket's key. In each bucket one member is the centre (the one with most neighbours over all its buckets, such as the original of
-many edited copies) and is compared with every other one: a star, not all pairs. Buckets whose members then lie in one component are done; in
-the others further centres follow, FACTOR times as many in each round, and are compared with the members of other components alone, until every member has
-been a centre. So no pair that shares a bucket is lost, and pair counts stay near the number of nodes where groups of copies are large.
+many edited copies), and every node is compared with the best of its buckets' centres: stars with one edge for each node, not all pairs. Buckets whose members then lie
+in one component are done. Of the others the members come together with their sets: one numpy pass tells which members of different components are worth a look (sizes, one bit of
+each of BITS bins, and no earlier bucket in common), those are compared, and only edges of a forest go out: no pair that shares a bucket is lost and none is dealt.
+A bucket too large for a task is cut into blocks, and each pair of blocks is a group of its own.
 
-Links are confirmed on the full sets: the sets of nodes that share a bucket are written once as sorted 64-bit hashes, and dealt by centre, where they stream past
-the centre's own set. A centre with many candidates is dealt to many tasks.
+Links are confirmed on the full sets: the sets of nodes that share a bucket are written once as sorted 64-bit hashes. Stars are dealt by centre and stream past the
+centre's own set; a centre with many candidates is dealt to many tasks. Texts at the similarity differ in more bits than budget() allows with odds below one in a million.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import simhash
 from quarry.llm.common import discard, mix, plain, scratch, slices, span_hashes, sums, text_bytes, word_spans
 from quarry.llm.components import connected_components
 
 BANDS = 32
 ROWS = 5
-FACTOR = 8  # how many more centres a bucket gets in the next round
+BLOCK = 1 << 21  # shingles of a bucket's members that a block has, about
+BITS = 128  # of a sketch that go with a node
 STAR = 4096  # candidates of one centre that a task takes
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -116,47 +119,155 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def sketch_bits(sketch: np.ndarray) -> np.ndarray:
+    """One bit of each of the first BITS bins, as two longs: equal bins agree, others in half of all cases."""
+    taken = sketch[:, :BITS]
+    bits = np.zeros((len(sketch), BITS), np.uint8)
+    bits[:, : taken.shape[1]] = mix(taken + _GOLD * np.arange(1, taken.shape[1] + 1, dtype=np.uint64)) & np.uint64(1)
+    return np.packbits(bits, axis=1).view(">u8").astype(np.uint64).view(np.int64).reshape(len(sketch), 2)
+
+
+def budget(percent: int, bits: int) -> int:
+    """The fewest differing bits that sets at the similarity exceed with odds below one in a million."""
+    p, tail = (100 - percent) / 200, 1.0
+    for k in range(bits + 1):
+        tail -= math.comb(bits, k) * p**k * (1 - p) ** (bits - k)
+        if tail < 1e-6:
+            return k
+    return bits
+
+
 def _nodes(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """64 bits that stand for a set."""
     return mix(sums(mix(hashes + _GOLD), offsets, np.uint64) ^ mix(np.diff(offsets).astype(np.uint64)))
 
 
 def sign(docs: DataFrame, words: int, percent: int, bands: int, rows: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_hash, n_shingles, node (null for an empty set) and keys (of its buckets; none for a set so small that only an equal one is near)."""
+    """doc_id, text_hash, n_shingles, node (null for an empty set), b0 and b1 (bits of its sketch) and keys (of its buckets; none for a set so small that only an equal one
+    is near)."""
     least = math.ceil(percent / max(100 - percent, 1)) if percent < 100 else 1 << 62  # shingles of the smaller of two different sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, keys = [], [], []
+            n, node, bits, keys = [], [], [], []
             for _, w, at in word_hashes(batch.column(2)):
                 h, ends = shingle_sets(w, at, words)
                 size = np.diff(ends)
                 n.append(size)
                 node.append(_nodes(h, ends))
-                found = band_keys(sketches(h, ends, bands * rows), bands, rows).view(np.int64)
+                sketch = sketches(h, ends, bands * rows)
+                bits.append(sketch_bits(sketch))
+                found = band_keys(sketch, bands, rows).view(np.int64)
                 keys += [x if s >= least else () for x, s in zip(found, size, strict=True)]
             n = np.concatenate(n) if n else np.zeros(0, np.int64)
             node = np.concatenate(node) if node else np.zeros(0, np.uint64)
-            columns = [batch.column(0), batch.column(1), pa.array(n), pa.array(node.view(np.int64), mask=n == 0), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "node", "keys"])
+            bits = np.concatenate(bits) if bits else np.zeros((0, 2), np.int64)
+            columns = [batch.column(0), batch.column(1), pa.array(n), pa.array(node.view(np.int64), mask=n == 0), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "node", "b0", "b1", "keys"])
 
     own, (key, text) = plain(docs, key, text)
     read = own.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return read.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, keys array<long>")
+    return read.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, b0 long, b1 long, keys array<long>")
 
 
-def _members(rows: DataFrame, words: int) -> DataFrame:
-    """node and its set, as sorted 64-bit hashes, of rows (node, text)."""
+def _members(rows: DataFrame, words: int, bands: int, band_rows: int) -> DataFrame:
+    """node, its set as sorted 64-bit hashes, the bits of its sketch and its buckets' keys, of rows (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
+            sets, bits, keys = [], [], []
             for _, w, at in word_hashes(batch.column(1)):
                 h, ends = shingle_sets(w, at, words)
+                sketch = sketches(h, ends, bands * band_rows)
                 sets += [h[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "members"])
+                bits += [x.tobytes() for x in sketch_bits(sketch)]
+                keys += [x.tobytes() for x in band_keys(sketch, bands, band_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in (sets, bits, keys))], ["node", "members", "bits", "keys"])
+
+    return rows.mapInArrow(run, "node long, members binary, bits binary, keys binary")
+
+
+class _Group:
+    """The members of a bucket, or of two blocks of one: which of them are linked across components."""
+
+    def __init__(self, bucket: int, rows: list[tuple], percent: int, most: int):
+        block, node, root, members, bits, keys = zip(*rows, strict=True)
+        self.percent, self.most, self.node = percent, most, np.array(node)
+        self.block, self.crossed = np.array(block), len(set(block)) > 1
+        self.sets = [np.frombuffer(m, np.uint64) for m in members]
+        self.size = np.array([len(x) for x in self.sets])
+        self.bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(rows), 2)
+        keys = np.frombuffer(b"".join(keys), np.int64).reshape(len(rows), -1)
+        self.before = keys[:, : int(np.argmax(keys[0] == bucket))]  # of the bands that come first
+        self.root = np.unique(np.array(root), return_inverse=True)[1]
+        self.index: tuple | None = None
+
+    def worth(self, i: int) -> np.ndarray:
+        """Later members of other components that may be near i."""
+        j = np.arange(i + 1, len(self.node))
+        j = j[self.root[j] != self.root[i]]
+        j = j[self.block[j] != self.block[i]] if self.crossed else j
+        j = j[100 * np.minimum(self.size[j], self.size[i]) >= self.percent * np.maximum(self.size[j], self.size[i])]
+        j = j[np.bitwise_count(self.bits[j] ^ self.bits[i]).sum(axis=1) <= self.most]
+        return j[~(self.before[j] == self.before[i]).any(axis=1)]
+
+    def shared(self, i: int, j: np.ndarray) -> np.ndarray:
+        """How many shingles i has in common with each of j."""
+        if len(j) < 8:
+            own = self.sets[i]
+            out = []
+            for x in j:
+                place = np.searchsorted(own, self.sets[x])
+                place[place == len(own)] = 0
+                out.append((own[place] == self.sets[x]).sum())
+            return np.array(out)
+        if self.index is None:  # which members have each shingle
+            flat = np.concatenate(self.sets)
+            _, which = np.unique(flat, return_inverse=True)
+            order = np.argsort(which, kind="stable")
+            owner = np.repeat(np.arange(len(self.sets)), self.size)[order]
+            self.index = which, owner, np.concatenate(([0], np.cumsum(np.bincount(which)))), np.concatenate(([0], np.cumsum(self.size)))
+        which, owner, ends, at = self.index
+        own = which[at[i] : at[i + 1]]
+        n = ends[own + 1] - ends[own]
+        met = owner[np.repeat(ends[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return np.bincount(met, minlength=len(self.sets))[j]
+
+    def edges(self) -> Iterator[tuple[int, int]]:
+        for i in range(len(self.node) - 1):
+            j = self.worth(i)
+            if not len(j):
+                continue
+            same = self.shared(i, j)
+            for x in j[100 * same >= self.percent * (self.size[i] + self.size[j] - same)].tolist():
+                if self.root[x] != self.root[i]:
+                    self.root[self.root == self.root[x]] = self.root[i]
+                    yield int(self.node[i]), int(self.node[x])
+
+
+def _groups(percent: int, most: int):
+    """Rows (bucket, i, j, block, node, root, members, bits, keys) sorted by the first three: edges of each group's forest."""
 
-    return rows.mapInArrow(run, "node long, members binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+
+        def done() -> pa.RecordBatch:
+            found = list(_Group(current[0], held, percent, most).edges()) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            heads = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            columns = [batch.column(c).to_pylist() for c in range(3, 9)]
+            for head, row in zip(heads, zip(*columns, strict=True), strict=True):
+                if head != current:
+                    if len(held) > 1:
+                        yield done()
+                    current, held = head, []
+                held.append(row)
+        if held:
+            yield done()
+
+    return run
 
 
 def _confirm(percent: int):
@@ -214,39 +325,50 @@ class _Store:
             discard(self.spark, self.paths.pop())
 
 
-def _links(docs: DataFrame, nodes: DataFrame, store: _Store, words: int, percent: int, key: str, text: str) -> DataFrame:
-    """node and root of every node that is linked with a smaller one."""
-    placed = nodes.select(F.explode("keys").alias("bucket"), "node", "n_shingles")
+def _links(docs: DataFrame, nodes: DataFrame, store: _Store, words: int, percent: int, shape: tuple[int, int], key: str, text: str, also: DataFrame | None) -> DataFrame:
+    """node and root of every node that is linked with a smaller one. shape: bands and their rows; also: more candidates (centre, node)."""
+    most = budget(percent, min(BITS, shape[0] * shape[1]))
+    near = f"100 * least(n_shingles, n) >= {percent} * greatest(n_shingles, n)"
+    alike = f"bit_count(b0 ^ c0) + bit_count(b1 ^ c1) <= {most}"
+    of_centre = [F.col("n_shingles").alias("n"), F.col("b0").alias("c0"), F.col("b1").alias("c1")]
+
+    placed = nodes.select(F.explode("keys").alias("bucket"), "node")
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = store.keep(placed.join(sizes, "bucket"), "buckets")
-    neighbours = shared.groupBy("node").agg(F.sum("size").alias("neighbours"))
-    wanted = neighbours.select("node").join(nodes.select("node", "rep"), "node").select("node", F.col("rep.none").alias("none"), F.col("rep.k").alias("k"), F.col("rep.h").alias("h"))
+    members = store.keep(placed.join(sizes, "bucket"), "members")
+    neighbours = members.groupBy("node").agg(F.sum("size").alias("neighbours"))
+    shared = store.keep(members.join(neighbours.join(nodes.select("node", "n_shingles", "b0", "b1"), "node"), "node"), "buckets")
+
+    order = F.struct("neighbours", (-F.col("node")).alias("low"), "n_shingles", "b0", "b1")
+    centres = shared.groupBy("bucket").agg(F.max(order).alias("c")).select("bucket", (-F.col("c.low")).alias("centre"), F.col("c.neighbours").alias("weight"), *[F.col(f"c.{x}").alias(y) for x, y in (("n_shingles", "n"), ("b0", "c0"), ("b1", "c1"))])
+    stars = shared.join(centres, "bucket").filter(f"node != centre AND {near} AND {alike}")
+    candidates = stars.groupBy("node").agg(F.max(F.struct("weight", (-F.col("centre")).alias("low"))).alias("c")).select((-F.col("c.low")).alias("centre"), "node")
+    wanted = neighbours.select("node")
+    if also is not None:
+        size = nodes.select(F.col("node").alias("centre"), *of_centre)
+        also = store.keep(also.join(nodes.select("node", "n_shingles", "b0", "b1"), "node").join(size, "centre").filter(f"node != centre AND {near} AND {alike}").select("centre", "node").distinct(), "also")
+        candidates = candidates.unionByName(also).distinct()
+        wanted = wanted.unionByName(also.select("node")).unionByName(also.select(F.col("centre").alias("node"))).distinct()
+
+    wanted = wanted.join(nodes.select("node", "rep"), "node").select("node", F.col("rep.none").alias("none"), F.col("rep.k").alias("k"), F.col("rep.h").alias("h"))
     rows = docs.select(F.col(key).isNull().alias("none"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    sets = store.keep(_members(rows.join(wanted, ["none", "k", "h"]).select("node", "text"), words).dropDuplicates(["node"]), "sets")
-
-    near = f"100 * least(n_shingles, n) >= {percent} * greatest(n_shingles, n)"
-    order = F.struct("neighbours", (-F.col("node")).alias("low"), "n_shingles")
-    centres = shared.join(neighbours, "node").groupBy("bucket").agg(F.max(order).alias("c")).select("bucket", (-F.col("c.low")).alias("centre"), F.col("c.n_shingles").alias("n"))
-    candidates = shared.join(centres, "bucket").filter(f"node != centre AND {near}").select("centre", "node").distinct()
-    links = store.keep(confirmed(candidates, sets, percent), "links")
-    before, after = 0, FACTOR
-    while True:
-        roots = store.keep(connected_components(links), "roots")
-        tied = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # A bucket goes on if its members lie apart and some haven't been centres.
-        open_ = tied.filter(f"size > {before}").groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
-        rest = store.keep(tied.join(open_, "bucket", "left_semi").withColumn("turn", F.pmod(F.xxhash64("node", "bucket"), "size")), "open")
-        if rest.isEmpty():
-            return roots
-        turn = rest.filter(F.col("turn").between(before, after - 1)).select("bucket", F.col("node").alias("centre"), F.col("n_shingles").alias("n"), F.col("root").alias("own"), F.col("turn").alias("t"))
-        # Two centres of one round meet once, and none meets one that came before.
-        pairs = rest.join(turn, "bucket").filter(f"root != own AND (turn >= {after} OR turn >= {before} AND node > centre) AND {near}")
-        links = store.keep(links.unionByName(confirmed(pairs.select("centre", "node").distinct(), sets, percent)), "links")
-        before, after = after, after * FACTOR
+    sets = store.keep(_members(rows.join(wanted, ["none", "k", "h"]).select("node", "text"), words, *shape).dropDuplicates(["node"]), "sets")
+
+    links = store.keep(confirmed(store.keep(candidates, "candidates"), sets.select("node", "members"), percent), "links")
+    roots = store.keep(connected_components(links), "roots")
+    tied = shared.select("bucket", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    blocks = F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks")
+    apart = tied.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), blocks).filter("x != y").select("bucket", "blocks")
+    rest = tied.join(apart, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
+    dealt = rest.select("bucket", F.explode(pairs).alias("p"), "block", "node", "root").join(sets, "node")
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = dealt.select("bucket", "p.i", "p.j", "block", "node", "root", "members", "bits", "keys").repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    more = store.keep(placed.mapInArrow(_groups(percent, most), "a long, b long"), "links")
+    return roots if more.isEmpty() else store.keep(connected_components(links.unionByName(more)), "roots")
 
 
 def near_duplicates(
-    docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text", groups: DataFrame | None = None
 ) -> DataFrame:
     """doc_id, text_hash, n_shingles, node (null for an empty set), component and component_id (the smallest doc_id reachable) of every row: texts are linked if
     100 * shared shingles >= percent * all shingles of both.
@@ -254,16 +376,32 @@ def near_duplicates(
     A text with fewer words than a shingle has one; a null text, or one without words, has none and is linked with nothing: its component_id is its own id. A
     null id takes part but is no smallest id unless its class has no other. Repeated rows share a class; other columns are ignored. An empty table gives no
     rows. Two different texts just at the similarity share none of 32 bands of 5 with odds of 3 in a million, so less the nearer they are; links
-    are exact but for equal 64-bit hashes of different shingles."""
+    are exact but for equal 64-bit hashes of different shingles. groups: classes of another operator (doc_id, text_hash, component) whose members are candidates too."""
     store = _Store(docs)
     own, (key, text) = plain(docs, key, text)
     signed = _Store(docs).keep(sign(own, words, percent, bands, rows, key=key, text=text), "signed")  # stays: the result reads it
     rep = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("text_hash").alias("h"))
-    nodes = store.keep(signed.filter("node IS NOT NULL").groupBy("node").agg(F.min(rep).alias("rep"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "nodes")
-    roots = _links(own, nodes, store, words, percent, key, text)
+    nodes = store.keep(signed.filter("node IS NOT NULL").groupBy("node").agg(F.min(rep).alias("rep"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n_shingles", "b0", "b1", "keys")]), "nodes")
+    also = None
+    if groups is not None:
+        place = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), F.col("text_hash").alias("h")]
+        known = groups.select(*place, F.col("component").alias("group")).distinct().join(signed.filter("node IS NOT NULL").select(*place, "node").distinct(), ["none", "k", "h"])
+        known = store.keep(known.select("group", "node").distinct(), "groups")
+        also = known.join(known.groupBy("group").agg(F.min("node").alias("centre")), "group").select("centre", "node")
+    roots = _links(own, nodes, store, words, percent, (bands, rows), key, text, also)
     tied = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("component"))
     smallest = tied.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = _Store(docs).keep(tied.select("node", "component").join(smallest, "component"), "classes")
     store.clear()
-    found = signed.drop("keys").join(classes, "node", "left")
+    found = signed.drop("b0", "b1", "keys").join(classes, "node", "left")
     return found.select("doc_id", "text_hash", "n_shingles", "node", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, *, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns of docs for one row of each class of near duplicates, as simhash.keep_first() chooses it; every text without words stays. SimHash groups over the same
+    shingles are candidates beside the buckets; all links are confirmed on full sets. No column is added, so no name clashes; an empty table gives no rows."""
+    shown = docs.columns
+    docs, (key, text) = plain(docs, key, text)
+    groups = simhash.near_duplicates(docs, words=words, key=key, text=text)
+    found = near_duplicates(docs, words=words, percent=percent, key=key, text=text, groups=groups)
+    return simhash.first_of_each(docs, found, key, text).toDF(*shown)

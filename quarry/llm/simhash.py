@@ -162,12 +162,12 @@ def _turned(group: pa.Array, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([group, *(pa.array((x ^ sign).view(np.int64)) for x in (a, b))], ["group", "a", "b"])
 
 
-def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_hash and fp (the fingerprint's 64 bits as a signed long) of every whole text."""
+def fingerprints(docs: DataFrame, *, words: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text_hash and fp (the fingerprint's 64 bits as a signed long) of every whole text, over shingles of so many words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
     docs, (key, text) = plain(docs, key, text)
@@ -198,11 +198,11 @@ def links(classes: DataFrame, most: int = MOST) -> DataFrame:
     return found.filter("group IS NULL").select("a", "b").unionByName(small.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash, fp, component (a fingerprint that stands for the class) and component_id (the smallest doc_id reachable), a row for
     each row. A null text has no words; texts without words share fingerprint 0. A null key takes part but is no
     smallest id unless its class has no other. Repeated rows share a class. Empty tables give no rows."""
-    printed = cut_lineage(fingerprints(docs, key=key, text=text))
+    printed = cut_lineage(fingerprints(docs, words=words, key=key, text=text))
     classes = cut_lineage(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(classes.select("fp")))
     tied = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("component"))
@@ -217,9 +217,15 @@ def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     empty table gives no rows."""
     shown = docs.columns
     docs, (key, text) = plain(docs, key, text)
-    found = near_duplicates(docs, key=key, text=text)
+    return first_of_each(docs, near_duplicates(docs, key=key, text=text), key, text).toDF(*shown)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of docs (columns named by plain()) that keep_first() keeps, for found classes: doc_id, text_hash and component; a null component is of one row alone."""
     # A null key is told from every other by a flag, so no value stands for it.
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("text_hash").alias("h"))
-    stay = found.groupBy("component").agg(F.min(own).alias("f")).select("f.none", "f.k", "f.h").distinct()
+    first = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(own).alias("f"))
+    alone = found.filter("component IS NULL").select(own.alias("f"))
+    stay = first.select("f").unionByName(alone).select("f.none", "f.k", "f.h").distinct()
     rows = docs.withColumns({"none": F.col(key).isNull(), "k": F.coalesce(F.col(key).cast("long"), F.lit(0)), "h": F.xxhash64(text)})
-    return rows.join(stay, ["none", "k", "h"], "left_semi").dropDuplicates(["none", "k", "h"]).drop("none", "k", "h").toDF(*shown)
+    return rows.join(stay, ["none", "k", "h"], "left_semi").dropDuplicates(["none", "k", "h"]).drop("none", "k", "h")

@@ -208,13 +208,32 @@ def test_near_duplicates_on_awkward_rows(spark, docs, rows, empty, monkeypatch):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_every_member_of_an_open_bucket_becomes_a_centre(spark, families, monkeypatch):
-    monkeypatch.setattr(minhash, "FACTOR", 2)
+@pytest.mark.parametrize("block", [1 << 21, 2000])
+def test_open_buckets_lose_no_link(spark, families, monkeypatch, block):
+    """Many buckets of unlike members, whole or in blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     docs = spark.createDataFrame(families, "doc_id long, text string")
     got = minhash.near_duplicates(docs, words=2, bands=48, rows=2)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_classes(plain_sets(families, 2), 80)
 
 
+def test_groups_compare_each_pair_once_and_send_a_forest():
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    sets = [np.sort(np.concatenate((base[rng.random(len(base)) < 0.93], rng.integers(0, 1 << 63, 6, dtype=np.uint64)))) for _ in range(40)]
+    sketch = minhash.sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), 160)
+    bits, keys = minhash.sketch_bits(sketch), minhash.band_keys(sketch, 32, 5)
+    rows = [(i % 2, i, i % 7, s.tobytes(), b.tobytes(), k.tobytes()) for i, (s, b, k) in enumerate(zip(sets, bits, keys, strict=True))]
+    near = lambda i, j: 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - n)
+    for crossed in (False, True):
+        own = [(r[0] if crossed else 0, *r[1:]) for r in rows]
+        bucket = int(keys[0, 0].view(np.int64))
+        found = list(minhash._Group(bucket, own, 80, 31).edges())
+        assert all(near(i, j) and i % 7 != j % 7 and (not crossed or i % 2 != j % 2) for i, j in found) and len(found) < 7
+        want = plain_components(list(range(7)), [(i % 7, j % 7) for i in range(40) for j in range(i) if near(i, j) and (not crossed or i % 2 != j % 2)])
+        assert plain_components(list(range(7)), [(i % 7, j % 7) for i, j in found]) == want
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(5)
     for size, shared in ((5, 4), (60, 48), (900, 720)):
