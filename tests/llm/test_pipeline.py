@@ -7,7 +7,8 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
 import pytest
-from tests.llm.test_operators import library, plain_base, plain_components, plain_fingerprint
+from tests.llm.test_new_operators import plain_sets
+from tests.llm.test_operators import library, plain_base, plain_components
 
 from quarry.llm import queries
 
@@ -54,9 +55,22 @@ def test_language_stage_drops_other_languages_and_gibberish(stages, spark, sf):
 
 
 def test_duplicate_stage_keeps_one_of_each_class(stages):
-    fp = {r.doc_id: plain_fingerprint(r.text) for r in stages[2]}
-    linked = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2]
-    assert {r.doc_id for r in stages[3]} == set(plain_components(fp, linked).values())
+    """All pairs of whole texts, by sets of five-word shingles: a similarity of 0.8 or more links them."""
+    sets = {k: x for k, x in plain_sets([(r.doc_id, r.text) for r in stages[2]], 5)}
+    linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert linked and {r.doc_id for r in stages[3]} == set(plain_components(sets, linked).values())
+
+
+def test_duplicate_stage_catches_edited_copies_and_nothing_else(spark, sf):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    base = [[rng.choice(words) for _ in range(300)] for _ in range(20)]
+    rows = [(i, " ".join(b), "en", "s", 0) for i, b in enumerate(base)]
+    rows += [(100 + i, " ".join([*b[:150], "edited", *b[151:]]), "en", "s", 0) for i, b in enumerate(base)]  # 290 to 302 shingles in common
+    rows += [(200 + i, " ".join(b[:200] + [rng.choice(words) for _ in range(100)]), "en", "s", 0) for i, b in enumerate(base)]  # about half of them
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, schema), sf).collect()}
+    assert kept == {*range(20), *range(200, 220)}
 
 
 def test_pii_stage_changes_texts_alone(stages):
