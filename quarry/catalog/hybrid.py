@@ -1,20 +1,20 @@
-"""Hybrid search over one corpus: the engine over documents, with vectors of the same rows as the terms. Queries are the rows whose id is divisible
-by 100. Of equal texts the first row is in the corpus, so that no two vectors are equal."""
+"""Hybrid search over one corpus: the engine over all documents, with vectors of the same rows as the terms. Queries are the rows whose id is divisible
+by 100. Rows whose scores agree to twelve digits, such as copies, are ordered by id."""
 
 from __future__ import annotations
 
 import string
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.catalog import query
 from quarry.catalog.search import _TF, _features_sql
-from quarry.operators.curation import dedup_first
 from quarry.operators.storage import Snapshots
 from quarry.plans.engine import Engine
 from quarry.plans.selfcheck import self_check
-from quarry.session import scratch, table
+from quarry.session import scratch, stored, table
 
 
 class LetterEmbedder:
@@ -27,11 +27,22 @@ class LetterEmbedder:
         return np.array([[t.count(c) for c in string.ascii_lowercase] for t in low], np.float64).reshape(len(texts), 26)
 
 
-def engine(spark, sf_dir) -> Engine:
-    d = dedup_first(table(spark, sf_dir, "documents"), "text", "doc_id")
+def built(spark, sf_dir) -> Engine:
+    d = table(spark, sf_dir, "documents")
     return Engine.build(d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("paper_id"), F.col("text").alias("content"), F.col("lang").alias("section_title")), LetterEmbedder())
 
 
+def engine(spark, sf_dir, collection: bool = False) -> Engine:
+    """The engine over stored tables and a stored sparse index, made once for each application; with `collection` its vectors are a stored collection too."""
+
+    def build(path: str) -> Engine:
+        keep = Snapshots(spark, path)
+        built(spark, sf_dir).save(keep, collection=collection)
+        return Engine.load(keep, embedder=LetterEmbedder())
+
+    return replace(stored(spark, sf_dir, f"engine-{int(collection)}", build))
+
+
 def asked(e: Engine):
     return e.chunks.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("content").alias("query"))
 
@@ -41,7 +52,7 @@ def _shown(found, *more):
 
 
 _LETTERS = "[" + ", ".join(f"'{c}'" for c in string.ascii_lowercase) + "]"
-_D = "d AS (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)"
+_D = "d AS (SELECT * FROM documents)"
 _V = f"""WITH {_D}, v AS (SELECT doc_id, list_transform({_LETTERS}, lambda c: CAST(length(lower(text)) - length(replace(lower(text), c, '')) AS DOUBLE)) AS e FROM d),
 n AS (SELECT *, sqrt(list_dot_product(e, e)) AS m FROM v),
 s AS (SELECT q.doc_id AS query_id, x.doc_id AS chunk_id, CASE WHEN q.m * x.m > 0 THEN list_dot_product(q.e, x.e) / (q.m * x.m) ELSE 0 END AS score FROM n q, n x WHERE q.doc_id % 100 = 0),
@@ -82,7 +93,7 @@ def engine_without_sparse(spark, sf_dir):
 def engine_saved(spark, sf_dir):
     """An index that was saved and loaded: nothing is tokenised again but the queries."""
     keep = Snapshots(spark, scratch(spark, "index"))
-    engine(spark, sf_dir).save(keep)
+    built(spark, sf_dir).save(keep)
     e = Engine.load(keep, embedder=LetterEmbedder())
     return _shown(e.search(asked(e), "sparse", 10))
 
@@ -93,18 +104,40 @@ def engine_one_paper(spark, sf_dir):
     return _shown(e.search(asked(e), "dense", 5, paper_id="src1"))
 
 
-@query(_V + f""", {_S}, {_features_sql().replace("item_id AS query_id, text AS query, lower(trim(text)) AS t FROM benchmark", "doc_id AS query_id, text AS query, lower(trim(text)) AS t FROM d WHERE doc_id % 100 = 0")},
+_ADAPTIVE = (_V + f""", {_S}, {_features_sql().replace("item_id AS query_id, text AS query, lower(trim(text)) AS t FROM benchmark", "doc_id AS query_id, text AS query, lower(trim(text)) AS t FROM d WHERE doc_id % 100 = 0")},
 pl AS (SELECT query_id, query_type, CASE query_type WHEN 'conceptual' THEN 100 WHEN 'keyword' THEN 30 ELSE 50 END AS dk, CASE query_type WHEN 'keyword' THEN 80 ELSE 50 END AS sk,
   CASE query_type WHEN 'conceptual' THEN 0.6 WHEN 'keyword' THEN 0.3 ELSE 0.5 END AS wd, CASE query_type WHEN 'conceptual' THEN 0.2 WHEN 'keyword' THEN 0.5 ELSE 0.25 END AS ws FROM cl),
 d2 AS (SELECT de.* FROM de JOIN pl USING (query_id) WHERE rank <= pl.dk), s2 AS (SELECT sk.* FROM sk JOIN pl USING (query_id) WHERE rank <= pl.sk),
 f2 AS (SELECT query_id, chunk_id, d2.rank AS dr, s2.rank AS sr FROM d2 FULL JOIN s2 USING (query_id, chunk_id)),
 sc AS (SELECT f2.*, query_type, coalesce(wd / (60 + dr), 0) + coalesce(ws / (60 + sr), 0) AS score FROM f2 JOIN pl USING (query_id))
 SELECT query_id, chunk_id, query_type, round(CAST(score AS DOUBLE), 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(dr, 1000000 + sr), chunk_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 10""")
+
+
+@query(_ADAPTIVE)
 def engine_adaptive(spark, sf_dir):
     e = engine(spark, sf_dir)
     return _shown(e.search(asked(e), "adaptive", 10), "query_type")
 
 
+@query(_ADAPTIVE)
+def adaptive_search(spark, sf_dir):
+    """Both sides stored: the collection's lists are all read, so the result is exact."""
+    e = engine(spark, sf_dir, collection=True)
+    return _shown(e.search(asked(e), "adaptive", 10), "query_type")
+
+
+@query(_fused(1.0, 1.0, 10) + _SHOWN + " FROM h")
+def rrf_hybrid(spark, sf_dir):
+    e = replace(engine(spark, sf_dir, collection=True), weights=(1.0, 1.0))
+    return _shown(e.search(asked(e), "hybrid", 10))
+
+
+@query(_fused(0.4, 0.3, 10) + _SHOWN + " FROM h")
+def rrf_hybrid_weighted(spark, sf_dir):
+    e = engine(spark, sf_dir, collection=True)
+    return _shown(e.search(asked(e), "hybrid", 10))
+
+
 @query(_fused(0.4, 0.3, 30) + r""", r AS (SELECT h.*, list_distinct(list_filter(string_split_regex(lower(q.text), '\s+'), lambda x: x <> '')) AS q, list_filter(string_split_regex(lower(x.text), '\s+'), lambda x: x <> '') AS w, count(*) OVER (PARTITION BY query_id) AS n FROM h JOIN d q ON q.doc_id = query_id JOIN d x ON x.doc_id = chunk_id),
 z AS (SELECT query_id, chunk_id, score, rank, CASE WHEN n > 5 THEN len(list_filter(q, lambda x: list_contains(w, x))) / len(q) END AS rr FROM r)
 SELECT query_id, chunk_id, round(rr, 9) AS rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rr DESC NULLS LAST, rank) AS INTEGER) AS rank FROM z QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rr DESC NULLS LAST, rank) <= 5""")
@@ -122,7 +155,7 @@ def engine_answer_context(spark, sf_dir):
     return e.answer_context(asked(e), 5).select("query_id", "n_sources", F.md5(F.col("context").cast("binary")).alias("context"))
 
 
-@query("SELECT 'letters' AS vector_name, count(DISTINCT text) AS points FROM documents")
+@query("SELECT 'letters' AS vector_name, count(*) AS points FROM documents")
 def engine_stats(spark, sf_dir):
     return engine(spark, sf_dir).stats()
 

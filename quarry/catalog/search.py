@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.catalog import query
-from quarry.functions.classify import classify, plan_queries, presets
+from quarry.functions.classify import classify, presets
 from quarry.functions.text import words
 from quarry.operators import rag, retrieval
 from quarry.operators.benchmark import hard_negatives as negatives_of
 from quarry.operators.benchmark import similar_papers
-from quarry.session import table
+from quarry.operators.sparse_index import SparseIndex
+from quarry.operators.trigram import trigram_join
+from quarry.operators.vector_index import VectorIndex, recall
+from quarry.session import stored, table
 
 
 def vectors(spark, sf_dir):
@@ -44,16 +48,6 @@ c AS (SELECT doc_id, token, CAST(count(*) AS DOUBLE) AS weight FROM w GROUP BY A
 p AS (SELECT doc_id, token, weight FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, token) <= 128),
 sp AS (SELECT q.doc_id AS query_id, p.doc_id AS chunk_id, sum(q.weight * p.weight) AS score FROM p JOIN p q USING (token)
   WHERE q.doc_id % 100 = 0 GROUP BY ALL)"""
-_DENSE50 = "de AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 50)"
-_SPARSE50 = "sk AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sp QUALIFY rank <= 50)"
-
-
-def _rrf_sql(wd: float, ws: float) -> str:
-    return f"""{_COS}, {_TF.removeprefix('WITH ')}, {_DENSE50}, {_SPARSE50},
-f AS (SELECT query_id, chunk_id, coalesce({wd} / (60 + de.rank), 0) + coalesce({ws} / (60 + sk.rank), 0) AS score,
-  de.rank AS dense_rank, sk.rank AS sparse_rank FROM de FULL JOIN sk USING (query_id, chunk_id))
-SELECT query_id, chunk_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
-  coalesce(dense_rank, 1000000 + sparse_rank), chunk_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10"""
 
 
 @query(_COS + "SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20")
@@ -111,28 +105,78 @@ def sparse_dot_topk(spark, sf_dir):
     return retrieval.sparse_search(term_queries(spark, sf_dir), postings(spark, sf_dir), 20).select("query_id", "chunk_id", "score", "rank")
 
 
-@query(_TF + """, z AS (SELECT q.doc_id AS query_id, d.doc_id AS chunk_id, coalesce(sp.score, 0.0) AS score FROM (SELECT DISTINCT doc_id FROM p WHERE doc_id % 100 = 0) q
-  CROSS JOIN documents d LEFT JOIN sp ON sp.query_id = q.doc_id AND sp.chunk_id = d.doc_id)
-SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM z QUALIFY rank <= 20""")
-def sparse_dot_keep_zero(spark, sf_dir):
-    rows = docs(spark, sf_dir)
-    return retrieval.sparse_search(term_queries(spark, sf_dir), postings(spark, sf_dir), 20, keep_zero=rows).select("query_id", "chunk_id", "score", "rank")
+def sparse_index(spark, sf_dir) -> SparseIndex:
+    """The stored index of all documents' terms."""
+    return stored(spark, sf_dir, "sparse-index", lambda path: SparseIndex.build(postings(spark, sf_dir), path))
+
+
+@query(_TF + "SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sp QUALIFY rank <= 20")
+def sparse_stored_topk(spark, sf_dir):
+    """Whole documents as queries against the stored index."""
+    return sparse_index(spark, sf_dir).search(term_queries(spark, sf_dir), 20).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(_TF + r""", f AS (SELECT token, count(*) AS df FROM p GROUP BY token), bw AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS token FROM benchmark),
+bq AS (SELECT query_id, token, 1.0 / (i + 1) AS weight FROM (SELECT query_id, token, row_number() OVER (PARTITION BY query_id ORDER BY df, token) AS i FROM bw JOIN f USING (token)) WHERE i <= 3),
+bs AS (SELECT query_id, doc_id AS chunk_id, sum(bq.weight * p.weight) AS score FROM bq JOIN p USING (token) GROUP BY ALL)
+SELECT query_id, chunk_id, round(CAST(score AS DOUBLE), 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(CAST(score AS DOUBLE), 9) DESC, chunk_id) AS INTEGER) AS rank FROM bs QUALIFY rank <= 20""")
+def sparse_stored_short(spark, sf_dir):
+    """Short queries, the three rarest words of each whole benchmark text: blocks that can't matter stay unread."""
+    index = sparse_index(spark, sf_dir)
+    words_ = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda t: t != ""))).alias("token"))
+    rare = words_.join(index.tokens().select("token", "n_rows"), "token").withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy("n_rows", "token"))).filter("i <= 3")
+    found = index.search(rare.select("query_id", "token", (1.0 / (F.col("i") + 1)).alias("weight")), 40, skip=True)
+    return retrieval.top_k(found.select("query_id", "chunk_id", F.round("score", 9).alias("score")), 20)
+
+
+@query(_TF + "SELECT token, count(*) AS n_rows, max(weight) AS top FROM p GROUP BY token")
+def sparse_index_tokens(spark, sf_dir):
+    return sparse_index(spark, sf_dir).tokens().select("token", "n_rows", "top")
+
+
+@query(_TF + "SELECT doc_id AS chunk_id, token, weight FROM p")
+def sparse_index_postings(spark, sf_dir):
+    """What was indexed, read back."""
+    return sparse_index(spark, sf_dir).postings()
+
+
+def vector_index(spark, sf_dir) -> VectorIndex:
+    return stored(spark, sf_dir, "vector-index", lambda path: VectorIndex.build(vectors(spark, sf_dir), path))
+
+
+@query(_COS + "SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20")
+def vector_index_exact(spark, sf_dir):
+    """All lists of the stored collection are read: the same as the exact search."""
+    return vector_index(spark, sf_dir).search(vector_queries(spark, sf_dir), 20).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _hybrid(spark, sf_dir, wd, ws):
-    dense = retrieval.dense_search(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 50)
-    sparse = retrieval.sparse_search(term_queries(spark, sf_dir), postings(spark, sf_dir), 50)
-    return retrieval.rrf(dense, sparse, 10, dense_weight=wd, sparse_weight=ws).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+@query()
+def vector_index_probed(spark, sf_dir):
+    """As many of the nearest lists as the collection's own calibration asks for."""
+    index = vector_index(spark, sf_dir)
+    found = index.search(vector_queries(spark, sf_dir), 20, probes=index.calibrated(20, 0.95))
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(_rrf_sql(1.0, 1.0))
-def rrf_hybrid(spark, sf_dir):
-    return _hybrid(spark, sf_dir, 1.0, 1.0)
+@query("SELECT count(DISTINCT vec_id) AS n_queries, least(20, (SELECT count(*) FROM embeddings)) * count(DISTINCT vec_id) AS wanted, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark, sf_dir):
+    """Whether nine tenths of the exact results are found in the lists that are probed."""
+    exact = retrieval.dense_search(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 20)
+    return recall(vector_index_probed(spark, sf_dir), exact).select("n_queries", "wanted", (F.col("recall") >= 0.9).alias("reached"))
 
 
-@query(_rrf_sql(0.4, 0.3))
-def rrf_hybrid_weighted(spark, sf_dir):
-    return _hybrid(spark, sf_dir, 0.4, 0.3)
+@query("SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_keys FROM embeddings")
+def vector_index_rows(spark, sf_dir):
+    """Every row is in one list."""
+    return vector_index(spark, sf_dir).rows().agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("key").alias("n_keys"))
+
+
+@query(_TF + """, z AS (SELECT q.doc_id AS query_id, d.doc_id AS chunk_id, coalesce(sp.score, 0.0) AS score FROM (SELECT DISTINCT doc_id FROM p WHERE doc_id % 100 = 0) q
+  CROSS JOIN documents d LEFT JOIN sp ON sp.query_id = q.doc_id AND sp.chunk_id = d.doc_id)
+SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM z QUALIFY rank <= 20""")
+def sparse_dot_keep_zero(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    return retrieval.sparse_search(term_queries(spark, sf_dir), postings(spark, sf_dir), 20, keep_zero=rows).select("query_id", "chunk_id", "score", "rank")
 
 
 @query("""SELECT * FROM (VALUES ('default', 0.4::DOUBLE, 0.3::DOUBLE, 0.3::DOUBLE), ('conceptual', 0.6, 0.2, 0.2), ('keyword', 0.3, 0.5, 0.2),
@@ -169,25 +213,6 @@ def query_classify(spark, sf_dir):
     return done.select("query_id", "word_count", "technical_term_count", "conceptual_pattern_count", "query_type", F.round("confidence", 6).alias("confidence"))
 
 
-_ADAPTIVE = f"""{_COS}, {_TF.removeprefix('WITH ')}, {{features}},
-pl AS (SELECT query_id, query_type, CASE query_type WHEN 'conceptual' THEN 100 WHEN 'keyword' THEN 30 ELSE 50 END AS dk, CASE query_type WHEN 'keyword' THEN 80 ELSE 50 END AS sk,
-  CASE query_type WHEN 'conceptual' THEN 0.6 WHEN 'keyword' THEN 0.3 ELSE 0.5 END AS wd, CASE query_type WHEN 'conceptual' THEN 0.2 WHEN 'keyword' THEN 0.5 ELSE 0.25 END AS ws FROM cl),
-de AS (SELECT s.query_id, chunk_id, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, chunk_id) AS rank FROM s),
-sk AS (SELECT sp.query_id, chunk_id, row_number() OVER (PARTITION BY sp.query_id ORDER BY score DESC, chunk_id) AS rank FROM sp),
-d2 AS (SELECT de.* FROM de JOIN pl USING (query_id) WHERE rank <= pl.dk), s2 AS (SELECT sk.* FROM sk JOIN pl USING (query_id) WHERE rank <= pl.sk),
-f2 AS (SELECT query_id, chunk_id, d2.rank AS dr, s2.rank AS sr FROM d2 FULL JOIN s2 USING (query_id, chunk_id)),
-sc AS (SELECT f2.*, query_type, coalesce(wd / (60 + dr), 0) + coalesce(ws / (60 + sr), 0) AS score FROM f2 JOIN pl USING (query_id))
-SELECT query_id, chunk_id, query_type, round(CAST(score AS DOUBLE), 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(dr, 1000000 + sr), chunk_id) AS INTEGER) AS rank
-FROM sc QUALIFY rank <= 10"""
-
-
-@query(_ADAPTIVE.replace("{features}", _features_sql().replace("item_id AS query_id, text AS query, lower(trim(text)) AS t FROM benchmark", "doc_id AS query_id, text AS query, lower(trim(text)) AS t FROM documents WHERE doc_id % 100 = 0")))
-def adaptive_search(spark, sf_dir):
-    asked = docs(spark, sf_dir).filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query"))
-    found = retrieval.adaptive_search(plan_queries(asked), vector_queries(spark, sf_dir), term_queries(spark, sf_dir), vectors(spark, sf_dir), postings(spark, sf_dir), 10)
-    return found.select("query_id", "chunk_id", "query_type", F.round("score", 9).alias("score"), "rank")
-
-
 _FULLTEXT = r"""WITH qw AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:3]) AS q FROM benchmark),
 need AS (SELECT query_id, unnest(q) AS token, len(q) AS need FROM qw),
 dt AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents),
@@ -246,6 +271,31 @@ def similar_docs_threshold(spark, sf_dir):
     return found.select("query_id", F.array_join(F.col("groups").cast("array<string>"), ",").alias("papers"))
 
 
+_WORDS = r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM {table})"""
+_GRAMS = """{a} AS (SELECT word, list_distinct(list_transform(range(1, length(word) - 1), lambda i: word[i:i + 2])) AS g FROM {b} WHERE length(word) >= 3), {a}1 AS (SELECT word, len(g) AS n, unnest(g) AS gram FROM {a})"""
+
+
+def _vocabulary(spark, sf_dir, name):
+    return table(spark, sf_dir, name).select(F.explode(F.expr("regexp_extract_all(lower(text), '[a-z]+', 0)")).alias("word")).distinct()
+
+
+@query(_WORDS.format(table="documents") + ", v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark), " + _GRAMS.format(a="x", b="v") + ", " + _GRAMS.format(a="y", b="w") + """,
+c AS (SELECT x1.word AS left_key, y1.word AS right_key, count(*) AS c, any_value(x1.n) AS n, any_value(y1.n) AS m FROM x1 JOIN y1 USING (gram) GROUP BY ALL)
+SELECT left_key, right_key, round(c / (n + m - c), 6) AS similarity FROM c WHERE c / (n + m - c) >= 0.6""")
+def trigram_words(spark, sf_dir):
+    """Words of the benchmark and the words of all documents that are like them."""
+    found = trigram_join(_vocabulary(spark, sf_dir, "benchmark"), _vocabulary(spark, sf_dir, "documents"), 0.6, key="word", text="word")
+    return found.select("left_key", "right_key", F.round("similarity", 6).alias("similarity"))
+
+
+@query(_WORDS.format(table="benchmark") + ", " + _GRAMS.format(a="x", b="w") + """,
+c AS (SELECT a.word AS left_key, b.word AS right_key, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m FROM x1 a JOIN x1 b ON a.gram = b.gram AND a.word < b.word GROUP BY ALL)
+SELECT left_key, right_key, round(c / (n + m - c), 6) AS similarity FROM c WHERE c / (n + m - c) >= 0.5""")
+def trigram_pairs(spark, sf_dir):
+    """Pairs within one vocabulary."""
+    return trigram_join(_vocabulary(spark, sf_dir, "benchmark"), None, 0.5, key="word", text="word").select("left_key", "right_key", F.round("similarity", 6).alias("similarity"))
+
+
 @query("SELECT label AS vector_name, count(*) AS points FROM embeddings GROUP BY label")
 def index_stats(spark, sf_dir):
     return retrieval.index_stats(table(spark, sf_dir, "embeddings").withColumnRenamed("label", "vector_name"))

@@ -81,9 +81,10 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def dense_search(queries: DataFrame, rows: DataFrame, k: int = 20, *, threshold: float | None = None, vector: str = "embedding", key: str = "chunk_id", query_vector: str = "vector", block: int = QUERY_BLOCK) -> DataFrame:
+def dense_search(queries: DataFrame, rows: DataFrame, k: int = 20, *, threshold: float | None = None, vector: str = "embedding", key: str = "chunk_id", query_vector: str = "vector", block: int = QUERY_BLOCK, digits: int | None = None) -> DataFrame:
     """Cosine top k for each query (query_id, vector), exactly. threshold keeps scores strictly above it; rows with a null vector or
-    another length than the query are left out; zero vectors score 0. The driver gets one block of query vectors at a time."""
+    another length than the query are left out; zero vectors score 0. digits: scores are rounded so, and equal ones ordered by key (copies of a row need not get the
+    same last bits). The driver gets one block of query vectors at a time."""
     if k < 1:
         raise ValueError("k must be positive")
     id_type, key_type = dict(queries.dtypes)["query_id"], dict(rows.dtypes)[key]
@@ -107,6 +108,7 @@ def dense_search(queries: DataFrame, rows: DataFrame, k: int = 20, *, threshold:
                     own = np.flatnonzero(sizes == size)
                     if len(own):
                         scores = m @ _unit(flat[starts[own][:, None] + np.arange(size)]).T
+                        scores = scores if digits is None else np.round(scores, digits)
                         for q, s in zip(at, scores, strict=True):
                             best.add(q, s, keys[own])
             yield best.batch(ids, id_type, key_type)
@@ -275,17 +277,31 @@ def rrf(dense: DataFrame, sparse: DataFrame, k: int = 10, *, dense_weight: Colum
     return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def hybrid_search(dense_queries: DataFrame, sparse_queries: DataFrame, rows: DataFrame, postings: DataFrame, k: int = 10, *, dense_top_k: int = 50, sparse_top_k: int = 50, dense_weight: float = 0.4, sparse_weight: float = 0.3, **named) -> DataFrame:
-    return rrf(dense_search(dense_queries, rows, dense_top_k, **named), sparse_search(sparse_queries, postings, sparse_top_k), k, dense_weight=dense_weight, sparse_weight=sparse_weight)
+def dense_side(queries: DataFrame, rows, k: int, **named) -> DataFrame:
+    """Dense search in a table of vectors, or in a stored collection (vector_index.VectorIndex)."""
+    return dense_search(queries, rows, k, **named) if isinstance(rows, DataFrame) else rows.search(queries, k, **named)
 
 
-def adaptive_search(planned: DataFrame, dense_queries: DataFrame, sparse_queries: DataFrame, rows: DataFrame, postings: DataFrame, k: int = 10, **named) -> DataFrame:
+def sparse_side(queries: DataFrame, postings, k: int) -> DataFrame:
+    """Sparse search in a table of postings, or in a stored index (sparse_index.SparseIndex)."""
+    return sparse_search(queries, postings, k) if isinstance(postings, DataFrame) else postings.search(queries, k)
+
+
+def hybrid_search(
+    dense_queries: DataFrame, sparse_queries: DataFrame, rows, postings, k: int = 10, *, dense_top_k: int = 50, sparse_top_k: int = 50, dense_weight: float = 0.4, sparse_weight: float = 0.3, **named
+) -> DataFrame:
+    """Both sides (tables or stored ones), fused."""
+    dense, sparse = dense_side(dense_queries, rows, dense_top_k, **named), sparse_side(sparse_queries, postings, sparse_top_k)
+    return rrf(dense, sparse, k, dense_weight=dense_weight, sparse_weight=sparse_weight)
+
+
+def adaptive_search(planned: DataFrame, dense_queries: DataFrame, sparse_queries: DataFrame, rows, postings, k: int = 10, **named) -> DataFrame:
     """Weights and candidate sizes follow each query's type (columns of classify.plan_queries). One pass for all types: the
-    widest lists are fetched and cut to each query's own size by rank."""
+    widest lists are fetched and cut to each query's own size by rank. Both sides are tables or stored ones."""
     most_dense, most_sparse = (max(x) for x in zip(*L.FETCH_SIZES.values(), strict=True))
     sizes = planned.select("query_id", "dense_top_k", "sparse_top_k", "dense_weight", "sparse_weight", "query_type", "confidence")
-    dense = dense_search(dense_queries, rows, most_dense, **named).join(sizes.select("query_id", "dense_top_k"), "query_id").filter(F.col("rank") <= F.col("dense_top_k"))
-    sparse = sparse_search(sparse_queries, postings, most_sparse).join(sizes.select("query_id", "sparse_top_k"), "query_id").filter(F.col("rank") <= F.col("sparse_top_k"))
+    dense = dense_side(dense_queries, rows, most_dense, **named).join(sizes.select("query_id", "dense_top_k"), "query_id").filter(F.col("rank") <= F.col("dense_top_k"))
+    sparse = sparse_side(sparse_queries, postings, most_sparse).join(sizes.select("query_id", "sparse_top_k"), "query_id").filter(F.col("rank") <= F.col("sparse_top_k"))
     return rrf(dense, sparse, k, weights=sizes).join(sizes.select("query_id", "query_type", "confidence"), "query_id")
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,10 +11,14 @@ from pyspark.sql import functions as F
 from quarry.functions import lexicon as L
 from quarry.functions.classify import plan_queries, preset
 from quarry.operators import chunking, parsing, rag, retrieval
+from quarry.operators.sparse_index import SparseIndex
 from quarry.operators.storage import Snapshots, upsert
+from quarry.operators.vector_index import VectorIndex
 from quarry.plans.plugins import Embedder, Expander, HashEmbedder, IdentityExpander, Scorer, embed_column, expand_column
 from quarry.session import cut_lineage
 
+DIGITS = 12  # of a dense score; rows whose scores agree so far are ordered by key
+
 MODES = ("dense", "sparse", "hybrid", "adaptive", "fulltext")
 LEGACY = ("openai", "colbert", "pg_dense", "pg_sparse", "pg_hybrid")
 
@@ -21,11 +26,11 @@ LEGACY = ("openai", "colbert", "pg_dense", "pg_sparse", "pg_hybrid")
 @dataclass
 class Engine:
     """chunks: chunk_id, paper_id, content, section_title; vectors: chunk_id, vector_name, embedding (kept apart, so that scans of
-    the chunks never read them); postings: chunk_id, token, weight."""
+    the chunks never read them), or a stored collection; postings: chunk_id, token, weight, or a stored index."""
 
     chunks: DataFrame
-    vectors: DataFrame
-    postings: DataFrame | None
+    vectors: DataFrame | VectorIndex
+    postings: DataFrame | SparseIndex | None
     papers: DataFrame | None = None
     embedder: Embedder = field(default_factory=HashEmbedder)
     expander: Expander = field(default_factory=IdentityExpander)
@@ -39,7 +44,12 @@ class Engine:
         return cls(chunks, vectors, retrieval.term_frequencies(chunks, text="content"), embedder=embedder, **more)
 
     def with_preset(self, name: str) -> Engine:
-        return Engine(self.chunks, self.vectors, self.postings, self.papers, self.embedder, self.expander, self.scorer, preset(name)[:2])
+        return replace(self, weights=preset(name)[:2])
+
+    def _rows(self, vector_name: str | None) -> DataFrame | VectorIndex:
+        if isinstance(self.vectors, VectorIndex):
+            return self.vectors
+        return self.vectors.filter(F.col("vector_name") == (vector_name or self.embedder.name))
 
     def search(self, queries: DataFrame, mode: str = "adaptive", k: int = 10, *, rerank: bool = False, rerank_k: int | None = None, vector_name: str | None = None, paper_id: str | None = None, expand: bool = False) -> DataFrame:
         """queries: query_id, query. Results: query_id, rank, chunk_id, paper_id, content, section_title, score, and the mode's own
@@ -54,26 +64,28 @@ class Engine:
         planned = plan_queries(queries)
         asked = expand_column(planned, self.expander, when=F.col("query_type") == "conceptual") if expand else planned.withColumn("expanded", F.col("query"))
         asked = cut_lineage(asked)  # classified and expanded once: vectors, terms, weights and list sizes all read it
-        rows = self.vectors.filter(F.col("vector_name") == (vector_name or self.embedder.name))
-        postings = self.postings
+        rows, postings = self._rows(vector_name), self.postings
         if postings is None and mode in ("hybrid", "adaptive"):
             mode = "dense"  # an index without a sparse side still answers
         elif postings is None and mode == "sparse":
             raise ValueError("the index has no sparse side")
         if paper_id is not None:
+            # One paper's rows: a scan of both sides, as no index is ordered by paper.
             own = self.chunks.filter(F.col("paper_id") == paper_id).select("chunk_id")
+            rows = rows.rows().select(F.col("key").alias("chunk_id"), F.col("v").alias("embedding")) if isinstance(rows, VectorIndex) else rows
             rows = rows.join(own, "chunk_id", "left_semi")
+            postings = postings.postings() if isinstance(postings, SparseIndex) else postings
             postings = None if postings is None else postings.join(own, "chunk_id", "left_semi")
         vectors = embed_column(asked, self.embedder, "expanded", "vector").select("query_id", "vector")
         terms = retrieval.term_frequencies(asked.select("query_id", "expanded"), key="query_id", text="expanded")
         if mode == "dense":
-            found = retrieval.dense_search(vectors, rows, fetch)
+            found = retrieval.dense_side(vectors, rows, fetch, digits=DIGITS)
         elif mode == "sparse":
-            found = retrieval.sparse_search(terms, postings, fetch)
+            found = retrieval.sparse_side(terms, postings, fetch)
         elif mode == "hybrid":
-            found = retrieval.hybrid_search(vectors, terms, rows, postings, fetch, dense_weight=self.weights[0], sparse_weight=self.weights[1])
+            found = retrieval.hybrid_search(vectors, terms, rows, postings, fetch, dense_weight=self.weights[0], sparse_weight=self.weights[1], digits=DIGITS)
         elif mode == "adaptive":
-            found = retrieval.adaptive_search(asked, vectors, terms, rows, postings, fetch)
+            found = retrieval.adaptive_search(asked, vectors, terms, rows, postings, fetch, digits=DIGITS)
         else:
             found = retrieval.fulltext_search(queries, self.chunks, fetch, text="content")
         full = found.join(self.chunks.select("chunk_id", "paper_id", "content", "section_title"), "chunk_id")
@@ -86,23 +98,43 @@ class Engine:
         found = retrieval.best_per_group(self.search(queries, mode, 3 * k)).filter(F.col("rank") <= k)
         return rag.context(found, most_tokens)
 
-    def save(self, snapshots: Snapshots, name: str = "index") -> None:
-        """Keeps chunks, vectors and postings as snapshots."""
+    def save(self, snapshots: Snapshots, name: str = "index", collection: bool = False) -> None:
+        """Keeps chunks and vectors as snapshots (with `collection` the vectors as a stored collection) and postings as a stored index; a reader sees them once the
+        snapshot that names their folder is there."""
+        spark = self.chunks.sparkSession
         snapshots.write(f"{name}-chunks", self.chunks)
-        snapshots.write(f"{name}-vectors", self.vectors)
+        if collection:
+            at = f"{snapshots.root}/{name}-collection/{uuid.uuid4().hex}"
+            VectorIndex.build(self._rows(None), at)
+            snapshots.write(f"{name}-vectors-at", spark.createDataFrame([(at,)], "path string"))
+        else:
+            snapshots.write(f"{name}-vectors", self.vectors)
         if self.postings is not None:
-            snapshots.write(f"{name}-postings", self.postings)
+            at = f"{snapshots.root}/{name}-sparse/{uuid.uuid4().hex}"
+            SparseIndex.build(self.postings if isinstance(self.postings, DataFrame) else self.postings.postings(), at)
+            snapshots.write(f"{name}-postings-at", spark.createDataFrame([(at,)], "path string"))
 
     @classmethod
     def load(cls, snapshots: Snapshots, name: str = "index", **more) -> Engine:
         """An engine over saved tables: nothing is tokenised or embedded again but the queries. Without saved postings it has no sparse side."""
-        try:
-            postings = snapshots.read(f"{name}-postings")
-        except KeyError:
-            postings = None
-        return cls(snapshots.read(f"{name}-chunks"), snapshots.read(f"{name}-vectors"), postings, **more)
+
+        def at(part: str) -> str | None:
+            try:
+                return snapshots.read(f"{name}-{part}").first().path
+            except KeyError:
+                return None
+
+        spark, vectors, postings = snapshots.spark, at("vectors-at"), at("postings-at")
+        return cls(
+            snapshots.read(f"{name}-chunks"),
+            VectorIndex(spark, vectors) if vectors else snapshots.read(f"{name}-vectors"),
+            SparseIndex(spark, postings) if postings else None,
+            **more,
+        )
 
     def stats(self) -> DataFrame:
+        if isinstance(self.vectors, VectorIndex):
+            return self.vectors.rows().filter("list >= 0").agg(F.lit(self.embedder.name).alias("vector_name"), F.count(F.lit(1)).alias("points"))
         return retrieval.index_stats(self.vectors)
 
 
