@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.catalog import ORACLES, QUERIES, corpus, hybrid, markup, records, search, storage  # noqa: F401
+from quarry.catalog import ORACLES, QUERIES, corpus, hybrid, markup, records, search, storage, streams  # noqa: F401
 
 
 def flagship(spark, sf_dir):
     """Adaptive hybrid retrieval for a batch of queries."""
-    return search.adaptive_search(spark, sf_dir)
+    return hybrid.adaptive_search(spark, sf_dir)
 
 
 def queries() -> dict:
