@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.catalog import ORACLES, QUERIES, corpus, hybrid, markup, records, search, storage, streams  # noqa: F401
+from quarry.catalog import ORACLES, QUERIES, corpus, hybrid, markup, mechanisms, records, search, storage, streams  # noqa: F401
 
 
 def flagship(spark, sf_dir):

@@ -45,21 +45,23 @@ def pack(units: list[Unit], budget: int, minimum: int, overlap: Callable[[list[U
     """Runs of units within the budget. Sizes add up without joiners. A run that ends the input is dropped under the minimum; one that holds an
     overlap alone is never emitted; after an oversize unit the next run starts without overlap."""
     held: list[Unit] = []
-    fresh = 0  # units of `held` that aren't overlap
+    size = fresh = 0  # of `held`; its units that aren't overlap
 
     for u in units:
         if u.size > budget:
             if fresh:
                 yield held
-            held, fresh = [], 0
+            held, size, fresh = [], 0, 0
             yield from oversize(u)
             continue
-        if sum(x.size for x in held) + u.size > budget and fresh:
+        if size + u.size > budget and fresh:
             yield held
-            held, fresh = overlap(held), 0
-        held = [*held, u]
+            held, fresh = list(overlap(held)), 0
+            size = sum(x.size for x in held)
+        held.append(u)
+        size += u.size
         fresh += 1
-    if fresh and sum(x.size for x in held) >= minimum:
+    if fresh and size >= minimum:
         yield held
 
 

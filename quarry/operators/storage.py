@@ -49,6 +49,33 @@ def merge_payload(rows: DataFrame, changes: DataFrame, key: str, column: str = "
     return both.withColumn(column, F.when(new.isNull(), F.col(column)).otherwise(F.map_concat(kept, new))).select(rows.columns)
 
 
+def merge_variant(rows: DataFrame, changes: DataFrame, key: str, column: str = "metadata") -> DataFrame:
+    """merge_payload for JSON payloads kept as VARIANT: top-level fields of the changes' object override those of the same name, whatever they hold. A null or absent payload
+    counts as an empty object, a null change as none. Keys of the changes are unique."""
+    fields = "map<string,variant>"
+    both = rows.join(changes.select(key, F.col(column).alias("_v")), key, "left")
+    none = F.create_map().cast(fields)
+    old, new = F.coalesce(F.col(column).cast(fields), none), F.col("_v").cast(fields)
+    kept = F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k))
+    return both.withColumn(column, F.when(F.col("_v").isNull(), F.col(column)).otherwise(F.to_variant_object(F.map_concat(kept, new)))).select(rows.columns)
+
+
+def merge_nested(rows: DataFrame, changes: DataFrame, key: str, column: str, inner: str) -> DataFrame:
+    """merge_variant one level down: fields of the object at `inner` are merged, all else stays."""
+    fields = "map<string,variant>"
+    changed = changes.select(key, F.col(column).alias("_v"))
+    own = rows.join(changed, key, "inner").select(key, F.try_variant_get(column, F.lit(f"$.{inner}"), fields).alias("old"), F.col("_v").cast(fields).alias("new"))
+    old = F.coalesce("old", F.create_map().cast(fields))
+    merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key("new", k)), F.col("new"))
+    whole = own.filter("new IS NOT NULL").select(key, F.to_variant_object(F.create_map(F.lit(inner), F.to_variant_object(merged))).alias(column))
+    return merge_variant(rows, whole, key, column)
+
+
+def where_path(rows: DataFrame, path: str, kind: str, condition, column: str = "metadata") -> DataFrame:
+    """Rows whose payload has a value of the type at the path for which condition(value) holds; what isn't there or is of another type is no match."""
+    return rows.filter(F.coalesce(condition(F.try_variant_get(column, F.lit(path), kind)), F.lit(False)))
+
+
 def delete(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(keys.select(key), key, "left_anti")
 
