@@ -13,6 +13,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -116,17 +117,21 @@ _IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 _DATE = r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9]|[./-][0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _LOCAL = r"[0-9]{3,4}[ .-][0-9]{3,4}"
-#: With a country code or an area in brackets, or bare groups that no other digits adjoin, or a country code and digits in any grouping.
-_PHONE = rf"(?<![A-Za-z0-9+])(?:\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{2,4}}\)[ .-]?|[0-9]{{2,4}}[ .-])|\([0-9]{{2,4}}\)[ .-]?){_LOCAL}(?![0-9])|(?<![A-Za-z0-9+])(?<![0-9][ .-])[0-9]{{2,4}}[ .-]{_LOCAL}(?![ .-]?[0-9])|(?<![A-Za-z0-9+])\+[0-9](?:\)?[ ./-]?\(?[0-9]){{6,14}}(?![0-9])"
+#: After a plus sign a country code and digits in any grouping, whose end _plus_end() finds.
+_PLUS = rf"(?<![A-Za-z0-9+])(?:\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{2,4}}\)[ .-]?|[0-9]{{2,4}}[ .-]){_LOCAL}(?![0-9])|\+[0-9](?:\)?[ ./-]?\(?[0-9]){{6,14}}(?![0-9]))"
+#: An area in brackets, or three, three and four digits that hyphens or dots hold together, whatever stands beside them.
+_FIRM = rf"(?<![A-Za-z0-9+])(?:\([0-9]{{2,4}}\)[ .-]?{_LOCAL}(?![0-9])|(?<![0-9][.-])[0-9]{{3}}(?P<mark>[.-])[0-9]{{3}}(?P=mark)[0-9]{{4}}(?![.-]?[0-9]))"
+#: Bare groups that no other digits adjoin; three, three and four digits with spaces, one number after the other.
+_PHONE = rf"(?<![A-Za-z0-9+])(?<![0-9][ .-])(?:[0-9]{{2,4}}[ .-]{_LOCAL}(?![ .-]?[0-9])|(?=(?:[0-9]{{3}} [0-9]{{3}} [0-9]{{4}} )+[0-9]{{3}} [0-9]{{3}} [0-9]{{4}}(?![ .-]?[0-9]))[0-9]{{3}} [0-9]{{3}} [0-9]{{4}})"
 _CARD = r"(?<![A-Za-z0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
-_NUMBERS = (("iban", _IBAN), ("card", _CARD), ("ip", _IP), ("ssn", _SSN))
+_NUMBERS = (("iban", _IBAN), ("card", _CARD), ("ip", _IP))
 _ALL = re.compile("|".join(f"(?P<{n}>{p})" for n, p in (("mail", _MAIL), *_NUMBERS)), re.ASCII)
 _NO_MAIL = re.compile("|".join(f"(?P<{n}>{p})" for n, p in _NUMBERS), re.ASCII)
 _DIGIT = re.compile("[0-9]")
 _GROUP, _CHAIN, _MARK = re.compile("[0-9]+"), re.compile("[0-9]+(?:-[0-9]+)*"), re.compile("[ -]")
 _COUNTRY = re.compile(r"\+([17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})")  # country codes differ in length
 _IPS = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
-_DATES, _PHONES = re.compile(_DATE, re.ASCII), re.compile(_PHONE, re.ASCII)
+_DATES, _SSNS, _FIRMS, _PHONES, _PLUSES, _MAILS = (re.compile(p, re.ASCII) for p in (_DATE, _SSN, _FIRM, _PHONE, _PLUS, _MAIL))
 _CARD_FORMS = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))}  # digits of a card's usual groups
 _IBAN_SIZES = dict(re.findall("([A-Z]{2})([0-9]{2})", """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18
     FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19
@@ -300,41 +305,75 @@ class Masker:
             return b, self._card(text[start:b])
         return None
 
+    def _plus_end(self, text: str, start: int, end: int) -> int:
+        """Where a number that begins with a plus sign ends: at a border of its groups, outside of brackets. Ten digits follow the codes 1 and 7; a first run of eight
+        digits or more is the whole number; else as many groups as make 13 digits at most."""
+        borders = [m.end() for m in _GROUP.finditer(text, start, end) if text.count("(", start, m.end()) == text.count(")", start, m.end())] or [end]
+        sizes = [sum(c.isdigit() for c in text[start:b]) for b in borders]
+        if text[start + 1] in "17" and 11 in sizes:
+            return borders[sizes.index(11)]
+        fit = [b for b, n in zip(borders, sizes, strict=True) if 7 <= n <= 13]
+        return borders[0] if sizes[0] >= 8 or not fit else fit[-1]
+
     def mask(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
-        """The text with pseudonyms, and (kind, start, end) of what they replaced, in code points of the text given, in order."""
+        """The text with pseudonyms, and (kind, start, end) of what they replaced, in code points of the text given, in order. What has a form of its own comes first (dates, numbers with a
+        plus sign, social security and firmly grouped phone numbers), but in mail addresses, then all others between those, bare phone numbers last: so digits beside a value
+        neither hide it nor become a part of it."""
         found: list[tuple[int, int, str, str]] = []
         mail = "@" in text
         if not mail and not _DIGIT.search(text):
             return text, []
-        pattern, at = _ALL if mail else _NO_MAIL, 0
-        while m := pattern.search(text, at):
-            kind, start, end = m.lastgroup, m.start(), m.end()
-            new = self._iban_sized(text, start, end) if kind == "iban" else None
-            if new is None:
-                new = end, getattr(self, f"_{kind}")(m[0])
-            if new[1] is None and kind in ("iban", "card"):
-                new = (self._iban_within if kind == "iban" else self._card_within)(text, start, end) or new
-            if new[1] is None and kind == "card":  # after a space the search begins anew by itself, after a hyphen it doesn't
-                for g in _GROUP.finditer(text, start + 1, _CHAIN.match(text, start).end()):
-                    if text[g.start() - 1] == "-" and (later := self._card_within(text, g.start(), len(text))):
-                        start, new = g.start(), later
-                        break
-            # What fails its check takes nothing with it: the search goes on behind its start.
-            end, new = new
+        mails = [m.span() for m in _MAILS.finditer(text)] if mail else []
+
+        def gaps() -> list[tuple[int, int]]:
+            found.sort()
+            ends, starts = [0, *(f[1] for f in found)], [*(f[0] for f in found), len(text)]
+            return [(a, b) for a, b in zip(ends, starts, strict=True) if a < b]
+
+        def put(kind: str, start: int, end: int) -> bool:
+            i = bisect_left(mails, (end,)) - 1  # the last mail address that begins before the end
+            new = None if i >= 0 and mails[i][1] > start else getattr(self, f"_{kind}")(text[start:end])
             if new is not None:
                 found.append((start, end, kind, new))
-            at = end if new is not None or kind == "mail" else start + 1
-        for kind, pattern in (("date", _DATES), ("phone", _PHONES)):
-            taken = sorted(found)
-            k = 0
-            for m in pattern.finditer(text):
-                while k < len(taken) and taken[k][1] <= m.start():
-                    k += 1
-                if k < len(taken) and taken[k][0] < m.end():
-                    continue
-                new = getattr(self, f"_{kind}")(m[0])
+            return new is not None
+
+        for m in _DATES.finditer(text):
+            put("date", *m.span())
+        for a, b in gaps():
+            at = a
+            while m := _PLUSES.search(text, at, b):
+                end = self._plus_end(text, m.start(), m.end())
+                at = end if put("phone", m.start(), end) else m.start() + 1
+        for kind, firm in (("ssn", _SSNS), ("phone", _FIRMS)):
+            for a, b in gaps():
+                for m in firm.finditer(text, a, b):
+                    put(kind, *m.span())
+        pattern = _ALL if mail else _NO_MAIL
+        for a, b in gaps():
+            at = a
+            while m := pattern.search(text, at, b):
+                kind, start, end = m.lastgroup, m.start(), m.end()
+                new = self._iban_sized(text, start, end) if kind == "iban" else None
+                if new is None:
+                    new = end, getattr(self, f"_{kind}")(m[0])
+                if new[1] is None and kind in ("iban", "card"):
+                    new = (self._iban_within if kind == "iban" else self._card_within)(text, start, end) or new
+                if new[1] is None and kind == "card":  # after a space the search begins anew by itself, after a hyphen it doesn't
+                    for g in _GROUP.finditer(text, start + 1, min(b, _CHAIN.match(text, start).end())):
+                        if text[g.start() - 1] == "-" and (later := self._card_within(text, g.start(), b)):
+                            start, new = g.start(), later
+                            break
+                # What fails its check takes nothing with it: the search goes on behind its start.
+                end, new = new
                 if new is not None:
-                    found.append((m.start(), m.end(), kind, new))
+                    found.append((start, end, kind, new))
+                at = end if new is not None or kind == "mail" else start + 1
+        mails, known = [], -1  # those that are mail are found by now
+        while known < len(found):  # a number that is found no longer hides the one beside it
+            known = len(found)
+            for a, b in gaps():
+                for m in _PHONES.finditer(text[a:b]):
+                    put("phone", a + m.start(), a + m.end())
         out, at = [], 0
         found.sort()
         for a, b, _, new in found:

@@ -412,3 +412,44 @@ def test_scratch_paths_can_be_discarded(spark):
     discard(spark, path)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+# ---- values beside each other
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("415-555-2671 415-555-2672", ["phone:415-555-2671", "phone:415-555-2672"]),
+        ("call 415-555-2671 12 times", ["phone:415-555-2671"]),
+        ("room 12 415-555-2671", ["phone:415-555-2671"]),
+        ("+14155552671 123-45-6789", ["phone:+14155552671", "ssn:123-45-6789"]),
+        ("+14155552671 12/26/2003", ["phone:+14155552671", "date:12/26/2003"]),
+        ("+14155552671 (415) 555-2671", ["phone:+14155552671", "phone:(415) 555-2671"]),
+        ("2003-02-01 415-555-2671", ["date:2003-02-01", "phone:415-555-2671"]),
+        ("+1 415 555 2671 2024", ["phone:+1 415 555 2671"]),
+        ("415 555 2671 415 555 2672 415 555 2673", ["phone:415 555 2671", "phone:415 555 2672", "phone:415 555 2673"]),
+        ("4111 1111 1111 1111 2003-02-01", ["card:4111 1111 1111 1111", "date:2003-02-01"]),
+        ("jo+14155552671@x.com 2003-02-01@y.com", ["mail:jo+14155552671@x.com", "mail:2003-02-01@y.com"]),
+        ("100 200 300 400 500", []),
+    ],
+)
+def test_personal_values_beside_each_other(text, want):
+    masked, spans = pii.Masker(b"k").mask(text)
+    assert [f"{k}:{text[a:b]}" for k, a, b in spans] == want
+    assert pii.restore(masked, spans, b"k") == text and all(text[a:b] not in masked for _, a, b in spans)
+
+
+def test_lists_of_personal_values():
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    makers = {
+        "phone": [lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"+1{digits(10)}", lambda: f"+1 {digits(3)} {digits(3)} {digits(4)}", lambda: f"{digits(3)}.{digits(3)}.{digits(4)}"],
+        "date": [lambda: f"19{digits(2)}-0{rng.randint(1, 9)}-1{digits(1)}", lambda: f"0{rng.randint(1, 9)}/2{rng.randint(0, 8)}/20{rng.randint(10, 99)}"],
+        "ssn": [lambda: f"1{digits(2)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"],
+        "mail": [lambda: f"a{digits(4)}@b{digits(2)}.com"],
+    }
+    for _ in range(400):
+        want = [(k, rng.choice(makers[k])()) for k in rng.choices(list(makers), k=rng.randint(1, 5))]
+        text = rng.choice([" ", ", ", "; ", " and ", "\n"]).join(v for _, v in want)
+        assert [(k, text[a:b]) for k, a, b in pii.Masker(b"k").mask(text)[1]] == want, text
