@@ -141,14 +141,20 @@ def validate_selection(spark, sf_dir):
     return curation.validate_selection(_scored(spark, sf_dir), 100).withColumn("violations", F.array_join("violations", ","))
 
 
-@query("""SELECT CAST(d AS DATE) AS window_start, CAST(least(d + INTERVAL 13 DAY, DATE '2025-01-31') AS DATE) AS window_end FROM generate_series(TIMESTAMP '2025-01-01', TIMESTAMP '2025-01-31', INTERVAL 14 DAY) t(d)""")
+@query("""WITH b AS (SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders)
+SELECT CAST(d AS DATE) AS window_start, CAST(least(d + INTERVAL 13 DAY, hi) AS DATE) AS window_end FROM (SELECT unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 14 DAY)) AS d, hi FROM b)""")
 def date_windows(spark, sf_dir):
-    return curation.date_windows(spark, datetime.date(2025, 1, 1), datetime.date(2025, 1, 31))
+    """Windows of two weeks over the time that the orders span."""
+    b = table(spark, sf_dir, "orders").agg(F.min(F.col("o_orderdate").cast("date")).alias("lo"), F.max(F.col("o_orderdate").cast("date")).alias("hi")).first()
+    return curation.date_windows(spark, b.lo, b.hi)
 
 
-@query("""SELECT strftime(d, '%Y-%m') AS month, CAST(d AS DATE) AS month_start, CAST(d + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS month_end FROM generate_series(TIMESTAMP '2024-11-01', TIMESTAMP '2025-03-01', INTERVAL 1 MONTH) t(d)""")
+@query("""WITH b AS (SELECT date_trunc('month', min(CAST(o_orderdate AS DATE))) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders)
+SELECT strftime(d, '%Y-%m') AS month, CAST(d AS DATE) AS month_start, CAST(d + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS month_end FROM (SELECT unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 MONTH)) AS d FROM b)""")
 def month_ranges(spark, sf_dir):
-    return curation.months(spark, datetime.date(2024, 11, 15), datetime.date(2025, 3, 2))
+    """The months that the orders span."""
+    b = table(spark, sf_dir, "orders").agg(F.min(F.col("o_orderdate").cast("date")).alias("lo"), F.max(F.col("o_orderdate").cast("date")).alias("hi")).first()
+    return curation.months(spark, b.lo, b.hi)
 
 
 @query("""WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS collected, count(*) FILTER (o_orderstatus = 'F') AS kept FROM orders GROUP BY 1)
@@ -215,12 +221,14 @@ def quality_issues(spark, sf_dir):
 _TITLES = ("1. Introduction", "References", "Reference", "2.3 Related  Work", "APPENDIX", "Acknowledgments", "Works cited", "Data Availability", "Method", "Future work", "3 Results", "Conflict of Interest", "", "Experiments with references")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {str(x).lower()}, {v}::DOUBLE)" for t, x, v in (
-    ("1. Introduction", False, 0.9), ("References", True, 0.7), ("Reference", True, 0.7), ("2.3 Related  Work", False, 0.6), ("APPENDIX", True, 0.7), ("Acknowledgments", True, 0.7), ("Works cited", True, 0.7),
-    ("Data Availability", True, 0.7), ("Method", False, 0.85), ("Future work", False, 0.5), ("3 Results", False, 0.85), ("Conflict of Interest", True, 0.7), ("", False, 0.7), ("Experiments with references", False, 0.7))) + ") t(title, excluded, importance)")
+@query("WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', {str(x).lower()}, {v}::DOUBLE)" for i, (t, x, v) in enumerate(zip(_TITLES,
+    (False, True, True, False, True, True, True, True, False, False, False, True, False, False), (0.9, 0.7, 0.7, 0.6, 0.7, 0.7, 0.7, 0.7, 0.85, 0.5, 0.85, 0.7, 0.7, 0.7), strict=True))) + f""") t(i, title, excluded, importance))
+SELECT title, excluded, round(importance, 6) AS importance, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents JOIN t ON i = doc_id % {len(_TITLES)} GROUP BY ALL""")
 def excluded_sections(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t in _TITLES], "title string")
-    return rows.select("title", text.is_excluded_section(F.col("title")).alias("excluded"), text.section_importance(F.col("title")).alias("importance"))
+    """Sections under titles of every kind: how many there are, how long their texts, which are left out, and how much they weigh."""
+    rows = table(spark, sf_dir, "documents").withColumn("title", F.array(*map(F.lit, _TITLES))[(F.col("doc_id") % len(_TITLES)).cast("int")])
+    judged = rows.groupBy("title", text.is_excluded_section(F.col("title")).alias("excluded"), F.round(text.section_importance(F.col("title")), 6).alias("importance"))
+    return judged.agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query(r"""WITH c AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, text FROM documents),

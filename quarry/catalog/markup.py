@@ -203,20 +203,6 @@ def _section_docs(d, paragraphs, title=None, abstract=None, equations=None):
     )
 
 
-@query(r"""WITH RECURSIVE q AS (SELECT doc_id, array_to_string(list_slice(regexp_extract_all(s, '[^ \t]+'), 1, 60), ' ') AS p, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE len(regexp_extract_all(s, '[^ \t]+')) > 0),
-u AS (SELECT doc_id, p, len(string_split(p, ' ')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM q),
-w(doc_id, i, held, chunk) AS (SELECT doc_id, i, n, 0 FROM u WHERE i = 1 UNION ALL SELECT u.doc_id, u.i, CASE WHEN held + n > 90 THEN n ELSE held + n END, CASE WHEN held + n > 90 THEN chunk + 1 ELSE chunk END FROM w JOIN u ON u.doc_id = w.doc_id AND u.i = w.i + 1),
-g AS (SELECT doc_id, chunk, count(*) AS k, sum(n) AS t, string_agg(p, chr(10) || chr(10) ORDER BY i) AS c, chunk = max(chunk) OVER (PARTITION BY doc_id) AS last FROM w JOIN u USING (doc_id, i) GROUP BY doc_id, chunk)
-SELECT CAST(doc_id AS VARCHAR) AS paper_id, CAST(chunk AS INTEGER) AS chunk_index, CAST(k AS INTEGER) AS n_paragraphs, CAST(t AS INTEGER) AS token_count, md5(c) AS content FROM g WHERE NOT last OR t >= 25""")
-def chunk_paragraphs(spark, sf_dir):
-    """Paragraphs of at most 60 words packed into chunks of at most 90, without overlap; a last one under 25 goes."""
-    word = r"[ \t]+"
-    lines = F.transform(F.split("text", "\n"), lambda s: F.array_join(F.slice(F.filter(F.split(s, word), lambda w: w != ""), 1, 60), " "))
-    docs = _section_docs(table(spark, sf_dir, "documents"), F.filter(lines, lambda p: p != ""))
-    config = chunking.ChunkConfig(max_tokens=90, overlap_tokens=0, min_tokens=25, with_abstract=False)
-    return chunking.chunk_documents(docs, config).select("paper_id", "chunk_index", F.size("paragraph_ids").alias("n_paragraphs"), "token_count", F.md5(F.col("content").cast("binary")).alias("content"))
-
-
 @query("""WITH RECURSIVE u AS (SELECT doc_id, k, (doc_id * 7 + k * 5) % 17 + 2 AS n FROM documents, range(1, 25) r(k)),
 w(doc_id, k, held, chunk) AS (SELECT doc_id, k, [k], 0 FROM u WHERE k = 1 UNION ALL SELECT u.doc_id, u.k, CASE WHEN s + n > 40 THEN list_filter(held, lambda j: list_sum(list_transform(list_filter(held, lambda m: m >= j), lambda m: (u.doc_id * 7 + m * 5) % 17 + 2)) <= 12) || [u.k] ELSE held || [u.k] END, CASE WHEN s + n > 40 THEN chunk + 1 ELSE chunk END
   FROM (SELECT *, list_sum(list_transform(held, lambda m: (doc_id * 7 + m * 5) % 17 + 2)) AS s FROM w) w JOIN u ON u.doc_id = w.doc_id AND u.k = w.k + 1),

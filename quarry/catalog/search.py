@@ -14,7 +14,7 @@ from quarry.operators.benchmark import similar_papers
 from quarry.operators.sparse_index import SparseIndex
 from quarry.operators.trigram import trigram_join
 from quarry.operators.vector_index import VectorIndex, recall
-from quarry.session import stored, table
+from quarry.session import cut_lineage, stored, table
 
 
 def vectors(spark, sf_dir):
@@ -70,13 +70,10 @@ def dense_topk_filtered(spark, sf_dir):
 
 @query(_COS + "SELECT chunk_id, round(score, 6) AS score FROM s WHERE query_id = 0 ORDER BY score DESC, chunk_id LIMIT 20")
 def dense_topk_single(spark, sf_dir):
+    """One query, whose vector comes from the table by a join of one row."""
     rows = vectors(spark, sf_dir)
-    one = rows.filter("chunk_id = 0").first()
-    if one is None:
-        return rows.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
-    from quarry.functions.vectors import literal_vector
-
-    return retrieval.dense_search_expr(literal_vector(one["embedding"]), rows, 20).select("chunk_id", F.round("score", 6).alias("score"))
+    one = rows.filter("chunk_id = 0").select(F.col("embedding").alias("_q")).limit(1)
+    return retrieval.dense_search_expr(F.col("_q"), rows.join(F.broadcast(one), F.lit(True)), 20).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -179,12 +176,6 @@ def sparse_dot_keep_zero(spark, sf_dir):
     return retrieval.sparse_search(term_queries(spark, sf_dir), postings(spark, sf_dir), 20, keep_zero=rows).select("query_id", "chunk_id", "score", "rank")
 
 
-@query("""SELECT * FROM (VALUES ('default', 0.4::DOUBLE, 0.3::DOUBLE, 0.3::DOUBLE), ('conceptual', 0.6, 0.2, 0.2), ('keyword', 0.3, 0.5, 0.2),
-('balanced', 0.5, 0.25, 0.25), ('dense_only', 1.0, 0.0, 0.0)) t(preset, dense_weight, sparse_weight, colbert_weight)""")
-def rrf_presets(spark, sf_dir):
-    return presets(spark)
-
-
 _FEATURES = r"""q AS (SELECT item_id AS query_id, text AS query, lower(trim(text)) AS t FROM benchmark),
 f AS (SELECT query_id, query, t, regexp_extract_all(t, '\S+') AS w FROM q),
 g AS (SELECT query_id, query, len(w) AS wc, len(list_filter(w[1:3], lambda x: x IN ('how','what','why','when','where','which','who','can','does','is','are'))) > 0 OR t LIKE '%?' AS asked,
@@ -213,17 +204,34 @@ def query_classify(spark, sf_dir):
     return done.select("query_id", "word_count", "technical_term_count", "conceptual_pattern_count", "query_type", F.round("confidence", 6).alias("confidence"))
 
 
-_FULLTEXT = r"""WITH qw AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:3]) AS q FROM benchmark),
+@query("WITH " + _features_sql() + """, p AS (SELECT * FROM (VALUES ('default', 0.4::DOUBLE, 0.3::DOUBLE, 0.3::DOUBLE), ('conceptual', 0.6, 0.2, 0.2), ('keyword', 0.3, 0.5, 0.2), ('balanced', 0.5, 0.25, 0.25),
+('dense_only', 1.0, 0.0, 0.0)) t(preset, dense_weight, sparse_weight, colbert_weight))
+SELECT p.*, count(query_id) AS n_queries FROM p LEFT JOIN cl ON preset = CASE query_type WHEN 'natural' THEN 'balanced' ELSE query_type END GROUP BY ALL""")
+def rrf_presets(spark, sf_dir):
+    """Each preset, and how many of the benchmark's queries are of the type that it is for."""
+    done = classify(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+    own = done.select("query_id", F.when(F.col("query_type") == "natural", "balanced").otherwise(F.col("query_type")).alias("preset"))
+    return presets(spark).join(own, "preset", "left").groupBy("preset", "dense_weight", "sparse_weight", "colbert_weight").agg(F.count("query_id").alias("n_queries"))
+
+
+_FULLTEXT = r"""WITH dt AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents),
+df AS (SELECT token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS token FROM dt) GROUP BY token),
+qw AS (SELECT query_id, list(token ORDER BY df DESC, token)[1:3] AS q FROM (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM benchmark) JOIN df USING (token) GROUP BY query_id),
 need AS (SELECT query_id, unnest(q) AS token, len(q) AS need FROM qw),
-dt AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents),
 tf AS (SELECT doc_id, token, any_value(l) AS l, count(*) AS n FROM (SELECT doc_id, len(t) AS l, unnest(t) AS token FROM dt) GROUP BY doc_id, token),
 h AS (SELECT query_id, doc_id AS chunk_id, count(*) AS found, any_value(need) AS need, sum(n) / any_value(l) AS score FROM tf JOIN need USING (token) GROUP BY query_id, doc_id),
 ft AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM h WHERE found = need QUALIFY rank <= 20)"""
 
 
 def _fulltext(spark, sf_dir):
-    start = F.array_join(F.slice(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: t != ""), 1, 3), " ")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), start.alias("query"), "text")
+    """Queries: of each whole benchmark text the three words that most documents have."""
+    split = lambda c: F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    words_ = b.select("query_id", F.explode(F.array_distinct(split("text"))).alias("token"))
+    known = docs(spark, sf_dir).select(F.explode(F.array_distinct(split("text"))).alias("token")).join(words_.select("token").distinct(), "token", "left_semi")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("df"), "token"))
+    chosen = words_.join(known.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token").withColumn("i", place).filter("i <= 3")
+    asked = cut_lineage(chosen.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]), " ").alias("query")).join(b, "query_id"))
     return asked, retrieval.fulltext_search(asked, docs(spark, sf_dir), 20)
 
 
@@ -305,11 +313,9 @@ def index_stats(spark, sf_dir):
 SELECT vec_id AS paper_id, round(list_dot_product(v.e, a.e) / sqrt(list_dot_product(v.e, v.e) * list_dot_product(a.e, a.e)), 4) AS similarity FROM v, a
 WHERE list_dot_product(v.e, a.e) / sqrt(list_dot_product(v.e, v.e) * list_dot_product(a.e, a.e)) >= 0.1""")
 def semantic_filter(spark, sf_dir):
-    from quarry.functions.vectors import literal_vector
-
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("paper_id"), "embedding")
-    anchor = rows.filter("paper_id = 0").first()
-    kept = retrieval.semantic_filter(rows, literal_vector(anchor["embedding"] if anchor else [0.0]), threshold=0.1)
+    anchor = rows.filter("paper_id = 0").select(F.col("embedding").alias("_a")).limit(1)
+    kept = retrieval.semantic_filter(rows.join(F.broadcast(anchor), F.lit(True)), F.col("_a"), threshold=0.1)
     return kept.select("paper_id", F.round("similarity", 4).alias("similarity"))
 
 

@@ -11,6 +11,7 @@ from quarry.catalog import query
 from quarry.catalog.corpus import _P, papers
 from quarry.functions import lexicon as L
 from quarry.functions import text
+from quarry.functions.scoring import number_rows
 from quarry.operators import benchmark, chunking, curation, evaluation, rag, storage
 from quarry.plans import enrich, plugins
 from quarry.plans.engine import reprocess
@@ -36,8 +37,7 @@ _O = """o AS (SELECT o_orderkey AS arxiv_id, CASE WHEN o_orderkey % 7 <> 0 THEN
 
 def _placed(rows, *columns):
     """Rows in the order they come in, with that place from 0."""
-    numbered = rows.withColumn("_i", F.monotonically_increasing_id())
-    return numbered.select(*columns, (F.row_number().over(Window.orderBy("_i")) - 1).cast("long").alias("pos"))
+    return number_rows(rows, "_i").select(*columns, (F.col("_i") - 1).cast("long").alias("pos"))
 
 
 @query("SELECT p_partkey, p_name, (SELECT count(*) > 0 FROM part WHERE p_partkey = 17) AS there, (SELECT count(*) > 0 FROM part WHERE p_partkey = -5) AS not_there FROM part WHERE p_partkey = 17")
@@ -162,10 +162,10 @@ def paper_list(spark, sf_dir):
     return _placed(storage.paper_ids(d), "paper_id").join(F.broadcast(n), F.lit(True))
 
 
-@query("""SELECT doc_id, 'sys' || chr(10) || chr(10) || 'Context:' || chr(10) || source || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'Previous conversation:' || chr(10) || lang || chr(10) ELSE '' END || chr(10) || chr(10) || 'Question: ' || left(text, 20) AS prompt FROM documents""")
+@query("""SELECT doc_id, 'sys' || chr(10) || chr(10) || 'Context:' || chr(10) || source || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'Previous conversation:' || chr(10) || lang || chr(10) ELSE '' END || chr(10) || chr(10) || 'Question: ' || text AS prompt FROM documents""")
 def answer_prompts(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", rag.prompt(F.substring("text", 1, 20), F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), "sys").alias("prompt"))
+    return d.select("doc_id", rag.prompt(F.col("text"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), "sys").alias("prompt"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Title: ' || lang || chr(10) || chr(10) ELSE '' END || 'Abstract: ' || source || chr(10) || chr(10) || 'Conclusion: end' AS context FROM documents")
@@ -187,9 +187,20 @@ def _literal(x) -> str:
     return "'" + str(x).replace("'", "''") + "'"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {_literal(q)}, {_literal(','.join(p))}, {_literal(c)})" for i, (q, p, c) in enumerate(L.EVALUATION)) + ") t(query_id, query, relevant_papers, category)")
+@query(
+    "WITH q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {_literal(q)}, {_literal(','.join(p))}, {_literal(c)})" for i, (q, p, c) in enumerate(L.EVALUATION)) + r""") t(query_id, query, relevant_papers, category)),
+w AS (SELECT DISTINCT query_id, unnest(list_filter(string_split_regex(lower(query), '\s+'), lambda x: x <> '')) AS word FROM q),
+d AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS word FROM documents),
+h AS (SELECT query_id, count(DISTINCT doc_id) AS n FROM w JOIN d USING (word) GROUP BY query_id)
+SELECT q.*, coalesce(n, 0) AS n_documents FROM q LEFT JOIN h USING (query_id)"""
+)
 def built_in_queries(spark, sf_dir):
-    return evaluation.built_in_queries(spark).withColumn("relevant_papers", F.array_join("relevant_papers", ","))
+    """The built-in queries, and how many documents have a word of each."""
+    q = evaluation.built_in_queries(spark)
+    words = q.select("query_id", F.explode(F.array_distinct(text.words(F.lower("query")))).alias("word"))
+    own = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(text.words(F.lower("text")))).alias("word"))
+    hits = own.join(F.broadcast(words), "word").groupBy("query_id").agg(F.count_distinct("doc_id").alias("n"))  # the built-in list is fixed
+    return q.join(hits, "query_id", "left").select("query_id", "query", F.array_join("relevant_papers", ",").alias("relevant_papers"), "category", F.coalesce("n", F.lit(0)).alias("n_documents"))
 
 
 @query("SELECT c_custkey, round(n * 100.0 / t, 6) AS percent, round(CASE WHEN s > 0 THEN n / s ELSE 0 END, 6) AS rate, round(CASE WHEN s > 0 AND n > 0 THEN (t - n) / (n / s) ELSE 0 END, 6) AS eta FROM (SELECT c_custkey, c_custkey % 50 AS n, 50 AS t, c_custkey % 7 AS s FROM customer)")
@@ -249,11 +260,11 @@ def embedding_statistics(spark, sf_dir):
     return enrich.embedding_stats(v, 2.5).withColumn("per_second", F.round("per_second", 6))
 
 
-@query("""SELECT item_id AS query_id, lower(left(b.text, 30)) AS query, CASE item_id % 4 WHEN 0 THEN 'keyword' WHEN 1 THEN 'natural_short' WHEN 2 THEN 'natural_long' ELSE 'conceptual' END AS style, d.source AS category, CAST(d.doc_id AS VARCHAR) AS relevant, CASE WHEN item_id % 2 = 0 THEN 'n1,n2' ELSE '' END AS negatives,
-CAST(len(list_filter(string_split_regex(left(b.text, 30), '\\s+'), lambda w: w <> '')) AS INTEGER) AS word_count FROM benchmark b JOIN documents d ON d.doc_id = item_id""".replace("\\\\s", "\\s"))
+@query("""SELECT item_id AS query_id, lower(b.text) AS query, CASE item_id % 4 WHEN 0 THEN 'keyword' WHEN 1 THEN 'natural_short' WHEN 2 THEN 'natural_long' ELSE 'conceptual' END AS style, d.source AS category, CAST(d.doc_id AS VARCHAR) AS relevant, CASE WHEN item_id % 2 = 0 THEN 'n1,n2' ELSE '' END AS negatives,
+CAST(len(list_filter(string_split_regex(b.text, '\\s+'), lambda w: w <> '')) AS INTEGER) AS word_count FROM benchmark b JOIN documents d ON d.doc_id = item_id""".replace("\\\\s", "\\s"))
 def benchmark_rows(spark, sf_dir):
     styles = F.array(*map(F.lit, benchmark.STYLES))
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower(F.left("text", F.lit(30))).alias("query"), styles[(F.col("item_id") % 4).cast("int")].alias("style"), F.col("item_id").cast("string").alias("paper_id"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("query"), styles[(F.col("item_id") % 4).cast("int")].alias("style"), F.col("item_id").cast("string").alias("paper_id"))
     negatives = b.filter("query_id % 2 = 0").select("query_id", F.array(F.lit("n1"), F.lit("n2")).alias("groups"))
     p = papers(spark, sf_dir).select(F.col("paper_id").cast("string").alias("paper_id"), "title", "abstract", F.col("source").alias("category"))
     made = benchmark.assemble(b, negatives, p)
@@ -267,10 +278,10 @@ class _Titled:
         return f'Abstract: "{query.lower()} in short"'
 
 
-@query("""SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'known ' || (item_id % 2) WHEN item_id % 3 = 1 THEN lower(left(text, 25)) || ' in short' ELSE left(text, 25) END AS expanded FROM benchmark""")
+@query("""SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'known ' || (item_id % 2) WHEN item_id % 3 = 1 THEN lower(text) || ' in short' ELSE text END AS expanded FROM benchmark""")
 def cached_expansion(spark, sf_dir):
     kind = F.when(F.col("item_id") % 3 == 2, "keyword").otherwise("conceptual")
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(25)).alias("query"), kind.alias("query_type"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), kind.alias("query_type"))
     known = q.filter("query_id % 3 = 0").select(F.concat(F.lit("conceptual:"), "query").alias("cache_key"), F.concat(F.lit("known "), (F.col("query_id") % 2).cast("string")).alias("expanded")).dropDuplicates(["cache_key"])
     done, _ = plugins.expand_cached(q, plugins.CleaningExpander(_Titled()), known)
     return done.select("query_id", "expanded")

@@ -75,11 +75,16 @@ def with_rank(scored: DataFrame, score: str = "final_score", key: str = "paper_i
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Row numbers from 1 in the given order. Rows are range partitioned and sorted once, into a checkpoint: the bounds come from a
-    sample, and a second exchange would draw another one. A row's place within its partition is part of
-    its monotonic id; the counts of the partitions before are added (a row for each partition)."""
+    """Row numbers from 1 in the given order. Rows are range partitioned and sorted once; the bounds come from a sample, and a second exchange would
+    draw another one, so number_rows() keeps them."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut_lineage(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    return number_rows(df.repartitionByRange(n, *order).sortWithinPartitions(*order), name)
+
+
+def number_rows(df: DataFrame, name: str) -> DataFrame:
+    """Row numbers from 1 in the order that df has. Rows are written once with their place: within its partition that is part of
+    a row's monotonic id; the counts of the partitions before are added (a row for each partition)."""
+    placed = cut_lineage(df.withColumn("_at", F.monotonically_increasing_id()))
     part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)  # as monotonically_increasing_id is documented
     sizes = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
