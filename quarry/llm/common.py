@@ -54,9 +54,25 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder: later reads survive the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written to the shared folder and read again: later reads survive the loss of any executor, and it goes with the application."""
+    return Store(df.sparkSession).keep(df, "cut")
+
+
+class Store:
+    """Tables written to the shared folder and read again, deleted when they are read no more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(scratch(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def clear(self, but: int = 0) -> None:
+        """Deletes all but the last few."""
+        while len(self.paths) > but:
+            discard(self.spark, self.paths.pop(0))
 
 
 def plain(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:

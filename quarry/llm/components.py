@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut_lineage
+from quarry.llm.common import Store
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,10 +13,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     null ends and repeated edges are ignored.
 
     Large star: every neighbour above a node is tied to the node's smallest neighbour; small star: every neighbour below
-    too. Rounds grow with the logarithm of the table; each reads and writes edges alone, joined to one minimum for each node, and ends in a
-    checkpoint. The driver gets a count and a checksum in each round."""
+    too. Rounds grow with the logarithm of the table; each reads and writes edges alone, joined to one minimum for each node, and deletes
+    those of the round before. The driver gets a count and a checksum in each round."""
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
-    current = cut_lineage(ends)
+    store = Store(edges.sparkSession)
+    current = store.keep(ends, "edges")
     mark = _mark(current)
     while mark[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,7 +26,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(least, "u")
         small = tied.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        current = cut_lineage(small.distinct())
+        current = store.keep(small.distinct(), "edges")
+        store.clear(but=1)
         now = _mark(current)
         if now == mark:
             break

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import simhash
-from quarry.llm.common import discard, mix, plain, scratch, slices, span_hashes, sums, text_bytes, word_spans
+from quarry.llm.common import Store, mix, plain, slices, span_hashes, sums, text_bytes, word_spans
 from quarry.llm.components import connected_components
 
 BANDS = 32
@@ -309,23 +309,7 @@ def confirmed(candidates: DataFrame, sets: DataFrame, percent: int, star: int =
     return placed.mapInArrow(_confirm(percent), "a long, b long")
 
 
-class _Store:
-    """Tables written to the shared folder, deleted when they are read no more."""
-
-    def __init__(self, docs: DataFrame):
-        self.spark, self.paths = docs.sparkSession, []
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        self.paths.append(scratch(self.spark, name))
-        df.write.parquet(self.paths[-1])
-        return self.spark.read.parquet(self.paths[-1])
-
-    def clear(self) -> None:
-        while self.paths:
-            discard(self.spark, self.paths.pop())
-
-
-def _links(docs: DataFrame, nodes: DataFrame, store: _Store, words: int, percent: int, shape: tuple[int, int], key: str, text: str, also: DataFrame | None) -> DataFrame:
+def _links(docs: DataFrame, nodes: DataFrame, store: Store, words: int, percent: int, shape: tuple[int, int], key: str, text: str, also: DataFrame | None) -> DataFrame:
     """node and root of every node that is linked with a smaller one. shape: bands and their rows; also: more candidates (centre, node)."""
     most = budget(percent, min(BITS, shape[0] * shape[1]))
     near = f"100 * least(n_shingles, n) >= {percent} * greatest(n_shingles, n)"
@@ -377,9 +361,9 @@ def near_duplicates(
     null id takes part but is no smallest id unless its class has no other. Repeated rows share a class; other columns are ignored. An empty table gives no
     rows. Two different texts just at the similarity share none of 32 bands of 5 with odds of 3 in a million, so less the nearer they are; links
     are exact but for equal 64-bit hashes of different shingles. groups: classes of another operator (doc_id, text_hash, component) whose members are candidates too."""
-    store = _Store(docs)
+    store = Store(docs.sparkSession)
     own, (key, text) = plain(docs, key, text)
-    signed = _Store(docs).keep(sign(own, words, percent, bands, rows, key=key, text=text), "signed")  # stays: the result reads it
+    signed = Store(docs.sparkSession).keep(sign(own, words, percent, bands, rows, key=key, text=text), "signed")  # stays: the result reads it
     rep = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("text_hash").alias("h"))
     nodes = store.keep(signed.filter("node IS NOT NULL").groupBy("node").agg(F.min(rep).alias("rep"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n_shingles", "b0", "b1", "keys")]), "nodes")
     also = None
@@ -391,7 +375,7 @@ def near_duplicates(
     roots = _links(own, nodes, store, words, percent, (bands, rows), key, text, also)
     tied = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("component"))
     smallest = tied.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = _Store(docs).keep(tied.select("node", "component").join(smallest, "component"), "classes")
+    classes = Store(docs.sparkSession).keep(tied.select("node", "component").join(smallest, "component"), "classes")
     store.clear()
     found = signed.drop("b0", "b1", "keys").join(classes, "node", "left")
     return found.select("doc_id", "text_hash", "n_shingles", "node", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

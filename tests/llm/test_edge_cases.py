@@ -453,3 +453,27 @@ def test_lists_of_personal_values():
         want = [(k, rng.choice(makers[k])()) for k in rng.choices(list(makers), k=rng.randint(1, 5))]
         text = rng.choice([" ", ", ", "; ", " and ", "\n"]).join(v for _, v in want)
         assert [(k, text[a:b]) for k, a, b in pii.Masker(b"k").mask(text)[1]] == want, text
+
+
+@pytest.mark.parametrize("name", ["_hash", "_n", "_t", "_C", "rest", "Rest_", "id", "hash", "terms", "level"])
+def test_keys_of_a_search_may_have_any_name(spark, name):
+    docs = spark.createDataFrame([(i, f"word{i % 3} other{i}") for i in range(9)], f"{name} long, text string")
+    got = bm25.search(docs, F.col(name) == 4, 2, key=name).collect()
+    assert [(r.query_id, r.doc_id) for r in sorted(got, key=lambda r: r.rank)] == [(4, 4), (4, 1)]
+
+
+def test_written_tables_are_deleted(spark, docs):
+    """Rounds of stars delete what they read; what stays goes with the application."""
+    from quarry.llm.common import Store
+    from quarry.llm.components import connected_components
+
+    kept = []
+    keep = Store.keep
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    try:
+        Store.keep = lambda self, df, name: (kept.append(self), keep(self, df, name))[1]
+        roots = connected_components(edges)
+        assert {r.root for r in roots.collect()} == {0}
+    finally:
+        Store.keep = keep
+    assert len(kept) > 2 and all(len(s.paths) == 1 for s in kept)
