@@ -244,3 +244,9 @@ EVALUATION = (
     ("How do attention mechanisms work in transformer models?", ("2501.00759v3", "2501.01073v2"), "architecture"),
     ("What methods improve trustworthiness and robustness of RAG systems?", ("2501.00879v3", "2501.00888v1"), "rag"),
 )
+
+# Patterns of floats (KIND: figure or table), images, tabulars, and the rules that a row may start with.
+FLOAT = r"\\begin\{KIND\*?\}(.*?)\\end\{KIND\*?\}"
+IMAGE = r"\\includegraphics(?:\[[^\]]*\])?\{([^}]+)\}"
+TABULAR = r"\\begin\{tabular\}(?:\{[^}]*\})?(.*?)\\end\{tabular\}"
+RULES = ("\\hline", "\\cline")

@@ -208,6 +208,12 @@ def test_events_without_a_time_are_not_accepted(spark):
     assert {(r.event_id, r.accepted) for r in spark.read.parquet(out).collect()} == {(1, False), (2, True)}
 
 
+def test_batch_events_without_a_time_are_not_accepted(spark):
+    rows = spark.sql("SELECT 1L AS event_id, CAST(NULL AS TIMESTAMP) AS ts, 'a' AS ip UNION ALL SELECT 2L, timestamp_seconds(5), 'a' UNION ALL SELECT 3L, timestamp_seconds(6), 'a'")
+    for kind in ("log", "fixed"):
+        assert {(r.event_id, r.accepted) for r in rate_limit_batch(rows, 1, 60.0, kind=kind).collect()} == {(1, False), (2, True), (3, False)}
+
+
 def test_a_restart_takes_no_batch_twice(spark, event_rows):
     folder, out, at = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "at")
     for i in range(0, 600, 200):

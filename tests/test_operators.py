@@ -469,3 +469,18 @@ def test_enrichment_plugins(spark):
     assert enrich.embedding_stats(v, 2.0).first().asDict() == {"total": 2, "embedded": 1, "failed": 1, "per_second": 0.5}
     papers = spark.createDataFrame([("boom", "x"), ("t", "DECISION: yes")], "title string, abstract string")
     assert [r.is_relevant for r in enrich.verify_relevance(papers, enrich.EchoGenerator()).collect()] == [False, True]
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (r"a & b \\ 1 & 2 \\", "| a | b |\n| --- | --- |\n| 1 | 2 |"),
+        (r"\hline a & b \\ 1 & 2", "| 1 | 2 |"),
+        (r"a \& c & \textbf{x & y} \\ & z", "| a & c | x & y |\n| --- | --- |\n|  | z |"),
+        (r" \\ a & b \\ \cline{1-2} c & d \\", "| a | b |"),
+        ("", ""),
+    ],
+)
+def test_tabulars(body, want):
+    assert parsing.tabular_to_markdown(r"\begin{tabular}{ll}" + body + r"\end{tabular}") == want
+    assert parsing.tabular_to_markdown(body) == ""
