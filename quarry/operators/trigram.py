@@ -1,8 +1,8 @@
 """Similarity join of short texts by their character trigrams, without comparing all pairs.
 
 A text's trigrams are put in the order of their frequency, rarest first. Texts of a Jaccard similarity t or more share one of the first n - ceil(t n) + 1 of each
-(n: trigrams of a text), and neither has fewer than t times the other's: so only those prefixes are dealt, by trigram, and candidates are verified by
-retrieval.trigram_similarity. Frequent trigrams stand in a prefix only where a text has nothing rarer.
+(n: trigrams of a text), and neither has fewer than t times the other's: so only those prefixes are dealt, by trigram, and candidates are verified on
+their whole sets, as retrieval.trigram_similarity has it. Frequent trigrams stand in a prefix only where a text has nothing rarer.
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.retrieval import trigram_similarity
-
 
 def trigrams(text: Column) -> Column:
     """The different trigrams of a lower-cased text; none for a null or a shorter one."""
@@ -21,7 +19,7 @@ def trigrams(text: Column) -> Column:
 
 
 def _grams(rows: DataFrame, key: str, text: str) -> DataFrame:
-    return rows.select(F.col(key).alias("key"), F.col(text).alias("text"), trigrams(F.col(text)).alias("grams")).filter("size(grams) > 0")
+    return rows.select(F.col(key).alias("key"), trigrams(F.col(text)).alias("grams")).filter("size(grams) > 0")
 
 
 def prefixes(rows: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
@@ -46,6 +44,8 @@ def trigram_join(left: DataFrame, right: DataFrame | None = None, threshold: flo
     met = x.join(y, "gram").filter(F.least("left_n", "right_n") >= F.lit(threshold) * F.greatest("left_n", "right_n") - 1e-9)
     met = met.filter("left_key < right_key") if right is None else met
     pairs = met.select("left_key", "right_key").distinct()
-    texts = pairs.join(a.select(F.col("key").alias("left_key"), F.col("text").alias("left_text")), "left_key").join(b.select(F.col("key").alias("right_key"), F.col("text").alias("right_text")), "right_key")
-    scored = texts.select("left_key", "right_key", trigram_similarity(F.col("left_text"), F.col("right_text")).alias("similarity"))
+    sets = lambda t, side: t.select(F.col("key").alias(f"{side}_key"), F.col("grams").alias(f"{side}_grams"))
+    full = pairs.join(sets(a, "left"), "left_key").join(sets(b, "right"), "right_key")
+    common = full.withColumn("common", F.size(F.array_intersect("left_grams", "right_grams")))
+    scored = common.select("left_key", "right_key", (F.col("common") / (F.size("left_grams") + F.size("right_grams") - F.col("common"))).alias("similarity"))
     return scored.filter(F.col("similarity") >= threshold)

@@ -37,7 +37,7 @@ class VectorIndex:
     def build(
         cls, rows: DataFrame, root: str, *, key: str = "chunk_id", vector: str = "embedding", size: int | None = None, lists: int | None = None, sample: int = SAMPLE, seed: int = 7
     ) -> VectorIndex:
-        """Writes rows (key, vector). size: length of the vectors, by default that of most of them. lists: how many, by default the root of the number of vectors, LISTS at most."""
+        """Writes rows (key, vector), which are read several times: give a table that is cheap to read. size: length of the vectors, by default that of most of them. lists: how many, by default the root of the number of vectors, LISTS at most."""
         spark, root = rows.sparkSession, root.rstrip("/")
         key_type = dict(rows.dtypes)[key]
         own = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
@@ -48,11 +48,13 @@ class VectorIndex:
         fit = own.filter((F.size("v") == size) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
         n = fit.count()
         lists = max(1, min(LISTS, math.isqrt(n)) if lists is None else lists)
-        part = fit.filter(norm > 0).orderBy(F.xxhash64("key")).limit(sample).select(array_to_vector("v").alias("features"))
-        many = part.limit(lists + 1).count() > lists  # fewer vectors than lists: one list
-        if many:
-            centroids = [c.tolist() for c in KMeans(k=lists, seed=seed, maxIter=10, distanceMeasure="cosine").fit(part).clusterCenters()]
-        else:
+        # The sample is written once, as every round of the fit reads it.
+        fit.filter(norm > 0).orderBy(F.xxhash64("key")).limit(sample).select("v").write.parquet(f"{root}/sample")
+        part = spark.read.schema("v array<double>").parquet(f"{root}/sample").select(array_to_vector("v").alias("features"))
+        if part.limit(lists + 1).count() > lists:
+            means = KMeans(k=lists, seed=seed, maxIter=10, initMode="random", distanceMeasure="cosine")
+            centroids = [c.tolist() for c in means.fit(part).clusterCenters()]
+        else:  # fewer vectors than lists: one list
             centroids = [[0.0] * size]
         spark.createDataFrame(list(enumerate(centroids)), "list int, centroid array<double>").coalesce(1).write.parquet(f"{root}/centroids")
         spark.createDataFrame([(size, n, len(centroids), key_type)], "size int, n_rows long, lists int, key_type string").coalesce(1).write.parquet(f"{root}/meta")

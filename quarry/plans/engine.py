@@ -105,7 +105,8 @@ class Engine:
         snapshots.write(f"{name}-chunks", self.chunks)
         if collection:
             at = f"{snapshots.root}/{name}-collection/{uuid.uuid4().hex}"
-            VectorIndex.build(self._rows(None), at)
+            rows = self._rows(None)
+            VectorIndex.build(cut_lineage(rows) if isinstance(rows, DataFrame) else rows.rows().select(F.col("key").alias("chunk_id"), F.col("v").alias("embedding")), at)
             snapshots.write(f"{name}-vectors-at", spark.createDataFrame([(at,)], "path string"))
         else:
             snapshots.write(f"{name}-vectors", self.vectors)
