@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import islice
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+try:
+    import ahocorasick
+except ImportError:  # terms are then looked for one by one
+    ahocorasick = None
+
 #: Most terms that go to the tasks at once; more are matched block by block, in one pass over the rows.
 BLOCK = 50_000
 
@@ -36,6 +40,8 @@ def _matcher(sent):
 
 
 def _finder(terms: list[str]):
+    if ahocorasick is None:
+        return lambda t: [k for k in terms if k in t]
     empty = [""] if "" in terms else []
     machine = ahocorasick.Automaton()
     for k in terms:
