@@ -503,6 +503,32 @@ def test_block_maxima_prune():
     assert ids.tolist() == [700] and index.scored < 400
 
 
+def test_blocks_are_skipped_in_every_list():
+    """Frequent terms whose block maxima can't reach the threshold are read in few blocks, and the result is that of a whole scan."""
+    rng = np.random.default_rng(5)
+    n = 4000
+    terms, counts = [], []
+    for i in range(n):
+        own = np.unique(np.concatenate((rng.integers(0, 30, 12), [1000 + i // 400])))
+        terms.append(own.astype(np.int64).tobytes())
+        counts.append((1 + (rng.random(len(own)) < 0.02) * 8).astype(np.int32).tobytes())
+    index = bm25.Index(np.arange(n), np.full(n, 12), terms, counts, 12.0)
+    for least in (0.0, 9.0):
+        for _ in range(20):
+            asked = np.sort(rng.choice(30, 4, replace=False)).astype(np.int64)
+            weights = rng.random(4) + 0.5
+            scores = np.zeros(n)
+            for i, (t, c) in enumerate(zip(terms, counts, strict=True)):
+                t, c = np.frombuffer(t, np.int64), np.frombuffer(c, np.int32).astype(float)
+                at = np.searchsorted(asked, t)
+                hit = (at < 4) & (asked[np.minimum(at, 3)] == t)
+                scores[i] = (weights[at[hit]] * c[hit] * 2.2 / (c[hit] + 1.2)).sum()
+            want = [i for i in np.lexsort((np.arange(n), -np.round(scores, 9)))[:5].tolist() if scores[i] > 0 and scores[i] >= least]
+            (ids, found), = index.search([(asked, weights)], 5, np.array([least]))
+            assert ids.tolist() == want and np.allclose(found, scores[want])
+    assert index.scored < 0.8 * index.whole
+
+
 def test_topk_search_empty(empty, docs):
     assert bm25.search(empty, F.col("doc_id") % 100 == 0).count() == 0
     assert bm25.search(docs, F.col("doc_id") < 0).count() == 0
