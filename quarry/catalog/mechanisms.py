@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
+import io
 import json
+import tarfile
+import zipfile
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from quarry.catalog import query
 from quarry.catalog.hybrid import LetterEmbedder, built
@@ -14,11 +20,11 @@ from quarry.catalog.search import _TF, docs, postings, vector_queries, vectors
 from quarry.functions import table_functions
 from quarry.functions import vectors as V
 from quarry.functions.stemming import STOP_WORDS
-from quarry.operators import benchmark, chunking, fulltext, retrieval, storage, token_index
+from quarry.operators import benchmark, chunking, fulltext, parsing, retrieval, storage, token_index
 from quarry.operators.vector_index import recall
 from quarry.plans import enrich, plugins
 from quarry.plans.runs import RunLog
-from quarry.session import scratch, stored, table
+from quarry.session import cut_lineage, scratch, stored, table
 from quarry.sources import tables as sources
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -317,3 +323,91 @@ def review_files(spark, sf_dir):
     out = scratch(spark, "review")
     sources.write_review(table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("abstract")), out)
     return spark.read.schema("doc_id long, lang string, abstract string").json(out)
+
+
+# ---- tokens of a vocabulary
+
+
+def _bpe() -> plugins.BpeTokenizer:
+    import public_tokenizers
+
+    return plugins.BpeTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def bpe_tokens(spark, sf_dir):
+    """Tokens of whole texts by a public vocabulary, and their first and last 50."""
+    done = plugins.token_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), _bpe(), "text", 50)
+    return done.select("doc_id", "n_tokens", "head", "tail")
+
+
+@query()
+def chunk_bpe(spark, sf_dir):
+    """Whole texts in chunks whose budgets count tokens of a public vocabulary."""
+    config = chunking.ChunkConfig(max_tokens=256, overlap_tokens=32, min_tokens=25, with_abstract=False, tokenizer=_bpe())
+    return chunking.chunk_documents(_parsed(spark, sf_dir), config).select("chunk_id", "paper_id", "chunk_index", "token_count", "content", "error")
+
+
+# ---- archives and equations
+
+_WORDS = r"trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'))"
+_LEAD = "so many plain words stand in this part of a paper "
+
+
+def _letters(spark, sf_dir):
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), "doc_id", words.alias("words"))
+
+
+@F.pandas_udf(BinaryType())
+def _archive(ids: pd.Series, words: pd.Series) -> pd.Series:
+    """Sources as authors send them: a tar or zip whose files name one another in a circle, one packed file, or a PDF."""
+
+    def one(i, w):
+        head, end = f"\\documentclass{{article}}\\title{{Paper {i}}}\\begin{{document}}", "\\end{document}"
+        first, second = f"\\section{{One}} {_LEAD}\n\n", f"\\section{{Two}} {_LEAD}{w}\n\n"
+        files = {"main.tex": head + "\\input{parts/a}\\include{lost}" + end, "parts/a.tex": first + "\\input{b}", "parts/b.tex": second + "\\input{a.tex}\\input{b}"}
+        out = io.BytesIO()
+        if i % 4 == 0:
+            with tarfile.open(fileobj=out, mode="w:gz") as t:
+                for name, text in files.items():
+                    info = tarfile.TarInfo(name)
+                    info.size = len(text)
+                    t.addfile(info, io.BytesIO(text.encode()))
+        elif i % 4 == 1:
+            with zipfile.ZipFile(out, "w") as z:
+                for name, text in files.items():
+                    z.writestr(name, text)
+        elif i % 4 == 2:
+            out.write(gzip.compress((head + first + second + end).encode()))
+        else:
+            out.write(b"%PDF-1.7")
+        return out.getvalue()
+
+    return pd.Series([one(i, w) for i, w in zip(ids, words, strict=True)])
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS paper_id, CASE WHEN doc_id % 4 < 3 THEN 'Paper ' || doc_id END AS title, CASE WHEN doc_id % 4 = 3 THEN 'ValueError: a PDF, not an archive' END AS error,
+CASE WHEN doc_id % 4 < 3 THEN 'One,Two' END AS sections, CASE WHEN doc_id % 4 < 3 THEN md5(trim('{_LEAD}') || '|' || trim('{_LEAD}' || {_WORDS})) END AS paragraphs FROM documents""")
+def archives_parsed(spark, sf_dir):
+    """Archives of whole texts: the parts that a main file names are put in, each once, circles and lost files vanish, what can't be read is reported."""
+    rows = _letters(spark, sf_dir).select("paper_id", _archive("doc_id", "words").alias("source"))
+    parsed = parsing.parse_documents(rows, parsing.parse_archive)
+    names = F.array_join(F.transform("sections", lambda s: s["title"]), ",")
+    content = F.array_join(F.flatten(F.transform("sections", lambda s: F.transform(s["paragraphs"], lambda p: p["content"]))), "|")
+    return parsed.select("paper_id", "title", "error", names.alias("sections"), F.md5(content.cast("binary")).alias("paragraphs"))
+
+
+_EQUATIONS = _VOWELS.replace("FROM documents", f"FROM (SELECT doc_id, {_WORDS} AS text FROM documents) WHERE text <> ''")
+
+
+@query(_EQUATIONS)
+def equation_topk(spark, sf_dir):
+    """Equations taken from sources, with vectors of their own, searched by a hundredth of them."""
+    source = F.concat(F.lit("\\begin{document}Before \\begin{equation}"), "words", F.lit("\\end{equation} after.\\end{document}"))
+    parsed = parsing.parse_documents(_letters(spark, sf_dir).filter("words <> ''").select("paper_id", source.alias("source")))
+    held = plugins.embed_column(parsing.equation_rows(parsed), VowelEmbedder(), "latex").select(F.col("paper_id").cast("long").alias("chunk_id"), "embedding")
+    held = cut_lineage(held)
+    asked = held.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = retrieval.dense_search(asked, held, 60)
+    return retrieval.top_k(found.select("query_id", "chunk_id", F.round("score", 9).alias("score")), 10)

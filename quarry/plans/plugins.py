@@ -36,6 +36,51 @@ class WordTokenizer:
         return text if len(found) <= n else text[found[-n][0] :] if n > 0 else ""
 
 
+class BpeTokenizer:
+    """Tokens of a public vocabulary: `path` is a file of the tokenizers library that executors can read too. Each worker loads it once. Heads and tails end between
+    characters and never have more than n tokens of their own; no special tokens are added, and none are looked for in n <= 0 tokens."""
+
+    def __init__(self, path: str):
+        self.path, self._model = path, None
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "_model": None}
+
+    @property
+    def model(self):
+        if self._model is None:
+            from tokenizers import Tokenizer as Model
+
+            self._model = Model.from_file(self.path)
+        return self._model
+
+    def _spans(self, text: str) -> list[tuple[int, int]]:
+        return self.model.encode(text or "", add_special_tokens=False).offsets
+
+    def count(self, text: str) -> int:
+        return len(self._spans(text))
+
+    def head(self, text: str, n: int) -> str:
+        found = self._spans(text)
+        if len(found) <= n:
+            return text
+        for m in range(n, 0, -1):  # a shorter head where the end changes how the text is cut into tokens
+            part = text[: min(found[m - 1][1], found[m][0])]
+            if self.count(part) <= n:
+                return part
+        return ""
+
+    def tail(self, text: str, n: int) -> str:
+        found = self._spans(text)
+        if len(found) <= n:
+            return text
+        for m in range(n, 0, -1):
+            part = text[max(found[-m][0], found[-m - 1][1]) :]
+            if self.count(part) <= n:
+                return part
+        return ""
+
+
 class Embedder(Protocol):
     name: str
     dims: int
@@ -97,6 +142,20 @@ class CleaningExpander:
         return text or query
 
 
+def token_columns(df: DataFrame, tokenizer: Tokenizer, text: str, n: int) -> DataFrame:
+    """Adds n_tokens of the whole text, and its head and tail of at most n tokens. A null text has no tokens, and null ends."""
+
+    @F.pandas_udf("n_tokens int, head string, tail string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            yield pd.DataFrame(
+                [(0, None, None) if t is None else (tokenizer.count(t), tokenizer.head(t, n), tokenizer.tail(t, n)) for t in texts],
+                columns=["n_tokens", "head", "tail"],
+            )
+
+    return df.withColumn("_tokens", run(F.col(text))).select(*df.columns, "_tokens.*")
+
+
 def embed_column(df: DataFrame, embedder: Embedder, text: str, out: str = "embedding", batch: int = 32) -> DataFrame:
     """Adds a vector column; a batch that fails gets null vectors, and its rows stay."""
 

@@ -159,3 +159,38 @@ def test_chunks_from_sql_equal_the_operators(spark):
     assert sorted((r.paper_id, r.content) for r in got.collect()) == sorted((r.paper_id, r.content) for r in want.collect())
     texts = spark.createDataFrame([(1, "One. Two? Three"), (2, None), (3, " "), (None, "Four!")], "key int, text string")
     assert sorted(((r.key or "", r.place, r.sentence) for r in spark.sql("SELECT * FROM split_sentences(TABLE({t}))", t=texts).collect())) == [("", 1, "Four!"), ("1", 1, "One."), ("1", 2, "Two?"), ("1", 3, "Three")]
+
+
+def test_tokens_of_a_vocabulary(spark, sf):
+    """Counts equal the library's, ends stay within their budget and are ends of the text; chunks stay within theirs and lose no word."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quarry.catalog import mechanisms
+    from quarry.plans import plugins
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(path), plugins.BpeTokenizer(path)
+    texts = ["", " ", "a", "hello  world", "日本語のテキスト 😀👍🏽 emoji", "x " * 3000, "don't\n\n\tstop", "é" * 50, "a" * 5000]
+    for t in texts:
+        n = len(plain.encode(t, add_special_tokens=False).ids)
+        assert own.count(t) == n
+        for k in (0, 1, 2, 7, n, n + 1):
+            head, tail = own.head(t, k), own.tail(t, k)
+            assert t.startswith(head) and t.endswith(tail) and own.count(head) <= k and own.count(tail) <= k
+            assert k < n or head == tail == t
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i long, t string")
+    got = {r.i: (r.n_tokens, r.head) for r in plugins.token_columns(rows, own, "t", 5).collect()}
+    assert got == {i: (own.count(t), own.head(t, 5)) if t is not None else (0, None) for i, t in enumerate([*texts, None])}
+    texts = {str(r.doc_id): r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    held = {}
+    for r in mechanisms.chunk_bpe(spark, sf).collect():
+        assert r.error is None and r.token_count == own.count(r.content)
+        held.setdefault(r.paper_id, []).append(r)
+    for key, chunks in held.items():
+        assert [r.chunk_index for r in sorted(chunks, key=lambda r: r.chunk_index)] == list(range(len(chunks)))
+        # Budgets count the packed units, paragraphs or sentences, without what joins them; an overlap that stands before a large unit may go over.
+        assert all(min(sum(map(own.count, re.split(p, r.content))) for p in (r"\n\n", r"(?<=[.!?])\s+")) <= 256 + 32 for r in chunks)
+        words, said = set(texts[key].split()), " ".join(r.content for r in chunks).split()
+        if own.count(texts[key]) > 300:
+            assert len(words & set(said)) >= 0.5 * len(words)
