@@ -1,4 +1,5 @@
-"""Paged remote catalogues as a Spark data source: a partition for each page, filters that the service understands pushed to it, and offsets to go on from.
+"""Paged remote catalogues as a Spark data source: a partition for each page (for a run of pages, where there are more than PARTITIONS), filters that the service understands pushed to
+it, and offsets to go on from.
 
 A transport is what talks to the service. It is named by an importable path (`package.module:Class`) and made in each task from the source's options, so
 clients and connections are never sent. Register the source once for each session with register().
@@ -13,15 +14,22 @@ import importlib
 import json
 import os
 import time
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import accumulate, islice
 from typing import Protocol
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from quarry.streaming.stateful import run_to_end
+PARTITIONS = 512  # most partitions of a scan or micro-batch; more pages share them, in runs
+MOST_PAGES = 4096  # of a micro-batch that has grown
+BLOCK = 1024  # lines of a block that is read at once
+BLOCKS = "_blocks"  # the folder of a table of blocks, beside the lines
 
 #: How a filter is called in a request.
 _SIGNS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
@@ -41,8 +49,15 @@ class Transport(Protocol):
 
 
 @dataclass
-class Page(InputPartition):
-    number: int
+class Pages(InputPartition):
+    first: int
+    end: int
+
+
+def runs(first: int, end: int) -> list[Pages]:
+    """Pages from first to end, each alone or in PARTITIONS runs."""
+    step = max(1, -(-(end - first) // PARTITIONS))
+    return [Pages(i, min(i + step, end)) for i in range(first, end, step)]
 
 
 def transport(options: dict) -> Transport:
@@ -77,42 +92,47 @@ class PagedReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Page]:
+    def partitions(self) -> list[Pages]:
         size = int(self.options.get("page_size", 100))
-        return [Page(i) for i in range(-(-transport(self.options).count(self.conditions) // size))]
+        return runs(0, -(-transport(self.options).count(self.conditions) // size))
 
-    def read(self, partition: Page | None) -> Iterator[tuple]:
+    def read(self, partition: Pages | None) -> Iterator[tuple]:
         if partition is not None:  # Spark asks so where there are no pages
-            yield from fetch(self.options, partition.number, self.conditions)
+            for number in range(partition.first, partition.end):
+                yield from fetch(self.options, number, self.conditions)
 
 
 class PagedStream(DataSourceStreamReader):
-    """Offsets are full pages read; a last page that isn't full yet is left for later, unless the option `partial` is set. A micro-batch has `pages_per_batch` pages at most, and a
-    run that takes what there is now (availableNow) is one micro-batch: run_pages() repeats it."""
+    """Offsets are full pages read; a last page that isn't full yet is left for later, unless the option `partial` is set. A micro-batch has `pages_per_batch` pages at most; with the
+    option `growth` each one of a run may have so many times the pages of the one before, up to MOST_PAGES, so that a long catalogue needs few. A run that takes what there is now
+    (availableNow) is one micro-batch; run_pages() goes on to the end."""
 
     def __init__(self, options: dict):
-        self.options, self.last = options, None
+        self.options, self.last, self.step = options, None, int(options.get("pages_per_batch", 10))
 
     def initialOffset(self) -> dict:
         return {"page": int(self.options.get("from_page", 0))}
 
     def latestOffset(self) -> dict:
-        size, step = int(self.options.get("page_size", 100)), int(self.options.get("pages_per_batch", 10))
+        size = int(self.options.get("page_size", 100))
         count = transport(self.options).count([])
         whole = -(-count // size) if self.options.get("partial") == "true" else count // size
         start = self.last if self.last is not None else self.initialOffset()["page"]
-        self.last = max(start, min(whole, start + step))
+        self.last = max(start, min(whole, start + self.step))
+        if self.last > start:
+            self.step = max(self.step, min(MOST_PAGES, self.step * int(self.options.get("growth", 1))))
         return {"page": self.last}
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
         self.last = end["page"]  # after a restart the offsets come from the checkpoint
-        return [Page(i) for i in range(start["page"], end["page"])]
+        return runs(start["page"], end["page"])
 
     def commit(self, end: dict) -> None:
         self.last = end["page"]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        yield from fetch(self.options, partition.number, [])
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        for number in range(partition.first, partition.end):
+            yield from fetch(self.options, number, [])
 
 
 class PagedSource(DataSource):
@@ -137,33 +157,115 @@ def register(spark: SparkSession) -> None:
 
 
 def run_pages(rows: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
-    """Runs a stream over a paged source until a run finds nothing new; a repeated call goes on from the checkpoint."""
-    seen: list[int] = [0]
-    while seen:
-        seen.clear()
-        run_to_end(rows, checkpoint, lambda batch, number: (seen.append(number), write(batch, number)))
+    """Runs a stream over a paged source, as one query of many micro-batches, until nothing is new; a repeated call goes on from the checkpoint."""
+    query = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def _files(path: str) -> tuple[tuple[str, int], ...]:
+    """Files of lines in the order of their names, with their sizes."""
+    return tuple((x, os.path.getsize(f"{path}/{x}")) for x in sorted(os.listdir(path)) if x.endswith(".json"))
+
+
+def _blocks_of(path: str, name: str, by: tuple[str, ...]) -> Iterator[dict]:
+    """Blocks of a file: where they start, bytes, rows, and of each column in `by` the least and greatest value and the number of nulls."""
+    start = 0
+    with open(f"{path}/{name}", "rb") as lines:
+        while held := list(islice(lines, BLOCK)):
+            rows = [json.loads(x) for x in held] if by else []
+            values = {c: [r[c] for r in rows if r.get(c) is not None] for c in by}
+            size = sum(map(len, held))
+            yield {"file": name, "start": start, "size": size, "rows": len(held), "of": {c: [min(v, default=None), max(v, default=None), len(held) - len(v)] for c, v in values.items()}}
+            start += size
+
+
+def index_lines(spark: SparkSession, path: str, by: str = "") -> None:
+    """Writes the table of blocks of a folder of JSON lines, each file by a task of its own. Columns in `by` are those that are filtered by."""
+    at, columns = urlparse(path).path, tuple(c for c in by.split(",") if c)
+    files = _files(at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(b) for b in _blocks_of(at, name, columns)], pa.string())], ["value"])
+
+    names = spark.createDataFrame([(x,) for x, _ in files], "file string").repartitionByRange(max(1, len(files)), "file")
+    names.mapInArrow(run, "value string").write.mode("overwrite").text(f"{path}/{BLOCKS}")
+
+
+@lru_cache(maxsize=8)
+def _table(path: str, files: tuple, by: tuple[str, ...]) -> list[dict]:
+    """Blocks of all files in order, once for each process: those that index_lines() wrote of these very files, else by reading them."""
+    found: dict[str, list[dict]] = {}
+    folder = f"{path}/{BLOCKS}"
+    for f in sorted(os.listdir(folder)) if os.path.isdir(folder) else ():
+        if f.endswith(".txt"):
+            with open(f"{folder}/{f}", encoding="utf-8") as lines:
+                for block in map(json.loads, lines):
+                    found.setdefault(block["file"], []).append(block)
+    out: list[dict] = []
+    for name, size in files:
+        own = sorted(found.get(name, []), key=lambda b: b["start"])
+        known = own and sum(b["size"] for b in own) == size and all(c in own[0]["of"] for c in by)
+        out += own if known else _blocks_of(path, name, by)
+    return out
+
+
+_HOLDS = {"=": lambda a, b: a == b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
+
+
+def _read(path: str, block: dict, conditions: tuple) -> list[dict]:
+    """The rows of a block that all conditions hold for."""
+    with open(f"{path}/{block['file']}", "rb") as f:
+        f.seek(block["start"])
+        rows = [json.loads(x) for x in f.read(block["size"]).split(b"\n") if x]
+    return [r for r in rows if all(r.get(c) is not None and _HOLDS[s](r[c], v) for c, s, v in conditions)]
+
+
+@lru_cache(maxsize=64)
+def _counted(path: str, files: tuple, by: tuple[str, ...], conditions: tuple) -> tuple[list[dict], list[int]]:
+    """Blocks with a row that the conditions hold for, and the number of such rows up to each one's end. A block is read only if its ranges leave it open."""
+    kept, sizes = [], []
+    for block in _table(path, files, by):
+        ranges = [(block["of"][c], s, v) for c, s, v in conditions]
+        if any(low is None or (s in ("=", ">", ">=") and not _HOLDS[">=" if s == "=" else s](high, v)) or (s in ("=", "<", "<=") and not _HOLDS["<=" if s == "=" else s](low, v)) for (low, high, _), s, v in ranges):
+            continue
+        if all(nulls == 0 and _HOLDS[s](low, v) and _HOLDS[s](high, v) for (low, high, nulls), s, v in ranges):
+            n = block["rows"]
+        else:
+            n = len(_read(path, block, conditions))
+        if n:
+            kept.append(block)
+            sizes.append(n)
+    return kept, list(accumulate(sizes))
 
 
 class JsonLines:
     """A transport over a folder of JSON lines that all executors reach, in the order of file names: option `path`, `columns` (a Spark schema of integer, double and string columns)
-    and `by` (the columns that it filters by)."""
+    and `by` (the columns that it filters by). A page is read from the blocks that it lies in; index_lines() writes the table of blocks, which else each process makes by reading
+    the folder once."""
 
     def __init__(self, options: dict):
         self.path, self.schema = urlparse(options["path"]).path, options["columns"]
         self.filters = {c: ("=", ">", ">=", "<", "<=") for c in options.get("by", "").split(",") if c}
 
-    def _rows(self, conditions: list[tuple]) -> Iterator[tuple]:
-        names = [c.split()[0] for c in self.schema.split(",")]
-        holds = {"=": lambda a, b: a == b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
-        for f in sorted(x for x in os.listdir(self.path) if x.endswith(".json")):
-            with open(f"{self.path}/{f}", encoding="utf-8") as lines:
-                for line in lines:
-                    row = json.loads(line)
-                    if all(row.get(c) is not None and holds[s](row[c], v) for c, s, v in conditions):
-                        yield tuple(row.get(c) for c in names)
+    def _found(self, conditions: list[tuple]) -> tuple[list[dict], list[int]]:
+        return _counted(self.path, _files(self.path), tuple(self.filters), tuple(conditions))
 
     def count(self, conditions: list[tuple]) -> int:
-        return sum(1 for _ in self._rows(conditions))
+        return next(reversed(self._found(conditions)[1]), 0)
 
     def page(self, number: int, size: int, conditions: list[tuple]) -> list[tuple]:
-        return [r for i, r in enumerate(self._rows(conditions)) if number * size <= i < (number + 1) * size]
+        names = [c.split()[0] for c in self.schema.split(",")]
+        blocks, ends = self._found(conditions)
+        first, last, out = number * size, (number + 1) * size, []
+        for i in range(bisect_right(ends, first), len(blocks)):
+            before = ends[i - 1] if i else 0
+            if before >= last:
+                break
+            own = _read(self.path, blocks[i], tuple(conditions))
+            out += [tuple(r.get(c) for c in names) for r in own[max(0, first - before) : last - before]]
+        return out

@@ -309,6 +309,42 @@ def test_paged_stream_goes_on_from_its_offsets(spark, service):
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == list(range(1050))
 
 
+def test_pages_are_read_from_their_blocks_alone(spark, service, monkeypatch):
+    from quarry.sources import paged
+
+    at = scratch(spark, "service")
+    spark.range(0, 5000).selectExpr("id AS k", "IF(id % 7 = 0, NULL, concat('n', id)) AS name", "id / 4.0D AS x").repartitionByRange(2, "k").sortWithinPartitions("k").write.json(at)
+    options = service | {"path": at}
+    plain = paged.JsonLines(options)
+    want = {n: plain.page(n, 100, []) for n in (0, 10, 24, 25, 49, 50)}
+    assert plain.count([]) == 5000 and want[50] == [] and all(len(want[n]) == 100 for n in (0, 10, 24, 25, 49))
+    paged.index_lines(spark, at, "k")
+    paged._table.cache_clear()
+    paged._counted.cache_clear()
+    read, seen = paged._read, []
+    monkeypatch.setattr(paged, "_blocks_of", None)  # no file is read whole
+    monkeypatch.setattr(paged, "_read", lambda path, block, conditions: (seen.append(block["rows"]), read(path, block, conditions))[1])
+    indexed = paged.JsonLines(options)
+    assert {n: indexed.page(n, 100, []) for n in want} == want and indexed.count([]) == 5000
+    assert sum(seen) < 9 * paged.BLOCK
+    seen.clear()
+    some = [("k", ">=", 1200), ("k", "<", 1300)]
+    assert indexed.count(some) == 100 and [r[0] for r in indexed.page(1, 60, some)] == list(range(1260, 1300)) and len(seen) < 5
+    assert indexed.count([("k", "=", 5000)]) == 0
+
+
+def test_many_pages_share_partitions_and_batches_grow(spark, service):
+    from quarry.sources.paged import PARTITIONS, run_pages
+
+    whole = spark.read.format("paged").options(**service | {"page_size": "1"}).load()
+    assert whole.rdd.getNumPartitions() <= PARTITIONS and sorted(r.k for r in whole.collect()) == list(range(1050))
+    out, at, seen = scratch(spark, "out"), scratch(spark, "at"), []
+    write = append_once(out)
+    stream = spark.readStream.format("paged").options(**service | {"page_size": "10"}, partial="true", pages_per_batch="1", growth="2").load()
+    run_pages(stream, at, lambda b, n: (seen.append(n), write(b, n)))
+    assert seen == list(range(7)) and sorted(r.k for r in spark.read.parquet(out).collect()) == list(range(1050))
+
+
 class Flaky:
     calls = 0
     schema, filters = "k long", {}
