@@ -22,7 +22,7 @@ BUCKETS = 1 << 16
 SMOOTH = 0.5
 UNKNOWN = "und"
 LANGUAGES = 64  # counted in one pass, so that no task holds more than BUCKETS * LANGUAGES counts
-SAMPLE = 4000  # rows that set the least likeness
+GRID = 1 << 12  # cells of one unit of likeness, in which all rows that trained are counted
 _CHARS = 1 << 19  # code points taken at once
 
 
@@ -161,9 +161,18 @@ def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "
 
 def least_likeness(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> float:
     """The likeness that a text in a learned language has at least: as far below the lowest hundredth of the rows that trained as that is below
-    their median. From about SAMPLE of them, by a hash; one narrow pass, the driver gets quantiles alone."""
+    their median. All of them are counted by cells of 1 / GRID; a mean log probability of n-grams has few of those, and the driver gets their counts alone."""
     docs, (key, text, lang) = plain(docs, key, text, lang)
-    part = F.pmod(F.xxhash64(key, text), F.lit(max(1, model.rows // SAMPLE))) == 0
-    seen = predict(docs.filter(_trains(key, text, lang) & part), model, key=key, text=text, likeness=True)
-    low, middle = seen.select(F.percentile("likeness", F.array(F.lit(0.01), F.lit(0.5))).alias("q")).first().q or (0.0, 0.0)
+    seen = predict(docs.filter(_trains(key, text, lang)), model, key=key, text=text, likeness=True).filter("likeness IS NOT NULL")
+    counts = seen.groupBy(F.floor(F.col("likeness") * GRID).alias("cell")).agg(F.count(F.lit(1)).alias("n")).orderBy("cell").collect()
+    if not counts:
+        return 0.0
+    cells, ends = np.array([r.cell for r in counts]) / GRID, np.cumsum([r.n for r in counts])
+
+    def quantile(p: float) -> float:
+        place = p * (int(ends[-1]) - 1)
+        low, high = (cells[np.searchsorted(ends, x, "right")] for x in (np.floor(place), np.ceil(place)))
+        return float(low + (place - np.floor(place)) * (high - low))
+
+    low, middle = quantile(0.01), quantile(0.5)
     return low - (middle - low)

@@ -252,3 +252,17 @@ def test_long_texts_in_pieces_have_the_same_words():
     (_, two, ends), = minhash.word_hashes(pa.array([text[:1000] , text[1000:]])) if len(text) < 1 << 19 else ((0, one, at),)
     words = text.lower().split()
     assert len(one) == len(words) == at[-1] and len(np.unique(one)) == len(set(words)) == 2 and len(two) == ends[-1]
+
+
+def test_least_likeness_counts_every_row_that_trained(spark):
+    from dataclasses import replace
+
+    from quarry.llm import langid
+
+    rows = [(i, " ".join(f"word{(i * j) % 97}" for j in range(1, 3 + i % 9)), "en" if i % 2 else "de") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = langid.fit(docs)
+    seen = [r.likeness for r in langid.predict(docs, model, likeness=True).filter("NOT held_out").collect()]
+    low, middle = np.quantile(seen, [0.01, 0.5])
+    for known in (model, replace(model, rows=10**9)):  # however many rows the model has seen
+        assert langid.least_likeness(docs, known) == pytest.approx(low - (middle - low), abs=3 / langid.GRID)
