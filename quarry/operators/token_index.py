@@ -7,15 +7,13 @@ recall is measured (vector_index.recall); the exact search stays where it must b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.retrieval import _unit, top_k
+from quarry.operators.retrieval import QUERY_BLOCK, _unit, maxsim_search
 from quarry.operators.vector_index import VectorIndex
+from quarry.session import cut_lineage
 
 
 def build(rows: DataFrame, root: str, *, tokens: str = "tokens", key: str = "chunk_id", lists: int | None = None, **more) -> VectorIndex:
@@ -24,38 +22,19 @@ def build(rows: DataFrame, root: str, *, tokens: str = "tokens", key: str = "chu
     return VectorIndex.build(each, root, key=key, vector="token", lists=lists, **more)
 
 
-def search(index: VectorIndex, queries: DataFrame, rows: DataFrame, k: int = 10, *, probes: int = 2, tokens: str = "tokens", key: str = "chunk_id") -> DataFrame:
-    """query_id, chunk_id, score and rank for queries (query_id, query_tokens) among rows (key, tokens) that share a probed list with them. Candidates are dealt by row; no table of all
-    pairs is made."""
-    centroids = index.spark.sparkContext.broadcast(index.centroids)
-    id_type = dict(queries.dtypes)["query_id"]
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = _unit(np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, centroids.value.shape[1])) @ centroids.value.T
-            best = np.argsort(-m, axis=1, kind="stable")[:, :probes]
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1])))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(best.ravel().astype(np.int32))], ["query_id", "list"])
-
-    asked = queries.select("query_id", F.col("query_tokens").cast("array<array<double>>").alias("q")).filter("q IS NOT NULL")
-    each = asked.select("query_id", F.explode("q").alias("token")).filter(F.size("token") == index.meta.size)
-    lists = each.mapInArrow(near, f"query_id {id_type}, list int").distinct()
-    members = index.rows().select("list", F.col("key").alias("chunk_id")).distinct()
-    pairs = lists.join(members, "list").select("query_id", "chunk_id").distinct()
-    own = rows.select(F.col(key).alias("chunk_id"), F.col(tokens).cast("array<array<double>>").alias("d"))
-    full = pairs.join(own, "chunk_id").join(asked, "query_id")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for q, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                total = 0.0
-                for size in {len(t) for t in q}:
-                    mine, theirs = ([t for t in x if t is not None and len(t) == size] for x in (q, d))
-                    if size and theirs:
-                        total += np.maximum((_unit(np.array(mine)) @ _unit(np.array(theirs)).T).max(axis=1), 0.0).sum()
-                out.append(float(total))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["query_id", "chunk_id", "score"])
-
-    scored = full.select("query_id", "chunk_id", "q", "d").mapInArrow(score, f"query_id {id_type}, chunk_id {index.meta.key_type}, score double")
-    return top_k(scored, k)
+def search(index: VectorIndex, queries: DataFrame, rows: DataFrame, k: int = 10, *, probes: int = 2, tokens: str = "tokens", key: str = "chunk_id", block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, chunk_id, score and rank for queries (query_id, query_tokens) among rows (key, tokens) that share a probed list with them. Each row gets its lists from the collection
+    by one join and is written with them once; blocks of queries then go to the rows, as in maxsim_search, so no table of pairs is dealt."""
+    size = index.meta.size
+
+    def wanted(asked: list) -> np.ndarray:
+        """The lists nearest to each query's tokens; the driver has one block of queries."""
+        out = np.zeros((len(asked), len(index.centroids)), bool)
+        for i, (_, ts) in enumerate(asked):
+            own = np.array([t for t in ts if len(t) == size], np.float64).reshape(-1, size)
+            out[i, np.argsort(-(_unit(own) @ index.centroids.T), axis=1, kind="stable")[:, :probes].ravel()] = True
+        return out
+
+    of = index.rows().filter("list >= 0").groupBy(F.col("key").alias(key)).agg(F.collect_set("list").alias("_lists"))
+    held = cut_lineage(rows.select(key, tokens).join(of, key))
+    return maxsim_search(queries, held, k, tokens=tokens, key=key, block=block, among=("_lists", wanted))

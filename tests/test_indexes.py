@@ -266,6 +266,26 @@ def test_trigram_join_equals_all_pairs(spark, threshold):
         trigram_join(left, right, 0)
 
 
+@pytest.mark.parametrize("block", [2, 4096])
+def test_late_interaction_deals_no_pairs(spark, block):
+    from quarry.operators import token_index
+    from quarry.operators.retrieval import maxsim_search
+
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.normal(size=(1 + i % 3, 4)).tolist()) for i in range(120)] + [(500, None), (501, [])], "chunk_id long, tokens array<array<double>>")
+    asked = spark.createDataFrame([(i, rng.normal(size=(2, 4)).tolist()) for i in range(7)], "query_id long, query_tokens array<array<double>>")
+    index = token_index.build(rows, scratch(spark, "tokens"), lists=5)
+    shown = lambda d: [(r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in d.orderBy("query_id", "rank").collect()]
+    assert shown(token_index.search(index, asked, rows, 6, probes=5, block=block)) == shown(maxsim_search(asked, rows, 6))
+    some = token_index.search(index, asked, rows, 200, probes=1, block=block)
+    assert "Join" not in some._jdf.queryExecution().toString()
+    lists = {}
+    for r in index.rows().collect():
+        lists.setdefault(r.key, set()).add(r.list)
+    near = {r.query_id: {int(np.argmax(index.centroids @ np.array(t))) for t in r.query_tokens} for r in asked.collect()}
+    assert {(q, c) for q, _, c, _ in shown(some)} == {(q, c) for q, own in near.items() for c, of in lists.items() if of & own}
+
+
 # ---- pages
 
 
