@@ -179,3 +179,22 @@ def test_shared_folder(spark):
     path = scratch(spark, "x")
     cut_lineage(spark.range(3)).write.parquet(path)
     assert spark.read.parquet(path).count() == 3 and spark.sparkContext.applicationId in path
+
+
+def test_a_task_holds_few_products_and_scores_at_once(spark, monkeypatch):
+    """Memory of a task follows _CELLS, not the number of queries and rows."""
+    rows = spark.createDataFrame([(i, [1.0 + i % 5, 2.0, 3.0]) for i in range(300)], "chunk_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(i, [1.0, 2.0, float(i % 7)]) for i in range(60)], "query_id long, vector array<double>").coalesce(1)
+    tokens = spark.createDataFrame([(i, t, 1.0 + i % 3) for i in range(300) for t in ("a", "b", f"c{i % 4}")], "chunk_id long, token string, weight double").coalesce(1)
+    terms = spark.createDataFrame([(i, t, 1.0) for i in range(60) for t in ("a", f"c{i % 5}")], "query_id long, token string, weight double").coalesce(1)
+    cells = 600
+
+    class Checked(retrieval._Best):
+        def block(self, scores, keys, at=None):
+            assert scores.size <= cells
+            super().block(scores, keys, at)
+
+    want = [sorted(map(tuple, f().collect())) for f in (lambda: retrieval.dense_search(asked, rows, 5, digits=9), lambda: retrieval.sparse_search(terms, tokens, 5))]
+    monkeypatch.setattr(retrieval, "_CELLS", cells)
+    monkeypatch.setattr(retrieval, "_Best", Checked)
+    assert [sorted(map(tuple, f().collect())) for f in (lambda: retrieval.dense_search(asked, rows, 5, digits=9), lambda: retrieval.sparse_search(terms, tokens, 5))] == want
