@@ -194,3 +194,39 @@ def test_tokens_of_a_vocabulary(spark, sf):
         words, said = set(texts[key].split()), " ".join(r.content for r in chunks).split()
         if own.count(texts[key]) > 300:
             assert len(words & set(said)) >= 0.5 * len(words)
+
+
+def test_tokens_of_long_texts_are_counted_once(monkeypatch):
+    """Counts, heads and tails are those of the whole text's tokens, also once no more stretches are held; what repeats isn't encoded again."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quarry.plans import plugins
+
+    def ends(text, n):
+        found = plain.encode(text, add_special_tokens=False).offsets
+        heads = (text[: min(found[m - 1][1], found[m][0])] for m in range(n, 0, -1))
+        tails = (text[max(found[-m][0], found[-m - 1][1]) :] for m in range(n, 0, -1))
+        fits = lambda t: len(plain.encode(t, add_special_tokens=False)) <= n
+        return (text, text) if len(found) <= n else (next(filter(fits, heads), ""), next(filter(fits, tails), ""))
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(path), plugins.BpeTokenizer(path)
+    draw = random.Random(7)
+    signs = [*"ab'r vt  \n\n\t1,.;?é日😀\x1c\x85_!-", "'re", "'ll", " 's", "don't", ", ", "é.", "<|endoftext|>"]
+    for keep in (0, 20, 300_000):
+        monkeypatch.setattr(plugins.BpeTokenizer, "_KEEP", keep)
+        for _ in range(300):
+            text = "".join(draw.choices(signs, k=draw.randint(0, 80)))
+            assert own.count(text) == len(plain.encode(text, add_special_tokens=False))
+            for n in (0, 1, 3, 30):
+                assert (own.head(text, n), own.tail(text, n)) == ends(text, n)
+    given = []
+    size, spans = plugins.BpeTokenizer._size, plugins.BpeTokenizer._spans
+    monkeypatch.setattr(plugins.BpeTokenizer, "_size", lambda self, t: given.append(len(t)) or size(self, t))
+    monkeypatch.setattr(plugins.BpeTokenizer, "_spans", lambda self, t: given.append(len(t)) or spans(self, t))
+    text = "some plain words, again and again\n" * 500
+    assert own.count(text) == len(plain.encode(text, add_special_tokens=False)) and (own.head(text, 9), own.tail(text, 9)) == ends(text, 9)
+    assert sum(given) < len(text) // 10
