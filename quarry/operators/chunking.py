@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,32 +156,28 @@ class Chunker:
 CHUNK_SCHEMA = "chunk_id string, paper_id string, content string, section_id string, section_title string, paragraph_ids array<string>, chunk_type string, chunk_index int, token_count int, char_count int, error string"
 
 
-def _plain(x):
-    """Arrow's nested values as lists and dicts."""
-    if isinstance(x, dict):
-        return {k: _plain(v) for k, v in x.items()}
-    if hasattr(x, "tolist") or isinstance(x, list | tuple):
-        return [_plain(v) for v in x]
-    return x
+_ARROW = pa.schema([(n, pa.int32() if t == "int" else pa.list_(pa.string()) if t == "array<string>" else pa.string()) for n, t in (f.split() for f in CHUNK_SCHEMA.split(", "))])
+_DOCUMENTS = 32  # documents that are Python values at once
 
 
 def chunk_documents(docs: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
-    """Chunks of every document; one that fails gives a row with its error instead of ending the job."""
+    """Chunks of every document; one that fails gives a row with its error instead of ending the job. A task holds a few documents and their chunks beside an Arrow batch."""
     config = config or ChunkConfig()
-    names = [f.split()[0] for f in CHUNK_SCHEMA.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunker = Chunker(config)
-        for pdf in batches:
-            out = []
-            for doc in pdf.to_dict("records"):
-                try:
-                    out += [c | {"error": None} for c in chunker.chunks(_plain(doc))]
-                except Exception as e:  # a broken document is reported, not dropped
-                    out.append(dict.fromkeys(names) | {"paper_id": doc["paper_id"], "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(out, columns=names)
-
-    return docs.mapInPandas(run, CHUNK_SCHEMA)
+        for batch in batches:
+            for a in range(0, batch.num_rows, _DOCUMENTS):
+                out = []
+                for doc in batch.slice(a, _DOCUMENTS).to_pylist():
+                    try:
+                        rows = [c | {"error": None} for c in chunker.chunks(doc)]
+                    except Exception as e:  # a broken document is reported, not dropped
+                        rows = [dict.fromkeys(_ARROW.names) | {"paper_id": doc["paper_id"], "error": f"{type(e).__name__}: {e}"}]
+                    out += [r | {"paper_id": None if r["paper_id"] is None else str(r["paper_id"])} for r in rows]
+                yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+
+    return docs.mapInArrow(run, CHUNK_SCHEMA)
 
 
 def mark_overlaps(chunks: DataFrame, overlap_tokens: int = 50, paper: str = "paper_id", index: str = "chunk_index", content: str = "content") -> DataFrame:

@@ -230,3 +230,28 @@ def test_tokens_of_long_texts_are_counted_once(monkeypatch):
     text = "some plain words, again and again\n" * 500
     assert own.count(text) == len(plain.encode(text, add_special_tokens=False)) and (own.head(text, 9), own.tail(text, 9)) == ends(text, 9)
     assert sum(given) < len(text) // 10
+
+
+def test_a_task_holds_few_documents_at_once():
+    """Chunkers and parsers give their rows in small parts, however many documents an Arrow batch has."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from quarry.operators import parsing
+
+    class Held:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+        mapInPandas = mapInArrow
+
+    docs = [{"paper_id": f"p{i}", "title": "", "abstract": "one two three" if i % 7 else None, "sections": None, "equations": None} for i in range(1000)]
+    schema = pa.schema([("paper_id", pa.string()), ("title", pa.string()), ("abstract", pa.string()), ("sections", pa.list_(pa.string())), ("equations", pa.list_(pa.string()))])
+    parts = list(chunking.chunk_documents(Held(), chunking.ChunkConfig(min_tokens=1))(iter([pa.RecordBatch.from_pylist(docs, schema=schema)])))
+    assert max(p.num_rows for p in parts) <= 32 and [r["paper_id"] for p in parts for r in p.to_pylist()] == [d["paper_id"] for d in docs if d["abstract"]]
+    sources = pd.DataFrame({"paper_id": [f"p{i}" for i in range(600)], "source": ["\\begin{document}x\\end{document}"] * 600})
+    frames = list(parsing.parse_documents(Held())(iter([sources])))
+    assert max(map(len, frames)) <= 256 and [i for f in frames for i in f["paper_id"]] == sources["paper_id"].tolist()
