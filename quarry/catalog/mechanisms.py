@@ -409,5 +409,4 @@ def equation_topk(spark, sf_dir):
     held = plugins.embed_column(parsing.equation_rows(parsed), VowelEmbedder(), "latex").select(F.col("paper_id").cast("long").alias("chunk_id"), "embedding")
     held = cut_lineage(held)
     asked = held.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
-    found = retrieval.dense_search(asked, held, 60)
-    return retrieval.top_k(found.select("query_id", "chunk_id", F.round("score", 9).alias("score")), 10)
+    return retrieval.dense_search(asked, held, 10, digits=9).select("query_id", "chunk_id", "score", "rank")
