@@ -6,11 +6,13 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tests.llm.test_new_operators import plain_sets
 from tests.llm.test_operators import library, plain_base, plain_components
 
 from quarry.llm import queries
+from quarry.llm.common import BATCH_BYTES
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +100,16 @@ def test_run(spark, sf, stages):
 def test_every_query_is_registered():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.queries())
     assert names == list(range(1, 14)) and P.path("byte_bpe_50k.json")
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[name for name, _ in corpus_pipeline.STAGES])
+def test_texts_reach_python_in_batches_bounded_in_bytes(spark, sf, stage):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    try:
+        stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+        texts = spark.range(64, numPartitions=1).selectExpr(f"repeat('x', {1 << 18}) AS text")
+        sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+        assert max(r.n for r in sizes) < 2 * BATCH_BYTES and sum(r.n for r in sizes) >= 64 << 18
+    finally:
+        spark.conf.unset(name)
