@@ -390,3 +390,53 @@ def test_pages_are_asked_for_again():
     Flaky.calls = 0
     with pytest.raises(TimeoutError):
         fetch(options | {"retries": "1"}, 0, [])
+
+
+# ---- what the searches share
+
+
+def test_term_vectors_count_the_texts_of_a_key_together(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["a", "b", "é", "zz", *(f"w{chr(97 + i)}" for i in range(20))]
+    rows = [(k, " , ".join(rng.choices(words, k=rng.randint(0, 60)))) for k in (*range(40), *([7] * 30), 3, 3)] + [(50, None), (51, ""), (52, "12 !"), (None, "A a"), (None, "b")]
+    want = Counter()
+    for k in {k for k, _ in rows}:
+        counts = Counter(w for own, t in rows if own == k for w in (t or "").lower().replace(",", " ").split() if w.isalpha())
+        want.update((k, t, float(n)) for t, n in sorted(counts.items(), key=lambda e: (-e[1], e[0]))[:9])
+    df = spark.createDataFrame(rows, "chunk_id long, text string")
+    for bytes_ in (1, 200, 4 << 20):
+        monkeypatch.setattr(retrieval, "_TEXT", bytes_)
+        assert Counter(map(tuple, retrieval.term_frequencies(df, top=9).collect())) == want
+
+
+def test_best_rows_with_ties_roundings_and_nan():
+    rng = np.random.default_rng(1)
+    for digits in (None, 1):
+        best, every = retrieval._Best(6, 4, 0.2, digits), [[] for _ in range(6)]
+        for a in range(0, 600, 20):
+            scores, keys = np.round(rng.random((6, 20)), 2), np.arange(a, a + 20)[::-1]
+            scores[:, 3] = np.nan  # a row of NaN takes no other row away
+            best.block(scores, keys)
+            for q in range(6):
+                every[q] += [(-(s if digits is None else np.round(s, digits)), key) for s, key in zip(scores[q], keys, strict=True) if not np.isnan(s)]
+        got = best.batch(list("abcdef"), "string", "bigint").to_pylist()
+        want = {(i, key, -s) for i, own in zip("abcdef", every, strict=True) for s, key in sorted(e for e in own if -e[0] >= 0.2)[:4]}
+        assert {(r["query_id"], r["chunk_id"], r["score"]) for r in got} == want
+
+
+def test_long_queries_deal_no_postings_and_leave_out_light_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"w{j}", float(1 + (2000 - i) // 100 * 10)) for i in range(2000) for j in range(20)], "chunk_id long, token string, weight double")
+    index = SparseIndex.build(rows, scratch(spark, "t"))
+    asked = spark.createDataFrame([(1, f"w{j}", 1.0) for j in range(20)], "query_id int, token string, weight double")
+    found = index.search(asked, 5)
+    assert "hashpartitioning(shard" not in found._jdf.queryExecution().executedPlan().toString()
+    rowsum = spark.sparkContext.accumulator(0)
+
+    class Counted(retrieval._Best):
+        def block(self, scores, keys, at=None):
+            rowsum.add(len(keys))
+            super().block(scores, keys, at)
+
+    monkeypatch.setattr(retrieval, "_Best", Counted)
+    assert [r.chunk_id for r in index.search(asked, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+    assert 0 < rowsum.value < 1500
