@@ -11,7 +11,7 @@ from quarry.operators import retrieval
 from quarry.operators.bucketed import BucketedTable
 from quarry.operators.sparse_index import SparseIndex
 from quarry.operators.vector_index import VectorIndex, recall
-from quarry.session import scratch
+from quarry.session import cut_lineage, scratch
 from quarry.streaming.limits import rate_limit_batch
 from quarry.streaming.stateful import append_once, rate_limit_events, run_to_end
 
@@ -440,3 +440,31 @@ def test_long_queries_deal_no_postings_and_leave_out_light_rows(spark, monkeypat
     monkeypatch.setattr(retrieval, "_Best", Counted)
     assert [r.chunk_id for r in index.search(asked, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
     assert 0 < rowsum.value < 1500
+
+
+def test_several_blocks_of_queries_count_words_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(retrieval, "cut_lineage", lambda df: made.append(df) or cut_lineage(df))
+    docs = spark.createDataFrame([(i, f"a b w{'xyz'[i % 3]}") for i in range(30)], "chunk_id long, text string")
+    asked = retrieval.term_frequencies(docs.select(F.col("chunk_id").alias("query_id"), "text"), key="query_id")
+    one, several = (sorted(map(tuple, retrieval.sparse_search(asked, retrieval.term_vectors(docs), 4, block=b).select("query_id", "chunk_id", "score", "rank").collect())) for b in (4096, 7))
+    assert one == several and len(one) == 120 and len(made) == 1
+
+
+def test_a_vector_without_a_direction_takes_no_other_row_away(spark):
+    rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)] + [(9, [float("inf"), 1.0])], "chunk_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>")
+    index = VectorIndex.build(rows, scratch(spark, "t"), lists=20)
+    assert [r.chunk_id for r in index.search(asked, 3, digits=9).orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_an_engine_keeps_its_terms_by_row(spark):
+    from quarry.catalog.hybrid import LetterEmbedder
+    from quarry.plans.engine import Engine
+
+    texts = ["Ab zz é", None, "", "ÀB b İi"]
+    chunks = spark.createDataFrame([(i, "p", t, "s") for i, t in enumerate(texts)], "chunk_id long, paper_id string, content string, section_title string")
+    engine = Engine.build(chunks, LetterEmbedder())
+    assert {r.chunk_id: dict(zip(r.tokens, r.weights)) for r in engine.postings.collect()}[0] == {"ab": 1.0, "zz": 1.0, "é": 1.0} and engine.postings.count() == 2
+    want = [[(t or "").lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+    assert LetterEmbedder().embed(texts).tolist() == want
